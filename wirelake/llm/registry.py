@@ -1,9 +1,10 @@
 """Queries of the llm operators and the SQL they are held against."""
 
-from wirelake.llm import exact_dedup
+from wirelake.llm import exact_dedup, simhash
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
+    "op9_simhash": simhash.query,
 }
 ORACLES = {
     "op6_exact_dedup": exact_dedup.ORACLE,
