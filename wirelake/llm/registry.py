@@ -1,9 +1,10 @@
 """Queries of the llm operators and the SQL they are held against."""
 
-from wirelake.llm import exact_dedup, simhash
+from wirelake.llm import exact_dedup, simhash, substring_dedup
 
 QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
+    "op8_substring_dedup": substring_dedup.query,
     "op9_simhash": simhash.query,
 }
 ORACLES = {
