@@ -1,8 +1,9 @@
 """Queries of the llm operators and the SQL they are held against."""
 
-from wirelake.llm import exact_dedup, simhash, substring_dedup
+from wirelake.llm import exact_dedup, packing, simhash, substring_dedup
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_simhash": simhash.query,
