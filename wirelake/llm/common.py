@@ -10,6 +10,7 @@ import uuid
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
@@ -78,3 +79,12 @@ def with_row_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
+
+
+def extended(schema: T.StructType, **columns: str) -> T.StructType:
+    """A copy of schema with more columns; StructType.add would change a DataFrame's own schema."""
+    more = [T.StructField(k, _TYPES[v]) for k, v in columns.items()]
+    return T.StructType([*schema.fields, *more])
+
+
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize
+from wirelake.llm.common import extended, materialize
 from wirelake.llm.tokens import encoder
 
 SIZE = 1024
@@ -187,7 +187,7 @@ def pack(found: DataFrame, size: int = SIZE) -> DataFrame:
             yield pdf.drop(columns="rank").assign(sequence_id=sequences[at] + key - keys[at], offset=offsets[at])
 
     rows = ranked.select(*found.columns, "rank")
-    return rows.mapInPandas(place, found.schema.add("sequence_id", "long").add("offset", "long"))
+    return rows.mapInPandas(place, extended(found.schema, sequence_id="long", offset="long"))
 
 
 def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END) -> DataFrame:

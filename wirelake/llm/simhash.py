@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize, with_row_uid
+from wirelake.llm.common import extended, materialize, with_row_uid
 from wirelake.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -69,7 +69,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             fps = np.array([fingerprint(t, size) for t in pdf.pop("text")], dtype=np.uint64).view(np.int64)
             yield pdf.assign(fp=fps)
 
-    schema = rows.drop("text").schema.add("fp", "long")
+    schema = extended(rows.drop("text").schema, fp="long")
     return rows.mapInPandas(fit, schema)
 
 
