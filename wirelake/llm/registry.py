@@ -1,15 +1,17 @@
 """Queries of the llm operators and the SQL they are held against."""
 
-from wirelake.llm import exact_dedup, language_id, packing, simhash, substring_dedup, toxicity
+from wirelake.llm import exact_dedup, language_id, packing, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op3_language_id": language_id.query,
+    "op4_warc": warc.query,
     "op5_toxicity": toxicity.query,
     "op6_exact_dedup": exact_dedup.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_simhash": simhash.query,
 }
 ORACLES = {
+    "op4_warc": warc.ORACLE,
     "op6_exact_dedup": exact_dedup.ORACLE,
 }
