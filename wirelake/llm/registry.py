@@ -1,9 +1,10 @@
 """Queries of the llm operators and the SQL they are held against."""
 
-from wirelake.llm import exact_dedup, language_id, packing, simhash, substring_dedup, toxicity, warc
+from wirelake.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
+    "op2_decontaminate": decontaminate.query,
     "op3_language_id": language_id.query,
     "op4_warc": warc.query,
     "op5_toxicity": toxicity.query,
