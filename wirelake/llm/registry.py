@@ -1,6 +1,6 @@
 """Queries of the llm operators and the SQL they are held against."""
 
-from wirelake.llm import decontaminate, exact_dedup, language_id, packing, simhash, substring_dedup, toxicity, warc
+from wirelake.llm import decontaminate, exact_dedup, language_id, packing, secrets_scan, simhash, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_exact_dedup": exact_dedup.query,
     "op8_substring_dedup": substring_dedup.query,
     "op9_simhash": simhash.query,
+    "op10_secret_scan": secrets_scan.query,
 }
 ORACLES = {
     "op4_warc": warc.ORACLE,
