@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from wirelake.llm.common import materialize, with_row_uid
 
 WINDOW = 20
-BLOCK_WORDS = 4_000_000
+BLOCK_WORDS = 2_000_000
 PART_BYTES = 12 << 20
 LAST = np.iinfo(np.int64).max
 _B = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -118,7 +118,10 @@ def _earlier(hashes: np.ndarray, doc: np.ndarray, start: np.ndarray) -> tuple[np
 
 
 def _flush(block: list, window: int, parts: int, number: int):
-    """Index rows of one block: its documents, what it found in itself, and a blob for each part."""
+    """Index rows of one block: its documents, what it found in itself, and a blob for each part.
+
+    The first row's part is beyond the parts that answer; it passes through the same shuffle.
+    """
     ids, uids, texts = zip(*block, strict=True)
     ids, uids = np.array(ids, dtype=np.int64), np.array(uids, dtype=np.int64)
     hashes = [window_hashes(word_hashes(t), window) for t in texts]
@@ -129,7 +132,7 @@ def _flush(block: list, window: int, parts: int, number: int):
     doc = ids[row]
     mine, ref = _earlier(h, doc, start)
     name = (TaskContext.get().partitionId() << 24) | number
-    yield name, -1, _pack(ids, uids, row[mine].astype(np.uint32), start[mine].astype(np.uint32), doc[ref], start[ref].astype(np.uint32))
+    yield name, parts + name % parts, _pack(ids, uids, row[mine].astype(np.uint32), start[mine].astype(np.uint32), doc[ref], start[ref].astype(np.uint32))
     left = np.ones(len(h), dtype=bool)
     left[mine] = False
     h, row, start = h[left], row[left], start[left]
@@ -164,10 +167,12 @@ def index(docs: DataFrame, window: int, parts: int) -> DataFrame:
     return docs.mapInPandas(fit, "block long, part int, blob binary")
 
 
-def look_up(entries: DataFrame) -> DataFrame:
-    """Each part answers its entries: blobs (block, row, start, ref doc, ref start) by block."""
+def look_up(entries: DataFrame, parts: int) -> DataFrame:
+    """Each part answers its entries: blobs (row, start, ref doc, ref start) by block; part -1 is a block's own row."""
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["part"].iloc[0] >= parts:
+            return pdf.assign(part=-1)
         hs, docs, starts, rows, blocks = [], [], [], [], []
         for k, blob in enumerate(pdf["blob"]):
             r, ids, sizes, step, h = _unpack(blob)
@@ -234,9 +239,7 @@ def factors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(16, math.ceil(total / PART_BYTES))
-    entries = index(docs.withColumn("id", F.coalesce("id", F.lit(int(LAST)))), window, parts)
-    entries = materialize(entries, "index")
-    found = look_up(entries.where("part >= 0")).unionByName(entries.where("part < 0"))
+    found = look_up(index(docs.withColumn("id", F.coalesce("id", F.lit(int(LAST)))), window, parts), parts)
     return materialize(found.groupBy("block").applyInPandas(_by_block(window), "id long, uid long, factors binary"), "factors")
 
 
