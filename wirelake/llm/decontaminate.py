@@ -9,7 +9,8 @@ stays above zero only at a similarity of 0.8 or more. A document is contaminated
 segment scores ``least`` or more.
 
 The passages' hashes are broadcast only if there are at most ``BROADCAST_HASHES`` of them; beyond
-that, hits come from a shuffled join of narrow rows and the documents' words are joined to the hits.
+that, hits come from a shuffled join. Only narrow rows are exploded; the words of documents with hits
+are joined to them afterwards.
 
 Cases: a null or empty text on either side has no words. Passages or documents shorter than a seed's
 span are compared by the seeds that fit; those shorter than every seed can't match. Passages with
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import with_row_uid
+from wirelake.llm.common import materialize, with_row_uid
 
 SEEDS = ("11101101011", "110110010111", "1101000110011011")
 LEAST = 8
@@ -35,17 +36,26 @@ def word_hashes(text: Column) -> Column:
     return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def places(rows: DataFrame, seeds: tuple[str, ...]) -> DataFrame:
-    """A row for each place and seed of rows with an array ``words``: pos and h."""
-    shortest = min(map(len, seeds))
-    at = F.when(F.size("words") >= shortest, F.sequence(F.lit(0), F.size("words") - shortest)).otherwise(F.array().cast("array<int>"))
-    placed = rows.withColumn("pos", F.explode(at))
+def places(rows: DataFrame, seeds: tuple[str, ...], *keep: str) -> DataFrame:
+    """A row for each place and seed of rows with an array ``words``: keep, pos and h.
 
-    def seed(k: int, mask: str) -> Column:
-        marked = [F.get("words", F.col("pos") + i) for i, c in enumerate(mask) if c == "1"]
-        return F.when(F.size("words") >= F.col("pos") + len(mask), F.xxhash64(F.lit(k), *marked))
+    A text's hashes are one array, seed after seed, so that exploded rows carry no words with them.
+    """
 
-    return placed.withColumn("h", F.explode(F.array(*[seed(k, m) for k, m in enumerate(seeds)]))).where("h is not null")
+    def hashes(k: int, mask: str) -> Column:
+        marked = [x for x, c in enumerate(mask) if c == "1"]
+        at = F.sequence(F.lit(0), F.size("words") - len(mask))
+        made = F.transform(at, lambda i: F.xxhash64(F.lit(k), *[F.get(F.col("words"), i + x) for x in marked]))
+        return F.when(F.size("words") >= len(mask), made).otherwise(F.array().cast("array<bigint>"))
+
+    found = rows.select(*keep, F.size("words").alias("n"), F.concat(*[hashes(k, m) for k, m in enumerate(seeds)]).alias("hs"))
+    found = found.select(*keep, "n", F.posexplode("hs").alias("p", "h"))
+    pos, before = F.lit(None).cast("int"), F.lit(0)
+    counts = [F.greatest(F.col("n") - len(m) + 1, F.lit(0)) for m in seeds]
+    for n in counts:
+        pos = F.coalesce(pos, F.when(F.col("p") < before + n, F.col("p") - before))
+        before = before + n
+    return found.select(*keep, pos.alias("pos"), "h")
 
 
 def segment(words: Column, item: Column, diagonal: Column) -> Column:
@@ -68,26 +78,19 @@ def segment(words: Column, item: Column, diagonal: Column) -> Column:
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
                  seeds: tuple[str, ...] = SEEDS, least: int = LEAST, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """(id, item_id, score, item_first, item_last, doc_first): the best segment of each pair that reaches least."""
-    doc = docs.select(F.col(id_col).cast("long").alias("id"), F.col("__uid").alias("uid") if "__uid" in docs.columns else F.lit(None).cast("long").alias("uid"), word_hashes(F.col(text_col)).alias("words"))
+    doc = (docs if "__uid" in docs.columns else with_row_uid(docs, "__uid")).select(F.col(id_col).cast("long").alias("id"), F.col("__uid").alias("uid"), word_hashes(F.col(text_col)).alias("words"))
     test = items.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(F.col(item_text)).alias("words")).where(F.size("words") > 0)
-    index = places(test, seeds).select("h", "item_id", F.col("pos").alias("item_pos"), F.col("words").alias("item"))
-    if index.limit(broadcast_hashes + 1).count() <= broadcast_hashes:
-        hits = places(doc, seeds).join(F.broadcast(index), "h").withColumn("diagonal", F.col("pos") - F.col("item_pos"))
-    else:
-        marked = doc if "__uid" in docs.columns else contaminable(docs, id_col, text_col)
-        narrow = places(marked, seeds).select("id", "uid", "pos", "h").join(index.select("h", "item_id", "item_pos"), "h")
-        narrow = narrow.select("id", "uid", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct()
-        hits = narrow.join(marked.withColumnRenamed("uid", "u").withColumnRenamed("id", "i"), (F.col("uid") == F.col("u")) & F.col("id").eqNullSafe(F.col("i"))).drop("u", "i")
-        hits = hits.join(test.select("item_id", F.col("words").alias("item")), "item_id")
+    index = places(test, seeds, "item_id").select("h", "item_id", F.col("pos").alias("item_pos"))
+    small = index.limit(broadcast_hashes + 1).count() <= broadcast_hashes
+    narrow = places(doc, seeds, "id", "uid").join(F.broadcast(index) if small else index, "h")
+    narrow = materialize(narrow.select("id", "uid", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct(), "hits")
+    own = doc.withColumnRenamed("uid", "u").withColumnRenamed("id", "i")
+    hits = own.join(narrow, (F.col("uid") == F.col("u")) & F.col("id").eqNullSafe(F.col("i"))).join(test.select("item_id", F.col("words").alias("item")), "item_id")
     scored = hits.select("id", "uid", "item_id", "diagonal", segment(F.col("words"), F.col("item"), F.col("diagonal")).alias("s")).where(F.col("s.score") >= least)
     best = F.max(F.struct(F.col("s.score").alias("score"), F.col("s.first").alias("first"), F.col("s.last").alias("last"), F.col("diagonal").alias("diagonal"))).alias("b")
     return scored.groupBy("id", "uid", "item_id").agg(best).select("id", "uid", "item_id", F.col("b.score").alias("score"), F.col("b.first").alias("item_first"), F.col("b.last").alias("item_last"), (F.col("b.first") + F.col("b.diagonal")).alias("doc_first"))
 
 
-def contaminable(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return with_row_uid(docs, "__uid").select(F.col(id_col).cast("long").alias("id"), F.col("__uid").alias("uid"), word_hashes(F.col(text_col)).alias("words"))
-
-
 def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without a contaminated segment, all their columns."""
     marked = with_row_uid(docs, "__uid")
