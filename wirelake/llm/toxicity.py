@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import extended
+from wirelake.llm.common import extended, materialize
 
 CALIBRATION_ROWS = 50_000
 MAX_TERMS = 20_000
@@ -149,7 +149,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def fit(rows: DataFrame) -> Lexicon:
     """Learn from labelled rows (id, text, label 0/1). Counts cover all rows; the curve a bounded sample."""
-    rows = rows.where("label is not null")
+    rows = materialize(rows.where("label is not null"), "labelled")
     n = {r["label"]: r["count"] for r in rows.groupBy(F.col("label").cast("int").alias("label")).count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
     if not toxic or not clean:
