@@ -49,7 +49,8 @@ def places(rows: DataFrame, seeds: tuple[str, ...], *keep: str) -> DataFrame:
         return F.when(F.size("words") >= len(mask), made).otherwise(F.array().cast("array<bigint>"))
 
     found = rows.select(*keep, F.size("words").alias("n"), F.concat(*[hashes(k, m) for k, m in enumerate(seeds)]).alias("hs"))
-    found = found.select(*keep, "n", F.posexplode("hs").alias("p", "h"))
+    # outer, because for a plain one the optimizer adds a filter on the array that computes it again for every element
+    found = found.select(*keep, "n", F.posexplode_outer("hs").alias("p", "h")).where("h is not null")
     pos, before = F.lit(None).cast("int"), F.lit(0)
     counts = [F.greatest(F.col("n") - len(m) + 1, F.lit(0)) for m in seeds]
     for n in counts:
