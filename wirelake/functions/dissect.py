@@ -324,7 +324,7 @@ def _mpls(buf, s, e, up):
     return u
 
 
-PARSERS = {ETH: _eth, ARP: _arp, IP: _ip, IP6: _ip6, ICMP: _icmp, ICMP6: _icmp6, UDP: _udp, TCP: _tcp, GRE: _gre, VXLAN: _vxlan, MPLS: _mpls}
+PARSERS = {ETH: _eth, ARP: _arp, IP: _ip, IP6: _ip6, ICMP: _icmp, ICMP6: _icmp6, UDP: _udp, TCP: _tcp, GRE: _gre, NVGRE: _gre, VXLAN: _vxlan, MPLS: _mpls}
 
 
 def add_parser(prid: int, parser, ethertype: int | None = None) -> None:
@@ -364,25 +364,29 @@ def with_pdus(packets: DataFrame) -> DataFrame:
 
 
 def with_headers(packets: DataFrame) -> DataFrame:
-    """Add ``h``: offsets of the common headers as columns; null where a header is absent.
+    """Add h_net, h_ip, h_tcp ...: offsets of the common headers as columns; null where a header is absent.
 
     Only for Ethernet, up to two tags, IPv4 without fragment offset, TCP, UDP and ICMP.
     """
     d = F.col("data")
-    e0 = be_uint(d, 12, 2)
-    e1 = F.when(e0.isin(*VLAN_TYPES), be_uint(d, 16, 2))
-    tags = F.when(e1.isin(*VLAN_TYPES), 2).when(e1.isNotNull(), 1).otherwise(0)
-    net = F.when((F.col("dltype") == ETH) & (F.length(d) >= 14), F.lit(14) + 4 * tags)
-    kind = be_uint(d, net - 2, 2)
-    ip = F.when((kind == 0x0800) & (F.length(d) >= net + 20), net)
-    first = F.when(bits(d, ip + 6, 3, 13) == 0, ip + 4 * bits(d, ip, 4, 4))
-    proto = be_uint(d, ip + 9, 1)
-    return packets.withColumn("h", F.struct(
-        net.cast("int").alias("net"), kind.cast("int").alias("ethtype"), ip.cast("int").alias("ip"), proto.cast("int").alias("ip_proto"),
-        F.when(proto == TCP, first).cast("int").alias("tcp"), F.when(proto == UDP, first).cast("int").alias("udp"), F.when(proto == ICMP, first).cast("int").alias("icmp"),
-    ))
+    e0, e1 = be_uint(d, 12, 2), be_uint(d, 16, 2)
+    tags = F.when(e0.isin(*VLAN_TYPES), F.when(e1.isin(*VLAN_TYPES), 2).otherwise(1)).otherwise(0)
+    rows = fixed(packets, h_net=F.when((F.col("dltype") == ETH) & (F.length(d) >= 14), F.lit(14) + 4 * tags))
+    rows = fixed(rows, h_ethtype=be_uint(d, F.col("h_net") - 2, 2).cast("int"))
+    ip = F.when((F.col("h_ethtype") == 0x0800) & (F.length(d) >= F.col("h_net") + 20), F.col("h_net"))
+    rows = fixed(rows, h_ip=ip)
+    ip = F.col("h_ip")
+    rows = fixed(rows, h_ip_proto=be_uint(d, ip + 9, 1).cast("int"), h_first=F.when(bits(d, ip + 6, 3, 13) == 0, ip + 4 * bits(d, ip, 4, 4)).cast("int"))
+    is_proto = {"h_tcp": TCP, "h_udp": UDP, "h_icmp": ICMP}
+    return fixed(rows, **{k: F.when(F.col("h_ip_proto") == v, F.col("h_first")) for k, v in is_proto.items()}).drop("h_first")
+
+
+def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that the optimizer takes as they are: predicates on them don't pull their expressions in again."""
+    one = F.explode(F.array(F.struct(*[c.alias(k) for k, c in columns.items()])))
+    return rows.select("*", one.alias("__s")).select(*rows.columns, *[F.col(f"__s.{k}").alias(k) for k in columns])
 
 
 def header_uint(header: str, off: int, n: int) -> Column:
     """A number in a header found by ``with_headers``."""
-    return be_uint(F.col("data"), F.col(f"h.{header}") + off, n)
+    return be_uint(F.col("data"), F.col(f"h_{header}") + off, n)

@@ -1,4 +1,438 @@
-"""Registered queries and the SQL they are held against."""
+"""Registered queries over packets made from ``events``, and the SQL they are held against.
+
+The SQL reads only columns of ``events``; that the packets' bytes lead to the same rows is what is
+tested.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wirelake.functions import bytesx as B
+from wirelake.functions.dissect import header_uint, with_headers, with_pdus
+from wirelake.functions.fields import field, implicit, number, present
+from wirelake.operators import diff as diffs
+from wirelake.operators import edit, flows, fragments, order, sequence, streams
+from wirelake.synth import packets
 
 QUERIES = {}
 ORACLES = {}
+DAYS2 = 172800.0
+
+#: What the SQL needs to know of each event's packet.
+PKT = """p AS (SELECT event_id + 1 AS pkt_no, event_id, user_id, event_type, props, value, ts, event_id % 2 AS back,
+  CASE event_type WHEN 'click' THEN 80 WHEN 'view' THEN 443 WHEN 'purchase' THEN 8080 WHEN 'signup' THEN 53 END AS port,
+  CASE event_type WHEN 'click' THEN 0 WHEN 'error' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS code,
+  CASE event_type WHEN 'signup' THEN 17 WHEN 'error' THEN 1 ELSE 6 END AS proto, 1024 + user_id % 60000 AS cport,
+  34 + CASE WHEN event_type IN ('signup', 'error') THEN 8 ELSE 20 END + strlen(props) AS len,
+  epoch_us(ts) AS us FROM events)"""
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = f"WITH {PKT} {sql}"
+        return f
+
+    return add
+
+
+def heads(spark, sf) -> DataFrame:
+    return with_headers(packets(spark, sf))
+
+
+def whole(spark, sf, checksums=False) -> DataFrame:
+    return with_pdus(packets(spark, sf, checksums))
+
+
+SPORT = "CASE WHEN port IS NULL THEN NULL WHEN back = 0 THEN cport ELSE port END"
+DPORT = "CASE WHEN port IS NULL THEN NULL WHEN back = 0 THEN port ELSE cport END"
+
+
+def flagship(spark, sf) -> DataFrame:
+    rows = order.keep(heads(spark, sf), (header_uint("tcp", 2, 2) == 80) | (header_uint("tcp", 0, 2) == 80))
+    return order.count(rows, F.col("h_ip_proto").alias("proto"), header_uint("tcp", 2, 2).alias("dport"))
+
+
+@query(f"SELECT proto, {DPORT} AS dport, count(*) AS packets, sum(len)::BIGINT AS bytes FROM p WHERE event_type = 'click' GROUP BY ALL")
+def count_tcp_port_80(spark, sf):
+    return flagship(spark, sf)
+
+
+@query("SELECT pkt_no, len FROM p WHERE event_type = 'click' AND back = 0")
+def filter_tcp_port(spark, sf):
+    return order.keep(heads(spark, sf), header_uint("tcp", 2, 2) == 80).select("pkt_no", F.length("data").cast("long").alias("len"))
+
+
+@query("SELECT pkt_no FROM p WHERE back = 0 AND user_id < 64")
+def filter_cidr_mask(spark, sf):
+    src = B.cut(F.col("data"), F.col("h_ip") + 12, 4)
+    return order.keep(heads(spark, sf), B.cidr_eq(src, "10.0.0.0/26")).select("pkt_no")
+
+
+@query("SELECT pkt_no FROM p WHERE regexp_matches(props, '1.*7')")
+def filter_regex(spark, sf):
+    body = F.coalesce(F.col("h_tcp") + 20, F.col("h_udp") + 8, F.col("h_icmp") + 8)
+    return order.keep(heads(spark, sf), B.regex_match(F.expr("substring(data, 1 + coalesce(h_tcp + 20, h_udp + 8, h_icmp + 8))"), "1.*7") & body.isNotNull()).select("pkt_no")
+
+
+@query("SELECT pkt_no, xor(event_id & 65535, 4660) AS x, (((event_id & 65535) << 17) & 4294967295) AS l, ((event_id & 65535) >> 3) AS r, bit_count(event_id & 65535)::BIGINT AS ones FROM p WHERE (event_id & 5) = 5")
+def filter_bitops(spark, sf):
+    ident = header_uint("ip", 4, 2)
+    rows = order.keep(heads(spark, sf), ident.bitwiseAND(5) == 5)
+    return rows.select("pkt_no", ident.bitwiseXOR(0x1234).alias("x"), B.u32(F.shiftleft(ident, 17)).alias("l"), F.shiftright(ident, 3).alias("r"), B.pop_count(ident).alias("ones"))
+
+
+@query("SELECT pkt_no, (event_id * 65536 + 2147483648) & 4294967295 AS u FROM p WHERE event_id % 32768 < 16384 AND proto = 6")
+def filter_signed_compare(spark, sf):
+    u = B.u32(header_uint("tcp", 4, 4) * 65536 + (1 << 31))
+    return order.keep(heads(spark, sf), (B.s32(B.u32(header_uint("ip", 4, 2) * 131072)) >= 0) & F.col("h_tcp").isNotNull()).select("pkt_no", u.alias("u"))
+
+
+@query("SELECT pkt_no, CASE WHEN proto = 6 THEN 3 ELSE 0 END::BIGINT AS tcp, CASE WHEN proto = 17 THEN 3 ELSE 0 END::BIGINT AS udp, CASE WHEN proto = 6 THEN port = 443 AND back = 0 ELSE false END AS guarded FROM p")
+def missing_field_guard(spark, sf):
+    guard = F.when(present("tcp") > 0, number("tcp.dport") == 443).otherwise(False)
+    return whole(spark, sf).select("pkt_no", present("tcp").alias("tcp"), present("udp").alias("udp"), guard.alias("guarded"))
+
+
+@query(f"SELECT pkt_no, proto::BIGINT AS ip_proto, 64::BIGINT AS ttl, {SPORT} AS sport, {DPORT} AS dport, CASE WHEN proto = 6 THEN event_id END AS seqn, CASE WHEN proto = 1 THEN user_id & 65535 END AS icmp_id FROM p")
+def dissect_fields(spark, sf):
+    sport = F.coalesce(number("tcp.sport"), number("udp.sport"))
+    dport = F.coalesce(number("tcp.dport"), number("udp.dport"))
+    return whole(spark, sf).select("pkt_no", number("ip.proto").alias("ip_proto"), number("ip.ttl").alias("ttl"), sport.alias("sport"), dport.alias("dport"), number("tcp.seqn").alias("seqn"), number("icmp.id").alias("icmp_id"))
+
+
+@query("SELECT pkt_no, 20::BIGINT AS hlen, len - 34 AS plen, 0::BIGINT AS tlen, len - 14 AS totlen, 256::BIGINT AS prid, 2::BIGINT AS idx, props AS payload, CASE WHEN proto = 6 THEN 20 ELSE 4294967295 END AS tcp_hlen FROM p")
+def implicit_members(spark, sf):
+    names = [implicit("ip", m).alias(m) for m in ("hlen", "plen", "tlen", "totlen", "prid")]
+    body = F.decode(F.coalesce(field("tcp.payload"), field("udp.payload"), field("icmp.payload")), "UTF-8")
+    return whole(spark, sf).select("pkt_no", *names, implicit("ip", "index").alias("idx"), body.alias("payload"), implicit("tcp", "hlen").alias("tcp_hlen"))
+
+
+@query("SELECT pkt_no, 4::BIGINT AS vers, 5::BIGINT AS ihl, 0::BIGINT AS df, 0::BIGINT AS fragoff, CASE WHEN proto = 6 THEN 5 END::BIGINT AS doff, CASE WHEN proto = 6 THEN 1 END::BIGINT AS psh, CASE WHEN proto = 6 THEN 0 END::BIGINT AS syn FROM p WHERE event_id % 3 = 0")
+def bit_fields(spark, sf):
+    names = ("ip.vers", "ip.ihl", "ip.df", "ip.fragoff", "tcp.doff", "tcp.psh", "tcp.syn")
+    rows = with_pdus(packets(spark, sf).where("pkt_no % 3 = 1"))
+    return rows.select("pkt_no", *[field(n).cast("long").alias(n.split(".")[1]) for n in names])
+
+
+@query("SELECT proto::BIGINT AS proto, count(*) AS packets, sum(len)::BIGINT AS bytes FROM p GROUP BY 1")
+def count_bytes_by_proto(spark, sf):
+    return order.count(heads(spark, sf), F.col("h_ip_proto").cast("long").alias("proto"))
+
+
+@query("SELECT pkt_no FROM p ORDER BY pkt_no LIMIT 10")
+def head(spark, sf):
+    return order.head(packets(spark, sf)).select("pkt_no")
+
+
+@query("SELECT pkt_no FROM p ORDER BY pkt_no DESC LIMIT 10")
+def tail(spark, sf):
+    return order.tail(packets(spark, sf)).select("pkt_no")
+
+
+@query("SELECT pkt_no, row_number() OVER (ORDER BY pkt_no DESC) AS place FROM p")
+def reverse(spark, sf):
+    top = packets(spark, sf).agg(F.max("pkt_no").alias("top"))
+    return order.reverse(packets(spark, sf)).join(F.broadcast(top), F.lit(True)).select("pkt_no", (F.col("top") + 1 - F.col("pkt_no")).alias("place"))
+
+
+@query("SELECT pkt_no FROM p WHERE pkt_no BETWEEN 100 AND 250")
+def range_number(spark, sf):
+    return order.in_range(packets(spark, sf), 100, 250).select("pkt_no")
+
+
+RANGE = """, m AS (SELECT *, event_type = 'signup' AS s, event_type = 'error' AS e FROM p), q AS (SELECT *, last_value(CASE WHEN e THEN 0 WHEN s THEN 1 END IGNORE NULLS) OVER (ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS open FROM m)"""
+
+
+@query(f"{RANGE} SELECT pkt_no FROM q WHERE s OR open = 1")
+def range_expr_multiple(spark, sf):
+    udp, icmp = F.col("h_udp").isNotNull(), F.col("h_icmp").isNotNull()
+    return order.in_range(heads(spark, sf), udp, icmp, multiple=True).select("pkt_no")
+
+
+@query(f"{RANGE} SELECT pkt_no FROM q WHERE (s OR open = 1) AND pkt_no <= (SELECT min(pkt_no) FROM q WHERE e AND (s OR open = 1))")
+def range_expr_first(spark, sf):
+    udp, icmp = F.col("h_udp").isNotNull(), F.col("h_icmp").isNotNull()
+    return order.in_range(heads(spark, sf), udp, icmp).select("pkt_no")
+
+
+@query("SELECT pkt_no FROM p WHERE event_type = 'signup' ORDER BY pkt_no LIMIT 5")
+def first_matching(spark, sf):
+    return order.first_matching(heads(spark, sf), F.col("h_udp").isNotNull(), 5).select("pkt_no")
+
+
+def ranked(rows: DataFrame, key, descending=False) -> DataFrame:
+    """Places by a key, exported so that order can be compared: distributed, by counts of smaller keys."""
+    from pyspark.sql import Window
+
+    by = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n")).withColumn("bucket", F.substring("k", 1, 2))
+    w = Window.partitionBy("bucket").orderBy(F.desc("k") if descending else F.asc("k")).rowsBetween(Window.unboundedPreceding, -1)
+    per = by.groupBy("bucket").agg(F.sum("n").alias("m"))
+    w2 = Window.orderBy(F.desc("bucket") if descending else F.asc("bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    per = per.select("bucket", F.coalesce(F.sum("m").over(w2), F.lit(0)).alias("base"))
+    base = by.join(per, "bucket").select("k", (F.col("base") + F.coalesce(F.sum("n").over(w), F.lit(0))).alias("base"))
+    inside = Window.partitionBy("k").orderBy("pkt_no")
+    return rows.join(base, "k").select("pkt_no", (F.col("base") + F.row_number().over(inside)).cast("long").alias("place"))
+
+
+@query("SELECT pkt_no, row_number() OVER (ORDER BY CASE WHEN back = 0 THEN cport ELSE port END, pkt_no) AS place FROM p WHERE proto = 6")
+def sort_key_multi(spark, sf):
+    rows = with_pdus(packets(spark, sf)).where(present("tcp") > 0)
+    return ranked(rows.withColumn("k", order.sort_key(["tcp.sport", "ip.ttl"])), "k")
+
+
+@query("SELECT pkt_no, row_number() OVER (ORDER BY CASE WHEN proto = 6 THEN printf('%08x', event_id) ELSE '' END DESC, pkt_no) AS place FROM p")
+def sort_missing_key_reverse(spark, sf):
+    rows = with_pdus(packets(spark, sf))
+    return ranked(rows.withColumn("k", order.sort_key(["tcp.seqn"])), "k", descending=True)
+
+
+@query("SELECT pkt_no, len FROM p ORDER BY len DESC, pkt_no LIMIT 20")
+def top_k_by_size(spark, sf):
+    return packets(spark, sf).select("pkt_no", F.length("data").cast("long").alias("len")).orderBy(F.desc("len"), "pkt_no").limit(20)
+
+
+@query("SELECT pkt_no, CASE WHEN proto = 6 THEN 'tcp' WHEN proto = 17 THEN 'udp' ELSE 'none' END AS kind, CASE WHEN proto <> 1 THEN 4 + count(CASE WHEN proto <> 1 THEN 1 END) OVER (ORDER BY pkt_no) END AS seq FROM p")
+def seq_embed_extract(spark, sf):
+    where = [sequence.Location("tpld", 0, 4), sequence.Location("upld", 0, 4)]
+    out = sequence.embed(whole(spark, sf), where, start=5)
+    again = sequence.extract(with_pdus(out.drop("pdus")), where)
+    kind = F.when(present("tcp") > 0, "tcp").when(present("udp") > 0, "udp").otherwise("none")
+    return again.select("pkt_no", kind.alias("kind"), "seq")
+
+
+@query("SELECT count(*) AS packets, count(*) AS in_order FROM p")
+def seq_verify(spark, sf):
+    where = [sequence.Location("esrc")]
+    out = sequence.extract(with_pdus(sequence.embed(whole(spark, sf), where).drop("pdus")), where)
+    return sequence.verify(out).agg(F.count(F.lit(1)).alias("packets"), F.count(F.when(F.col("ok"), 1)).alias("in_order"))
+
+
+@query(", t AS (SELECT *, min(us) OVER () AS u0 FROM p) SELECT pkt_no, u0 + ((us - u0) // 1000 // 2) * 1000 AS us FROM t")
+def scale_time_half(spark, sf):
+    out = order.scale_time(packets(spark, sf), 0.5)
+    return out.select("pkt_no", (F.col("ts_sec") * 1_000_000 + F.floor(F.col("ts_nsec") / 1000)).alias("us"))
+
+
+@query("SELECT pkt_no, 250 + (pkt_no - 1) * 10 AS ms FROM p")
+def pace_interval(spark, sf):
+    return order.release_times(packets(spark, sf), interval=0.01, delay=0.25).select("pkt_no", F.round(F.col("release_at") * 1000).cast("long").alias("ms"))
+
+
+@query("SELECT pkt_no, (coalesce(sum(len * 8) OVER (ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS us FROM p")
+def pace_bits(spark, sf):
+    return order.release_times(packets(spark, sf), bps=1e6).select("pkt_no", F.round(F.col("release_at") * 1e6).cast("long").alias("us"))
+
+
+@query("SELECT pkt_no, us - min(us) OVER () AS us FROM p")
+def pace_timestamps(spark, sf):
+    return order.release_times(packets(spark, sf)).select("pkt_no", F.round(F.col("release_at") * 1e6).cast("long").alias("us"))
+
+
+def three(spark, sf) -> DataFrame:
+    return packets(spark, sf).withColumn("src_id", F.pmod(F.col("in_iface"), F.lit(3)))
+
+
+@query("SELECT pkt_no, (user_id % 4) % 3 AS src, row_number() OVER (PARTITION BY (user_id % 4) % 3 ORDER BY pkt_no) AS rr FROM p")
+def merge_round_robin(spark, sf):
+    return streams.merge_round_robin(three(spark, sf)).select("pkt_no", F.col("src_id").cast("long").alias("src"), "rr")
+
+
+@query("SELECT pkt_no, (user_id % 4) % 3 AS src FROM p")
+def merge_time(spark, sf):
+    return streams.merge_time(three(spark, sf)).select("pkt_no", F.col("src_id").cast("long").alias("src"))
+
+
+@query(", s AS (SELECT *, (user_id % 4) % 3 AS src FROM p) SELECT pkt_no, src, coalesce(sum(len) OVER (PARTITION BY src ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent FROM s")
+def merge_by_bytes(spark, sf):
+    return streams.merge_by_bytes(three(spark, sf)).select("pkt_no", F.col("src_id").cast("long").alias("src"), F.col("sent").cast("long").alias("sent"))
+
+
+@query(", s AS (SELECT *, (user_id % 4) % 3 AS src FROM p) SELECT pkt_no, src, (row_number() OVER (PARTITION BY src ORDER BY pkt_no) - 1) * 1000000 // count(*) OVER (PARTITION BY src) AS share FROM s")
+def merge_proportional(spark, sf):
+    n = three(spark, sf).groupBy("src_id").count()
+    rows = streams.merge_proportional(three(spark, sf)).join(F.broadcast(n), "src_id")
+    return rows.select("pkt_no", F.col("src_id").cast("long").alias("src"), F.floor((F.col("rr") - 1) * 1000000 / F.col("count")).cast("long").alias("share"))
+
+
+@query("SELECT (user_id % 4) % 3 AS src, count(*) AS packets FROM p GROUP BY 1")
+def merge_random_counts(spark, sf):
+    return streams.merge_random(three(spark, sf)).groupBy(F.col("src_id").cast("long").alias("src")).agg(F.count(F.lit(1)).alias("packets"))
+
+
+@query("SELECT event_id % 2 AS iface, count(*) AS packets FROM p GROUP BY 1")
+def mux_streams(spark, sf):
+    base = packets(spark, sf)
+    out = streams.mux(base.where("pkt_no % 2 = 1"), base.where("pkt_no % 2 = 0"))
+    return out.groupBy(F.col("in_iface").cast("long").alias("iface")).agg(F.count(F.lit(1)).alias("packets"))
+
+
+@query("SELECT CASE WHEN user_id % 4 < 2 THEN (user_id % 4)::VARCHAR ELSE 'rest' END AS port, count(*) AS packets FROM p WHERE user_id % 4 <> 2 GROUP BY 1")
+def demux_counts(spark, sf):
+    base = packets(spark, sf).withColumn("out_iface", F.when(F.col("in_iface") < 3, F.col("in_iface")))
+    out = None
+    for port, s in streams.demux(base, 3, opened={0, 1}).items():
+        one = s.agg(F.count(F.lit(1)).alias("packets")).select(F.lit(str(port)).alias("port"), "packets")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+FLOW = f""", k AS (SELECT *, us * 1000 AS ns, lag(us) OVER w AS was FROM p WINDOW w AS (PARTITION BY proto, user_id, code ORDER BY pkt_no)),
+s AS (SELECT *, sum(CASE WHEN was IS NULL OR us - was >= {int(DAYS2) * 1000000} THEN 1 ELSE 0 END) OVER (PARTITION BY proto, user_id, code ORDER BY pkt_no) AS sess FROM k),
+f AS (SELECT *, min(pkt_no) OVER v AS fst, first_value(back) OVER (PARTITION BY proto, user_id, code, sess ORDER BY pkt_no) AS fback FROM s WINDOW v AS (PARTITION BY proto, user_id, code, sess)),
+g AS (SELECT *, dense_rank() OVER (ORDER BY fst) AS flow_id FROM f)"""
+
+
+def tracked(spark, sf) -> DataFrame:
+    return flows.track(flows.header_key(heads(spark, sf)), DAYS2)
+
+
+@query(f"{FLOW} SELECT pkt_no, flow_id, back = fback AS c2s FROM g")
+def flow_ids(spark, sf):
+    return tracked(spark, sf).select("pkt_no", "flow_id", "c2s")
+
+
+@query(f"{FLOW} SELECT pkt_no, flow_id FROM g")
+def flow_ids_from_pdus(spark, sf):
+    return flows.track(flows.pdu_key(whole(spark, sf)), DAYS2).select("pkt_no", "flow_id")
+
+
+@query(f"{FLOW} SELECT flow_id, count(*) FILTER (back = fback) AS c2s_pkts, coalesce(sum(len) FILTER (back = fback), 0)::BIGINT AS c2s_bytes, count(*) FILTER (back <> fback) AS s2c_pkts, coalesce(sum(len) FILTER (back <> fback), 0)::BIGINT AS s2c_bytes FROM g GROUP BY 1")
+def flow_stats(spark, sf):
+    return flows.stats(tracked(spark, sf), DAYS2).select("flow_id", "c2s_pkts", "c2s_bytes", "s2c_pkts", "s2c_bytes")
+
+
+@query(f"{FLOW}, d AS (SELECT flow_id, (max(us) - min(us)) // 86400000000 AS n FROM g GROUP BY 1) SELECT event, count(*)::BIGINT AS n FROM (SELECT unnest(list_concat(['START', 'END'], list_transform(range(n), lambda x: 'UPDATE'))) AS event FROM d) GROUP BY 1")
+def flow_events(spark, sf):
+    return flows.events(tracked(spark, sf), DAYS2, 86400.0).groupBy("event").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"{FLOW} SELECT flow_id, count(*) AS packets FROM g GROUP BY 1 HAVING count(*) > 2")
+def flow_split_counts(spark, sf):
+    return tracked(spark, sf).groupBy("flow_id").agg(F.count(F.lit(1)).alias("packets")).where("packets > 2")
+
+
+@query("SELECT pkt_no, true AS ok, 0::BIGINT AS errors FROM p")
+def checksum_fix(spark, sf):
+    def change(p, row):
+        p.fix_csums()
+
+    out = with_pdus(edit.edit(packets(spark, sf), change))
+    errors = F.aggregate("pdus", F.lit(0).cast("long"), lambda a, u: a + u["error"].cast("long"))
+    return out.select("pkt_no", (errors == 0).alias("ok"), errors.alias("errors"))
+
+
+@query("SELECT pkt_no, true AS ip_ok FROM p")
+def checksum_columns(spark, sf):
+    rows = with_headers(packets(spark, sf, checksums=True))
+    return rows.select("pkt_no", (B.ones_sum(B.cut(F.col("data"), F.col("h_ip"), 20)) == 0xFFFF).alias("ip_ok"))
+
+
+@query("SELECT pkt_no, 9 AS ttl, len FROM p")
+def assign_fields(spark, sf):
+    out = with_pdus(edit.assign(whole(spark, sf), "ip.ttl", F.lit(b"\x09")).drop("pdus"))
+    return out.select("pkt_no", number("ip.ttl").cast("int").alias("ttl"), F.length("data").cast("long").alias("len"))
+
+
+@query("SELECT pkt_no, true AS same, len + 24 AS wrapped FROM p")
+def encap_decap_gre(spark, sf):
+    def there(p, row):
+        edit.gre_encap(p, bytes([172, 16, 0, 1]), bytes([172, 16, 0, 2]))
+
+    def back(p, row):
+        return edit.gre_decap(p)
+
+    base = packets(spark, sf)
+    out = edit.edit(base, there)
+    size = out.select("pkt_no", F.length("data").cast("long").alias("wrapped"), "data", "dltype", *[c for c in base.columns if c not in ("pkt_no", "data", "dltype")])
+    again = edit.edit(size, back)
+    return again.join(base.select(F.col("pkt_no").alias("n"), F.col("data").alias("d")), F.col("pkt_no") == F.col("n")).select("pkt_no", (F.col("d") == F.col("data")).alias("same"), "wrapped")
+
+
+@query("SELECT pkt_no, true AS same FROM p")
+def encap_decap_vxlan(spark, sf):
+    def both(p, row):
+        edit.vxlan_encap(p, 42)
+        return edit.vxlan_decap(p)
+
+    base = packets(spark, sf)
+    again = edit.edit(base, both)
+    return again.join(base.select(F.col("pkt_no").alias("n"), F.col("data").alias("d")), F.col("pkt_no") == F.col("n")).select("pkt_no", (F.col("d") == F.col("data")).alias("same"))
+
+
+@query("SELECT pkt_no, 100 + pkt_no % 7 AS label, true AS same FROM p")
+def mpls_vlan_push_pop(spark, sf):
+    def change(p, row):
+        was = bytes(p.data)
+        p.mpls_push(100 + row["pkt_no"] % 7)
+        p.vlan_push(5)
+        row["class"] = p.get("mpls.label")
+        p.vlan_pop()
+        p.mpls_pop()
+        row["seq"] = int(bytes(p.data) == was)
+
+    return edit.edit(packets(spark, sf), change).select("pkt_no", F.col("class").alias("label"), (F.col("seq") == 1).alias("same"))
+
+
+@query("SELECT pkt_no, ceil((len - 34) / 16)::BIGINT AS fragments FROM p")
+def fragment_counts(spark, sf):
+    out = fragments.fragment(packets(spark, sf), mtu=36, df="fragment")
+    return out.groupBy("pkt_no").agg(F.count(F.lit(1)).alias("fragments"))
+
+
+@query("SELECT pkt_no, len FROM p")
+def fragment_reassemble(spark, sf):
+    cut = fragments.fragment(packets(spark, sf), mtu=36, df="fragment")
+    one = cut.withColumn("at", F.col("pkt_no") * 64 + F.col("sub_no"))
+    out = fragments.reassemble(with_pdus(one), order=("at",))
+    return out.select("pkt_no", F.length("data").cast("long").alias("len"))
+
+
+@query("SELECT user_id, code, port IS NOT NULL AND bool_or(back = 0) AS from_client, sum(strlen(props)) FILTER (back = 0)::BIGINT AS up FROM p WHERE proto = 6 AND back = 0 GROUP BY user_id, code, port")
+def carve_streams(spark, sf):
+    from pyspark.sql import Window
+
+    tcp = order.keep(heads(spark, sf), F.col("h_tcp").isNotNull()).where("pkt_no % 2 = 1")
+    user = F.conv(F.hex(B.cut(F.col("data"), F.col("h_ip") + 12, 4)), 16, 10).cast("long") - (10 << 24)
+    w = Window.partitionBy("u", "c").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tcp.withColumns({"u": user, "c": B.be_uint(F.col("data"), F.col("h_ip") + 19, 1), "size": F.length("data").cast("long") - 54})
+    rows = rows.withColumn("s", F.lit(1) + F.coalesce(F.sum("size").over(w), F.lit(0)))
+    dense = rows.withColumn("data", B.splice(F.col("data"), F.col("h_tcp") + 4, B.be_bytes(F.col("s"), 4), 4)).drop("u", "c", "size", "s")
+    out = fragments.carve(with_pdus(dense)).withColumn("ip", F.substring("conn", 1, 4)).withColumn("other", F.substring("conn", 7, 4))
+    low = B.be_uint(F.col("ip"), 0, 4)
+    return out.groupBy((low - (10 << 24)).alias("user_id"), B.be_uint(F.col("other"), 3, 1).cast("int").alias("code")).agg(F.bool_or(F.col("direction") == "C2S").alias("from_client"), F.sum(F.length("bytes")).alias("up"))
+
+
+@query("SELECT 'PASS' AS op, count(*) AS n FROM p WHERE pkt_no <= 400")
+def diff_self(spark, sf):
+    rows = packets(spark, sf).where("pkt_no <= 400")
+    return diffs.diff(rows, rows, window=50).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT op, count(*) AS n FROM (SELECT CASE WHEN pkt_no % 10 = 3 THEN 'DROP' WHEN pkt_no % 10 = 7 THEN 'INSERT' ELSE 'PASS' END AS op FROM p WHERE pkt_no <= 400) GROUP BY 1")
+def diff_insert_drop(spark, sf):
+    rows = packets(spark, sf).where("pkt_no <= 400")
+    return diffs.diff(rows.where("pkt_no % 10 <> 7"), rows.where("pkt_no % 10 <> 3"), window=45, modify=False).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT pkt_no, CASE WHEN back = 0 THEN '10.0.' || (user_id // 256) || '.' || (user_id % 256) ELSE '192.168.0.' || code END AS ip, CASE WHEN back = 0 THEN '02:00:00:00:' || printf('%02x', user_id // 256) || ':' || printf('%02x', user_id % 256) ELSE '02:01:00:00:00:' || printf('%02x', code) END AS eth, upper(printf('%04x', event_id % 65536)) AS hex FROM p")
+def fmt_ip_eth_hex(spark, sf):
+    d = F.col("data")
+    rows = heads(spark, sf)
+    return rows.select("pkt_no", B.fmt_ip(B.cut(d, F.col("h_ip") + 12, 4)).alias("ip"), B.fmt_eth(B.cut(d, 6, 6)).alias("eth"), F.hex(B.cut(d, F.col("h_ip") + 4, 2)).alias("hex"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE AS day, count(*) AS packets, sum(len)::BIGINT AS bytes FROM p GROUP BY 1")
+def window_tumbling(spark, sf):
+    rows = packets(spark, sf).withColumn("at", F.timestamp_seconds("ts_sec"))
+    out = rows.groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("packets"), F.sum(F.length("data")).alias("bytes"))
+    return out.select(F.to_date("window.start").alias("day"), "packets", "bytes")
+
+
+@query("SELECT user_id % 4 AS iface, count(*) AS packets, sum((value * 100)::BIGINT * 0)::BIGINT AS zero, count(DISTINCT user_id) AS users FROM p GROUP BY 1")
+def meta_tags(spark, sf):
+    user = F.conv(F.hex(F.when(F.col("pkt_no") % 2 == 1, B.cut(F.col("data"), 8, 4)).otherwise(B.cut(F.col("data"), 2, 4))), 16, 10).cast("long")
+    return packets(spark, sf).groupBy(F.col("in_iface").cast("long").alias("iface")).agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("class") * 0).alias("zero"), F.countDistinct(user).alias("users"))
