@@ -14,6 +14,8 @@ from wirelake.functions.dissect import header_uint, with_headers, with_pdus
 from wirelake.functions.fields import field, implicit, number, present
 from wirelake.operators import diff as diffs
 from wirelake.operators import edit, flows, fragments, order, sequence, streams
+from wirelake.plans import pml
+from wirelake.sources import formats, readers
 from wirelake.synth import packets
 
 QUERIES = {}
@@ -436,3 +438,62 @@ def window_tumbling(spark, sf):
 def meta_tags(spark, sf):
     user = F.conv(F.hex(F.when(F.col("pkt_no") % 2 == 1, B.cut(F.col("data"), 8, 4)).otherwise(B.cut(F.col("data"), 2, 4))), 16, 10).cast("long")
     return packets(spark, sf).groupBy(F.col("in_iface").cast("long").alias("iface")).agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("class") * 0).alias("zero"), F.countDistinct(user).alias("users"))
+
+
+@query("SELECT pkt_no FROM p WHERE proto = 6 AND port IN (80, 8080) AND back = 0 AND user_id < 128")
+def pml_filter(spark, sf):
+    library = "inline web(int p) { tcp and (tcp.dport == p or tcp.dport == p * 101) }"
+    test = pml.predicate("web(80) and ip.saddr =~ 10.0.0.0/25", library)
+    return order.keep(whole(spark, sf), test).select("pkt_no")
+
+
+@query("SELECT pkt_no FROM p WHERE proto = 17 AND regexp_matches(props, 'k.*5') AND (event_id & 65535) % 3 = 1")
+def pml_filter_regex_arithmetic(spark, sf):
+    return order.keep(whole(spark, sf), pml.predicate("udp and udp.payload =~ `k.*5` and ip.id % 3 == 1")).select("pkt_no")
+
+
+@query("SELECT user_id % 4 AS iface, count(*) FILTER (proto = 6) AS sent, 7 AS ttl FROM p GROUP BY 1 HAVING count(*) FILTER (proto = 6) > 0")
+def pml_program_by_key(spark, sf):
+    text = "int n; ?- tcp -? { n = n + 1; ip.ttl = 7; send; } ?- not (tcp) -? { drop; }"
+    out = pml.run(packets(spark, sf), text, key="in_iface").where("printed is null")
+    rows = with_pdus(out.drop("sub_no", "printed"))
+    return rows.groupBy(F.col("in_iface").cast("long").alias("iface")).agg(F.count(F.lit(1)).alias("sent"), F.max(number("ip.ttl")).cast("int").alias("ttl"))
+
+
+@query("SELECT (user_id % 4)::INTEGER AS iface, 'n=' || count(*) AS printed FROM p GROUP BY 1")
+def pml_begin_end_print(spark, sf):
+    text = "int n; int i; { n = n + 1; i = meta_get_inport(0); drop; } END { print \"n=\", n, ; print \" i=\", i; }"
+    out = pml.run(packets(spark, sf), text, key="in_iface").where("printed is not null")
+    return out.select(F.regexp_extract("printed", "i=([0-9]+)", 1).cast("int").alias("iface"), F.regexp_extract("printed", "^(n=[0-9]+)", 1).alias("printed"))
+
+
+def round_trip(spark, sf, kind: str) -> DataFrame:
+    """Each packet as a record of a format, read again."""
+    from wirelake.operators.edit import frame_of
+    from wirelake.schema import PACKET
+
+    cut = {"xpkt": formats.read_xpkt, "pcap": lambda b: formats.read_pcap(formats.pcap_start() + b), "hex": lambda b: formats.read_hex(b.decode())}[kind]
+
+    def fit(batches):
+        for pdf in batches:
+            rows = [next(iter(cut(r))) | {"pkt_no": n} for n, r in zip(pdf["pkt_no"], pdf["record"], strict=True)]
+            yield frame_of(rows, PACKET)[PACKET.names]
+
+    return readers.encoded(packets(spark, sf), kind).mapInPandas(fit, PACKET)
+
+
+@query("SELECT pkt_no, len, us, (user_id % 4)::INTEGER AS iface FROM p")
+def xpkt_round_trip(spark, sf):
+    out = round_trip(spark, sf, "xpkt")
+    return out.select("pkt_no", F.length("data").cast("long").alias("len"), (F.col("ts_sec") * 1_000_000 + F.floor(F.col("ts_nsec") / 1000)).alias("us"), F.col("in_iface").alias("iface"))
+
+
+@query("SELECT pkt_no, len, us FROM p")
+def pcap_round_trip(spark, sf):
+    out = round_trip(spark, sf, "pcap")
+    return out.select("pkt_no", F.length("data").cast("long").alias("len"), (F.col("ts_sec") * 1_000_000 + F.floor(F.col("ts_nsec") / 1000)).alias("us"))
+
+
+@query("SELECT pkt_no, len FROM p")
+def hex_round_trip(spark, sf):
+    return round_trip(spark, sf, "hex").select("pkt_no", F.length("data").cast("long").alias("len"))
