@@ -427,11 +427,11 @@ def fmt_ip_eth_hex(spark, sf):
     return rows.select("pkt_no", B.fmt_ip(B.cut(d, F.col("h_ip") + 12, 4)).alias("ip"), B.fmt_eth(B.cut(d, 6, 6)).alias("eth"), F.hex(B.cut(d, F.col("h_ip") + 4, 2)).alias("hex"))
 
 
-@query("SELECT time_bucket(INTERVAL 1 DAY, ts)::DATE AS day, count(*) AS packets, sum(len)::BIGINT AS bytes FROM p GROUP BY 1")
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS packets, sum(len)::BIGINT AS bytes FROM p GROUP BY 1")
 def window_tumbling(spark, sf):
     rows = packets(spark, sf).withColumn("at", F.timestamp_seconds("ts_sec"))
     out = rows.groupBy(F.window("at", "1 day")).agg(F.count(F.lit(1)).alias("packets"), F.sum(F.length("data")).alias("bytes"))
-    return out.select(F.to_date("window.start").alias("day"), "packets", "bytes")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "packets", "bytes")
 
 
 @query("SELECT user_id % 4 AS iface, count(*) AS packets, sum((value * 100)::BIGINT * 0)::BIGINT AS zero, count(DISTINCT user_id) AS users FROM p GROUP BY 1")

@@ -409,7 +409,8 @@ def run(packets: DataFrame, text: str, key: str | None = None, load=None, on_err
     Every key's packets (or all, when key is None) are one stream in pkt_no order.
     """
     program = parse(text, load)
-    schema = T.StructType([*packets.schema.fields, T.StructField("sub_no", T.LongType()), T.StructField("printed", T.StringType())])
+    own = [T.StructField(f.name, f.dataType) for f in packets.schema]
+    schema = T.StructType([*own, T.StructField("sub_no", T.LongType()), T.StructField("printed", T.StringType())])
     names = packets.columns
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:

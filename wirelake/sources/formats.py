@@ -136,7 +136,8 @@ def read_hex(text: str, linktype: int | None = ETH, strict: bool = False):
 
 def to_hex(row: dict) -> str:
     """A packet as annotated text that read_hex reads again."""
-    data, out = bytes(row["data"]), [f"# packet {row.get('pkt_no')}, {len(data)} bytes"]
+    data = bytes(row["data"])
+    out = [f"# packet {row.get('pkt_no')}, {len(data)} bytes"]
     for u in dissect_bytes(data, row["dltype"])[1:]:
         out.append(f"# {u.proto} at {u.soff}, header {u.poff - u.soff}, payload {u.toff - u.poff}, errors {u.error}")
         for f in FIELDS.values():
