@@ -61,6 +61,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_IDS = 1_000_000
+
+
+def small_side(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
+    """A written narrow table, marked for broadcast only while it has at most ``most`` rows.
+
+    Rows of a few numbers are meant: the limit is some tens of MB. Beyond it the join is shuffled.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def with_row_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
     """Add a 64-bit row identifier that a recomputation gives again.
 

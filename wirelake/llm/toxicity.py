@@ -5,8 +5,8 @@ digits or signs that stand for letters. The lexicon holds whole words and word b
 weight is its smoothed log odds between labelled toxic and clean documents, and terms enter by a
 likelihood ratio test over all labelled rows. Phrases of a term and its neighbour that only clean
 documents use are exceptions: a match inside one doesn't count. The weight of the matches, also
-taken by the document's length, goes through a logistic curve that is fitted on at most
-``CALIBRATION_ROWS`` labelled rows.
+taken by the document's length, goes through a logistic curve that is fitted on about
+``CALIBRATION_ROWS`` labelled rows (all of them where there are fewer), chosen by a hash of their id.
 
 Cases: a null or empty text has no match and gets the curve's lowest score. Rows without a label,
 with a null label or whose labels contradict each other count once for each label. Labels without
@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from dataclasses import dataclass, field
 
 import ahocorasick
@@ -27,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import extended, materialize
+from wirelake.llm.common import extended, materialize, small_side
 
 CALIBRATION_ROWS = 50_000
 MAX_TERMS = 20_000
@@ -39,18 +40,43 @@ _ALIKE = dict(zip("авекмнорстухіјѕԁɡӏзбαβεικνορτυ
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
 _LETTERS = str.maketrans(_ALIKE | {"l": "i", "ß": "s", "ı": "i"})
 _STOOD_FOR = str.maketrans(_SIGNS)
+_REMEMBERED = 400_000
+_LONGEST = 48
 _MARKS = re.compile(r"[̀-ͯ​-‏­﻿]+")
 _MIXED = re.compile(r"[^\W_]*(?:[0-9@$!|][^\W_]+|[^\W\d_][0-9])[\w@$]*")
 _GAPS = re.compile(r"[\W_]+")
 
 
-def fold(text: str | None) -> str:
-    """Folded words, a space before and after each."""
-    t = (text or "").lower()
+def _fold_part(part: str) -> str:
+    plain = part.rstrip(".,;:?!")
+    if plain.isascii() and plain.isalpha():
+        return plain.lower().replace("l", "i")
+    t = part.lower()
     if not t.isascii():
         t = _MARKS.sub("", unicodedata.normalize("NFKD", t)).lower()
     t = _MIXED.sub(lambda m: m[0].translate(_STOOD_FOR) if re.search(r"[^\W\d_]", m[0]) else m[0], t)
-    return f" {_GAPS.sub(' ', t.translate(_LETTERS)).strip()} "
+    return _GAPS.sub(" ", t.translate(_LETTERS)).strip()
+
+
+class _Parts(dict):
+    """Folded forms of blank-separated parts; folding never looks past a blank, so they are kept."""
+
+    def __missing__(self, part: str) -> str:
+        folded = _fold_part(part)
+        if len(part) <= _LONGEST:
+            if len(self) >= _REMEMBERED:
+                self.clear()
+            self[part] = folded
+        return folded
+
+
+_PARTS = _Parts()
+
+
+def fold(text: str | None) -> str:
+    """Folded words, a space before and after each."""
+    folded = " ".join(filter(None, map(_PARTS.__getitem__, (text or "").split())))
+    return f" {folded} "
 
 
 def terms(folded: str) -> set[str]:
@@ -103,31 +129,23 @@ class Lexicon:
         return 1 / (1 + np.exp(-np.clip(b + w1 * x[:, 0] + w2 * x[:, 1], -30, 30)))
 
 
-def _g2(a: float, b: float, toxic: float, clean: float) -> float:
-    """Likelihood ratio of a term in a of the toxic and b of the clean documents; 0 where it leans to clean."""
-    total, seen = toxic + clean, a + b
-    if a * clean <= b * toxic:
-        return 0.0
-    g = 0.0
-    for o, e in ((a, seen * toxic / total), (b, seen * clean / total), (toxic - a, (total - seen) * toxic / total), (clean - b, (total - seen) * clean / total)):
-        g += o * math.log(o / e) if o > 0 else 0.0
-    return 2 * g
-
-
 def _counts(rows: DataFrame, of) -> DataFrame:
     """(term, a, b): in how many toxic and clean rows of (text, label) of() has a term."""
 
+    def frame(toxic: Counter, clean: Counter) -> pd.DataFrame:
+        names = list(toxic.keys() | clean.keys())
+        return pd.DataFrame({"term": names, "a": [toxic[n] for n in names], "b": [clean[n] for n in names]})
+
     def fit(batches):
-        seen: dict[str, list[int]] = {}
+        toxic, clean = Counter(), Counter()
         for pdf in batches:
             for text, label in zip(pdf["text"], pdf["label"], strict=True):
-                for term in of(fold(text)):
-                    seen.setdefault(term, [0, 0])[0 if label else 1] += 1
-            if len(seen) > 300_000:
-                yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["term", "a", "b"])
-                seen = {}
-        if seen:
-            yield pd.DataFrame([(k, *v) for k, v in seen.items()], columns=["term", "a", "b"])
+                (toxic if label else clean).update(of(fold(text)))
+            if len(toxic) + len(clean) > 400_000:
+                yield frame(toxic, clean)
+                toxic, clean = Counter(), Counter()
+        if toxic or clean:
+            yield frame(toxic, clean)
 
     return rows.mapInPandas(fit, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
@@ -181,7 +199,7 @@ def fit(rows: DataFrame) -> Lexicon:
 
         met = _counts(rows, phrases).where("a = 0 and b >= 5").orderBy(F.desc("b"), "term").limit(MAX_TERMS).collect()
         found = Lexicon(found.weights, frozenset(r["term"] for r in met))
-    sample = rows.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(CALIBRATION_ROWS) if total > CALIBRATION_ROWS else rows
+    sample = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, CALIBRATION_ROWS / total)))
     got = with_features(sample, found, "label").select("f0", "f1", "label").toPandas()
     found.curve = _logistic(got[["f0", "f1"]].to_numpy(float), got["label"].to_numpy(float))
     return found
@@ -217,7 +235,7 @@ def labelled(docs: DataFrame, labels: DataFrame, fold_out: Column | None = None)
     marks = labels.where("toxic is not null").select(F.col("doc_id").alias("__doc"), F.col("toxic").cast("int").alias("label"))
     rows = docs.where(~fold_out) if fold_out is not None else docs
     rows = rows.select(F.col("doc_id").alias("id"), "text")
-    return rows.join(marks, F.col("id") == F.col("__doc")).select("id", "text", "label")
+    return rows.join(small_side(materialize(marks, "marks")), F.col("id") == F.col("__doc")).select("id", "text", "label")
 
 
 def held_out(id_col: str) -> Column:
