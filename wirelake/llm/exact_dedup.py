@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize, scratch, shuffles_freed, with_row_uid
+from wirelake.llm.common import materialize, scratch, shuffles_freed, small_side, with_row_uid
 
 BLANKS = " \t\n\u000b\f\r"
 ROCKSDB = {
@@ -96,7 +96,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if not check_bytes:
         return found
     found = materialize(found, "groups")
-    hits = found.where("group_size > 1").select("id", "uid", "digest")
+    hits = small_side(found.where("group_size > 1").select("id", "uid", "digest"))
     texts = docs.select("id", "uid", normalised(F.col("text")).alias("norm"))
     met = (
         texts.join(hits, (texts["uid"] == hits["uid"]) & texts["id"].eqNullSafe(hits["id"]))
@@ -134,9 +134,9 @@ def _split_again(found: DataFrame, texts: DataFrame, met: DataFrame) -> DataFram
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     marked = with_row_uid(docs, "__uid")
-    stay = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("id").alias("__id"), F.col("uid").alias("__kept_uid"))
-    on = (marked["__uid"] == stay["__kept_uid"]) & marked[id_col].cast("long").eqNullSafe(stay["__id"])
-    return marked.join(stay, on, "left_semi").select(*[marked[c] for c in docs.columns])
+    gone = small_side(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("uid").alias("__gone_uid")))
+    on = (marked["__uid"] == gone["__gone_uid"]) & marked[id_col].cast("long").eqNullSafe(gone["__id"])
+    return marked.join(gone, on, "left_anti").select(*[marked[c] for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
