@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize, with_row_uid
+from wirelake.llm.common import materialize, small_side, with_row_uid
 
 SEEDS = ("11101101011", "110110010111", "1101000110011011")
 LEAST = 8
@@ -85,6 +85,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     small = index.limit(broadcast_hashes + 1).count() <= broadcast_hashes
     narrow = places(doc, seeds, "id", "uid").join(F.broadcast(index) if small else index, "h")
     narrow = materialize(narrow.select("id", "uid", "item_id", (F.col("pos") - F.col("item_pos")).alias("diagonal")).distinct(), "hits")
+    narrow = small_side(narrow)
     own = doc.withColumnRenamed("uid", "u").withColumnRenamed("id", "i")
     hits = own.join(narrow, (F.col("uid") == F.col("u")) & F.col("id").eqNullSafe(F.col("i"))).join(test.select("item_id", F.col("words").alias("item")), "item_id")
     scored = hits.select("id", "uid", "item_id", "diagonal", segment(F.col("words"), F.col("item"), F.col("diagonal")).alias("s")).where(F.col("s.score") >= least)
@@ -96,6 +97,7 @@ def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs without a contaminated segment, all their columns."""
     marked = with_row_uid(docs, "__uid")
     bad = contaminated(marked, items, id_col, text_col, **options).select(F.col("uid").alias("__bad")).distinct()
+    bad = small_side(materialize(bad, "bad"))
     return marked.join(bad, F.col("__uid") == F.col("__bad"), "left_anti").select(*[marked[c] for c in docs.columns])
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize, with_row_uid
+from wirelake.llm.common import materialize, small_side, with_row_uid
 from wirelake.llm.components import components
 from wirelake.llm.simhash import SEED, shingles
 
@@ -138,8 +138,9 @@ def candidate_links(rows: DataFrame) -> DataFrame:
     masks = seeded_masks(rows.count())
     keys = [F.xxhash64(F.lit(k), *[F.col(f"f{w}").bitwiseAND(F.lit(_signed(m[w]))) for w in range(4) if m[w]]) for k, m in enumerate(masks)]
     keyed = rows.withColumn("key", F.explode(F.array(*keys)))
-    sizes = keyed.groupBy("key").count().where("count > 1").withColumn("parts", F.ceil(F.col("count") / F.lit(PART)).cast("int")).drop("count")
-    dealt = keyed.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
+    large = keyed.groupBy("key").count().where(F.col("count") > PART).select("key", F.ceil(F.col("count") / F.lit(PART)).cast("int").alias("parts"))
+    dealt = keyed.join(small_side(materialize(large, "large")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.select("node", "f0", "f1", "f2", "f3", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
     dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
@@ -167,7 +168,7 @@ def candidate_links(rows: DataFrame) -> DataFrame:
 def verified_links(links: DataFrame, rows: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """The links whose shingle sets have at least the similarity; rows has node and text."""
     involved = links.select(F.col("u").alias("n")).unionByName(links.select(F.col("v").alias("n"))).distinct()
-    texts = rows.join(involved, F.col("node") == F.col("n"), "left_semi").select("node", "text")
+    texts = rows.join(small_side(materialize(involved, "involved")), F.col("node") == F.col("n"), "left_semi").select("node", "text")
 
     def sets(batches):
         for pdf in batches:
@@ -208,5 +209,5 @@ def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     classes = similar_classes(marked, id_col, text_col, "__uid", size, similarity)
     ids = marked.select(F.col("__uid").alias("node"), F.col(id_col).alias("id")).join(classes, "node")
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("b")).select("root", F.col("b.node").alias("best"))
-    gone = ids.join(best, "root").where("node <> best").select(F.col("node").alias("__gone"))
+    gone = small_side(materialize(ids.join(best, "root").where("node <> best").select(F.col("node").alias("__gone")), "gone"))
     return marked.join(gone, F.col("__uid") == F.col("__gone"), "left_anti").select(*[marked[c] for c in docs.columns])
