@@ -84,7 +84,12 @@ class Lowering:
             member = e[1].split(".")[-1]
             if e[1] in FIELDS and FIELDS[e[1]].kind == "bits":
                 return number(e[1], e[3][1])
-            return number(e[1], e[3][1]) if member in IMPLICIT and member not in ("exists",) else present(e[1], e[3][1])
+            if member in IMPLICIT and member != "exists":
+                return number(e[1], e[3][1])
+            base = e[1].removesuffix(".exists")
+            if base not in PRID and base not in LAYERS and base != "pdu" and not any(f == base or f.startswith(f"{base}.") for f in FIELDS):
+                raise PmlError(f"unknown name {e[1]}")
+            return present(e[1], e[3][1])
         raise PmlError(f"{kind} has no integer value")
 
     def call(self, e) -> Column:
