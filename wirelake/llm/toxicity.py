@@ -40,7 +40,7 @@ _ALIKE = dict(zip("авекмнорстухіјѕԁɡӏзбαβεικνορτυ
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
 _LETTERS = str.maketrans(_ALIKE | {"l": "i", "ß": "s", "ı": "i"})
 _STOOD_FOR = str.maketrans(_SIGNS)
-_REMEMBERED = 400_000
+_REMEMBERED = 150_000
 _LONGEST = 48
 _MARKS = re.compile(r"[̀-ͯ​-‏­﻿]+")
 _MIXED = re.compile(r"[^\W_]*(?:[0-9@$!|][^\W_]+|[^\W\d_][0-9])[\w@$]*")
