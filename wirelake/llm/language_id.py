@@ -7,8 +7,8 @@ batches, and a text's distribution is the mean over its windows, weighted by the
 For prediction the first layer is tabulated: a filter's response is a sum of table rows, one for
 each pair of neighbouring bytes.
 
-The network is fitted on at most ``TRAIN_ROWS`` labelled rows for each language, chosen by a hash
-of their id, and on windows from all over their texts.
+The network is fitted on about ``TRAIN_ROWS`` labelled rows for each language (all of them where there
+are fewer), chosen by a hash of their id, and on windows from all over their texts.
 
 Cases: a text that is null or has no letter is ``und`` with score 0. Rows whose language is null are
 not learned from. Rows that repeat an id are predicted each. Without labelled rows every text is
@@ -156,18 +156,17 @@ class ByteNetwork:
 def fit(rows: DataFrame) -> ByteNetwork | None:
     """Train on a bounded sample of labelled rows (id, text, label)."""
     usable = rows.where("label is not null and text is not null")
-    narrow = usable.select("id", "label", F.xxhash64("id", F.lit(3)).alias("h"))
-    labels = sorted(r[0] for r in narrow.select("label").distinct().collect())
+    counts = {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    labels = sorted(counts)
     if not labels:
         return None
-    picked = None
-    for label in labels:
-        one = usable.where(F.col("label") == label).select("id", "label", "text", F.xxhash64("id", F.lit(3)).alias("h"))
-        one = one.orderBy("h", "id").limit(TRAIN_ROWS).select("label", F.expr("array(substring(text, 1, 768), substring(text, greatest(1, cast(length(text) / 2 as int)), 768), substring(text, -768, 768))").alias("parts"))
-        picked = one if picked is None else picked.unionByName(one)
+    shares = [F.when(F.col("label") == k, F.lit(int((1 << 30) * min(1.0, TRAIN_ROWS / n)))) for k, n in counts.items()]
+    parts = "array(substring(text, 1, 768), substring(text, greatest(1, cast(length(text) / 2 as int)), 768), substring(text, -768, 768))"
+    marked = usable.withColumn("h", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)))
+    picked = marked.where(F.col("h") < F.coalesce(*shares)).select("label", "h", "id", F.expr(parts).alias("parts"))
     xs, ys = [], []
     rng = np.random.default_rng(2)
-    for r in picked.collect():
+    for r in sorted(picked.collect(), key=lambda r: (r["label"], r["h"], str(r["id"]))):
         for part in r["parts"]:
             data = part.encode()
             if not _LETTER.search(part):
