@@ -139,6 +139,29 @@ def test_near_copies_go_and_others_stay(stored):
     assert similar.kept_rows(stored([], SCHEMA, "none")).count() == 0
 
 
+def near_variants(count, length=240):
+    """A base, and copies of it that are each near to the base but not to each other."""
+    rng = random.Random(4)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(length)]
+    out = [" ".join(base)]
+    for k in range(count):
+        own = list(base)
+        for n, at in enumerate(rng.sample(range(length // 8), 4)):
+            own[at * 8 + 4] = f"v{k}x{n}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_a_large_group_of_variants_of_one_base(stored):
+    texts = near_variants(150)
+    sets = [set(similar.shingle_hashes(t).tolist()) for t in texts]
+    share = lambda a, b: len(a & b) / len(a | b)
+    assert min(share(sets[0], s) for s in sets[1:]) >= 0.8
+    assert sum(share(sets[k], sets[k + 1]) < 0.8 for k in range(1, 150)) > 140
+    docs = stored([(k + 1 if k else 900, t, 0, "") for k, t in enumerate(texts)], SCHEMA)
+    assert similar.kept_rows(docs).count() == 1
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}

@@ -5,8 +5,10 @@ a Jaccard similarity of 0.8 about an eighth of the bits differ. Rows are dealt i
 bits under seeded masks; masks get more bits, and more of them are taken, as rows grow, so that a pair
 at the threshold shares a bucket with probability ``RECALL`` while buckets stay small. In a bucket,
 pairs are discarded by their distances to reference fingerprints (pivots) and survivors verified by
-their own distance; a large bucket is split into pairs of parts, each of which gives a spanning
-forest. Links that remain are held against the exact Jaccard similarity of the shingle sets.
+their own distance; a large bucket is split into pairs of parts. Links are held against the exact
+Jaccard similarity of the shingle sets. A part with very many near pairs gives a spanning forest
+first; then near pairs whose rows are still in different classes are held against the similarity too,
+nearest first, until none is left, so a class doesn't depend on which links the forest took.
 
 Cases: a null text counts as empty; rows without words link to each other only. Rows with fewer words
 than a shingle are compared by their whole sequence. Rows that repeat an id are rows of their own. An
@@ -16,6 +18,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,8 @@ AGREE = 0.87
 RECALL = 0.995
 PART = 1024
 SMALL = 48
+DENSE = 8
+RANKS = (0, 16, 256, None)
 PIVOTS = 16
 _STEPS = np.array([0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], dtype=np.uint64)
 
@@ -95,13 +100,34 @@ def _forest(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[list, list]:
     return a, b
 
 
-def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, most: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """Links inside runs of equal keys: every near pair of small runs, a forest of larger ones."""
+def _all_near(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Every near pair, or None where there are more than DENSE for each row."""
+    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    for x in range(len(fps) - 1):
+        i, j = _near(fps, table, np.full(len(fps) - x - 1, x), np.arange(x + 1, len(fps)), most)
+        a.append(i)
+        b.append(j)
+        held += len(i)
+        if held > DENSE * len(fps):
+            return None
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _starts(keys: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+
+
+def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, most: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Links inside runs of equal keys, and the keys of dense runs.
+
+    Every near pair is a link, but for runs with more than DENSE near pairs a row: those give a forest
+    only, and what it leaves open is for ``ranked_links`` to settle.
+    """
     table = _pivot_table(fps)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+    starts = _starts(keys)
     size = np.diff(np.r_[starts, len(keys)])
     of = np.repeat(size, size)
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    a, b, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
     for step in range(1, min(SMALL, len(keys))):
         i = np.flatnonzero((of[:-step] > step) & (of[:-step] <= SMALL) & (keys[:-step] == keys[step:]))
         if not len(i):
@@ -110,9 +136,34 @@ def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, most: int
         a.append(nodes[i])
         b.append(nodes[j])
     for at, n in zip(starts[size > SMALL], size[size > SMALL], strict=True):
-        i, j = _forest(fps[at : at + n], table[at : at + n], most)
-        a.append(nodes[at + np.array(i, dtype=int)])
-        b.append(nodes[at + np.array(j, dtype=int)])
+        got = _all_near(fps[at : at + n], table[at : at + n], most)
+        if got is None:
+            dense.append(keys[at])
+            got = _forest(fps[at : at + n], table[at : at + n], most)
+        a.append(nodes[at + np.array(got[0], dtype=int)])
+        b.append(nodes[at + np.array(got[1], dtype=int)])
+    return np.concatenate(a), np.concatenate(b), np.array(dense, dtype=np.int64)
+
+
+def ranked_links(keys: np.ndarray, nodes: np.ndarray, roots: np.ndarray, fps: np.ndarray, first: int, last: int, most: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Links of each row to its near rows of the same key from place ``first`` to ``last`` that have another root.
+
+    Places are by distance and node and don't depend on roots, so ranges that follow each other leave
+    no near pair out: its rows have one root, or it becomes a link.
+    """
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    starts = _starts(keys)
+    for at, end in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
+        own, root, fp = nodes[at:end], roots[at:end], fps[at:end]
+        if (root == root[0]).all():
+            continue
+        for x in range(len(own)):
+            d = _distances(fp, fp[x][None])
+            near = np.flatnonzero((d <= most) & (own != own[x]))
+            near = near[np.lexsort((own[near], d[near]))][first:last]
+            near = near[root[near] != root[x]]
+            a.append(np.full(len(near), own[x]))
+            b.append(own[near])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -132,9 +183,8 @@ def _signed(x) -> int:
     return int(np.uint64(x).view(np.int64))
 
 
-def candidate_links(rows: DataFrame) -> DataFrame:
-    """Distinct links (u, v) of rows (node, f0..f3) whose fingerprints are near."""
-    spark = rows.sparkSession
+def dealt_rows(rows: DataFrame) -> DataFrame:
+    """(node, f0..f3, bucket) of rows (node, f0..f3); a key of more than PART rows is dealt into pairs of parts."""
     masks = seeded_masks(rows.count())
     keys = [F.xxhash64(F.lit(k), *[F.col(f"f{w}").bitwiseAND(F.lit(_signed(m[w]))) for w in range(4) if m[w]]) for k, m in enumerate(masks)]
     keyed = rows.withColumn("key", F.explode(F.array(*keys)))
@@ -142,27 +192,61 @@ def candidate_links(rows: DataFrame) -> DataFrame:
     dealt = keyed.join(small_side(materialize(large, "large")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("node", "f0", "f1", "f2", "f3", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
-    dealt = dealt.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket")
+    return dealt.select("node", "f0", "f1", "f2", "f3", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
 
-    def fit(batches):
-        keys, nodes, fps = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
 
-        def frame(n):
-            a, b = bucket_links(keys[:n], nodes[:n], fps[:n])
-            return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}).drop_duplicates()
+def _by_bucket(rows: DataFrame, found: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]) -> DataFrame:
+    """(u, v) that found gives for whole buckets, in order of bucket and node, and their fingerprints."""
+    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "node")
 
+    def ready(pdf: pd.DataFrame) -> pd.DataFrame:
+        return found(pdf, np.ascontiguousarray(pdf[["f0", "f1", "f2", "f3"]].to_numpy()).view(np.uint64))
+
+    def fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = []
         for pdf in batches:
-            keys, nodes = np.r_[keys, pdf["bucket"].to_numpy()], np.r_[nodes, pdf["node"].to_numpy()]
-            fps = np.concatenate([fps, pdf[["f0", "f1", "f2", "f3"]].to_numpy().view(np.uint64)])
-            done = int(np.searchsorted(keys, keys[-1])) if len(keys) else 0
+            if not len(pdf):
+                continue
+            if held and pdf["bucket"].iloc[-1] == held[-1]["bucket"].iloc[-1]:
+                held.append(pdf)
+                if pdf["bucket"].iloc[0] == pdf["bucket"].iloc[-1]:
+                    continue
+            else:
+                held.append(pdf)
+            whole = pd.concat(held, ignore_index=True)
+            done = int(np.searchsorted(whole["bucket"].to_numpy(), whole["bucket"].iloc[-1]))
             if done:
-                yield frame(done)
-                keys, nodes, fps = keys[done:], nodes[done:], fps[done:]
-        if len(keys):
-            yield frame(len(keys))
+                yield ready(whole.iloc[:done])
+            held = [whole.iloc[done:]]
+        if held:
+            yield ready(pd.concat(held, ignore_index=True))
+
+    return rows.mapInPandas(fit, "u long, v long")
+
+
+def _pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
+    return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}).drop_duplicates()
+
+
+def candidate_links(dealt: DataFrame) -> DataFrame:
+    """Distinct links (u, v) whose fingerprints are near; a row without v names a dense bucket."""
+
+    def found(pdf: pd.DataFrame, fps: np.ndarray) -> pd.DataFrame:
+        a, b, dense = bucket_links(pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), fps)
+        got = _pairs(a, b)
+        return pd.DataFrame({"u": np.r_[got["u"].to_numpy(), dense], "v": pd.array([*got["v"], *[None] * len(dense)], dtype="Int64")})
+
+    return _by_bucket(dealt, found).distinct()
+
+
+def open_links(inside: DataFrame, classes: DataFrame, first: int, last: int | None) -> DataFrame:
+    """Distinct links between classes in rows of dense buckets, for one range of places."""
+
+    def found(pdf: pd.DataFrame, fps: np.ndarray) -> pd.DataFrame:
+        return _pairs(*ranked_links(pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), pdf["root"].to_numpy(), fps, first, last))
 
-    return dealt.mapInPandas(fit, "u long, v long").distinct()
+    rows = inside.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return _by_bucket(rows, found).distinct()
 
 
 def verified_links(links: DataFrame, rows: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -199,8 +283,19 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield pd.DataFrame({"node": pdf["node"], "f0": got[:, 0], "f1": got[:, 1], "f2": got[:, 2], "f3": got[:, 3]})
 
     found = materialize(rows.mapInPandas(prints, "node long, f0 long, f1 long, f2 long, f3 long"), "wide")
-    links = materialize(candidate_links(found), "candidates")
-    return components(verified_links(links, rows, size, similarity))
+    dealt = dealt_rows(found)
+    got = materialize(candidate_links(dealt), "candidates")
+    links = materialize(verified_links(got.where("v is not null"), rows, size, similarity), "verified")
+    classes = components(links)
+    dense = materialize(got.where("v is null").select(F.col("u").alias("bucket")), "dense")
+    if not dense.isEmpty():
+        inside = materialize(dealt.join(small_side(dense), "bucket"), "inside")
+        for first, last in zip(RANKS, RANKS[1:], strict=False):
+            more = materialize(open_links(inside, classes, first, last), "open")
+            if not more.isEmpty():
+                links = links.unionByName(materialize(verified_links(more, rows, size, similarity), "verified"))
+                classes = materialize(components(links), "classes")
+    return classes
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
