@@ -162,6 +162,16 @@ def test_a_large_group_of_variants_of_one_base(stored):
     assert similar.kept_rows(docs).count() == 1
 
 
+def test_copies_that_differ_in_repeats_only(stored):
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    line = [f"l{k}" for k in range(10)]
+    docs = [(k, " ".join(words + line * times), 0, "") for k, times in enumerate((1, 2, 20, 60))]
+    sets = [set(similar.shingle_hashes(d[1]).tolist()) for d in docs]
+    assert min(len(a & b) / len(a | b) for a in sets for b in sets) >= 0.9
+    assert [r.doc_id for r in similar.kept_rows(stored(docs, SCHEMA)).collect()] == [0]
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}
