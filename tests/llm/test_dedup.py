@@ -172,6 +172,33 @@ def test_copies_that_differ_in_repeats_only(stored):
     assert [r.doc_id for r in similar.kept_rows(stored(docs, SCHEMA)).collect()] == [0]
 
 
+@pytest.mark.parametrize("heavy", [False, True])
+def test_every_pair_at_the_similarity_shares_a_key(stored, heavy):
+    rng = np.random.default_rng(8)
+    made = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    for n in (4, 9, 36, 180, 900):
+        for _ in range(200):
+            both, own = made(n // 9 * 8 or n), made(2 * (n // 9) or 1)
+            a, b = np.unique(np.r_[both, own[: len(own) // 2]]), np.unique(np.r_[both, own[len(own) // 2 :]])
+            assert len(both) >= 0.8 * (len(both) + len(own))
+            often = np.sort(rng.choice(both, len(both) // 2, replace=False)) if heavy else both[:0]
+            assert len(np.intersect1d(similar.prefix_keys(a, often), similar.prefix_keys(b, often)))
+            assert (similar._distances(similar.wide_fingerprint(a)[None], similar.wide_fingerprint(b)[None]) <= similar.NEAR).all()
+
+
+def test_pairs_just_over_the_similarity(stored):
+    rng = random.Random(9)
+    docs = []
+    for k in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(184)]
+        docs.append((2 * k, " ".join(words), 0, ""))
+        for at in (20, 70, 120, 170):
+            words[at] = "changed"
+        docs.append((2 * k + 1, " ".join(words), 0, ""))
+    kept = similar.kept_rows(stored(docs, SCHEMA))
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(0, 600, 2))
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(50)] + [(100, k) for k in range(101, 160)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}

@@ -1,14 +1,15 @@
-"""Near-duplicate rows at a word-shingle similarity, by wide SimHash and pivot distance tables.
-
-A row's fingerprint is the SimHash of its distinct five-word shingles with 256 bits instead of 64, because at
-a Jaccard similarity of 0.8 about an eighth of the bits differ. Rows are dealt into buckets by the
-bits under seeded masks; masks get more bits, and more of them are taken, as rows grow, so that a pair
-at the threshold shares a bucket with probability ``RECALL`` while buckets stay small. In a bucket,
-pairs are discarded by their distances to reference fingerprints (pivots) and survivors verified by
-their own distance; a large bucket is split into pairs of parts. Links are held against the exact
-Jaccard similarity of the shingle sets. A part with very many near pairs gives a spanning forest
-first; then near pairs whose rows are still in different classes are held against the similarity too,
-nearest first, until none is left, so a class doesn't depend on which links the forest took.
+"""Near-duplicate rows at a word-shingle similarity, by prefix keys, wide SimHash and pivot distance tables.
+
+Two shingle sets at the similarity share a shingle among the first of each, in any order that all rows
+use: of n shingles the first n - ceil(SIMILARITY * n) + 1. These are a row's keys, in order of their
+hashes but with those that are keys of more than PART rows last. Rows that share a key are compared by
+256-bit SimHash fingerprints of their distinct shingles: pairs are discarded by their distances to
+reference fingerprints (pivots) and by their own distance, at a limit that is far from both a pair at
+the similarity (39 bits of 256, 48 for the smallest sets) and unrelated rows (128). A key of many rows
+is split into pairs of parts. Links are held against the exact Jaccard similarity of the shingle sets.
+A part with very many near pairs gives a spanning forest first; then near pairs whose rows are still
+in different classes are held against the similarity too, nearest first, until none is left, so a
+class doesn't depend on which links the forest took.
 
 Cases: a null text counts as empty; rows without words link to each other only. Rows with fewer words
 than a shingle are compared by their whole sequence. Rows that repeat an id are rows of their own. An
@@ -32,10 +33,7 @@ from wirelake.llm.simhash import SEED, shingles
 
 WORDS = 5
 SIMILARITY = 0.8
-BITS = 256
-NEAR = 52
-AGREE = 0.87
-RECALL = 0.995
+NEAR = 76
 PART = 1024
 SMALL = 48
 DENSE = 8
@@ -167,29 +165,22 @@ def ranked_links(keys: np.ndarray, nodes: np.ndarray, roots: np.ndarray, fps: np
     return np.concatenate(a), np.concatenate(b)
 
 
-def seeded_masks(n: int) -> list[np.ndarray]:
-    """Masks (four words each) for n rows."""
-    bits = max(8, math.ceil(math.log2(max(n, 2))) - 4)
-    count = math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**bits))
-    rng, out = np.random.default_rng(19), []
-    for _ in range(count):
-        mask = np.zeros(BITS, dtype=np.uint8)
-        mask[rng.choice(BITS, bits, replace=False)] = 1
-        out.append(np.packbits(mask, bitorder="little").view(np.uint64))
-    return out
-
-
-def _signed(x) -> int:
-    return int(np.uint64(x).view(np.int64))
+def prefix_keys(hashes: np.ndarray, heavy: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The keys of a row's sorted distinct shingle hashes; heavy (sorted) ones go last. Rows without shingles share a key."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, dtype=np.uint64)
+    if len(heavy):
+        common = heavy[np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)] == hashes
+        hashes = np.r_[hashes[~common], hashes[common]]
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
 
 
 def dealt_rows(rows: DataFrame) -> DataFrame:
-    """(node, f0..f3, bucket) of rows (node, f0..f3); a key of more than PART rows is dealt into pairs of parts."""
-    masks = seeded_masks(rows.count())
-    keys = [F.xxhash64(F.lit(k), *[F.col(f"f{w}").bitwiseAND(F.lit(_signed(m[w]))) for w in range(4) if m[w]]) for k, m in enumerate(masks)]
-    keyed = rows.withColumn("key", F.explode(F.array(*keys)))
-    large = keyed.groupBy("key").count().where(F.col("count") > PART).select("key", F.ceil(F.col("count") / F.lit(PART)).cast("int").alias("parts"))
-    dealt = keyed.join(small_side(materialize(large, "large")), "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    """(node, f0..f3, bucket) of rows (node, f0..f3, keys) that share a key; a key of more than PART rows is dealt into pairs of parts."""
+    keyed = rows.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / F.lit(PART)).cast("int").alias("parts"))
+    dealt = keyed.join(shared, "key").join(rows.select("node", "f0", "f1", "f2", "f3"), "node")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return dealt.select("node", "f0", "f1", "f2", "f3", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
@@ -277,12 +268,23 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(node, root) of the rows that have a near duplicate; node is the row's uid."""
     rows = docs.select(F.col(uid_col).alias("node"), F.col(text_col).alias("text"))
 
-    def prints(batches):
-        for pdf in batches:
-            got = np.array([wide_fingerprint(np.unique(shingle_hashes(t, size))) for t in pdf["text"]], dtype=np.uint64).reshape(-1, 4).view(np.int64)
-            yield pd.DataFrame({"node": pdf["node"], "f0": got[:, 0], "f1": got[:, 1], "f2": got[:, 2], "f3": got[:, 3]})
-
-    found = materialize(rows.mapInPandas(prints, "node long, f0 long, f1 long, f2 long, f3 long"), "wide")
+    def printed(heavy: np.ndarray) -> DataFrame:
+        def prints(batches):
+            for pdf in batches:
+                got, keys = [], []
+                for t in pdf["text"]:
+                    hashes = np.unique(shingle_hashes(t, size))
+                    got.append(wide_fingerprint(hashes))
+                    keys.append(prefix_keys(hashes, heavy, similarity).view(np.int64))
+                got = np.array(got, dtype=np.uint64).reshape(-1, 4).view(np.int64)
+                yield pd.DataFrame({"node": pdf["node"], "f0": got[:, 0], "f1": got[:, 1], "f2": got[:, 2], "f3": got[:, 3], "keys": keys})
+
+        return materialize(rows.mapInPandas(prints, "node long, f0 long, f1 long, f2 long, f3 long, keys array<long>"), "wide")
+
+    found = printed(np.zeros(0, dtype=np.uint64))
+    heavy = found.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > PART).select("key").toPandas()
+    if len(heavy):
+        found = printed(np.sort(heavy["key"].to_numpy().view(np.uint64)))
     dealt = dealt_rows(found)
     got = materialize(candidate_links(dealt), "candidates")
     links = materialize(verified_links(got.where("v is not null"), rows, size, similarity), "verified")
