@@ -208,6 +208,13 @@ def test_network_is_a_distribution_and_descends():
     assert net.gradients(pseudo_likelihood.contexts(ids), ids)[0] < was - 1 and rng is not None
 
 
+@pytest.mark.parametrize("words", [1, 2, 7, 8, 101])
+def test_every_word_is_a_target_over_the_rounds(words):
+    ids = np.arange(2, 2 + words, dtype=np.int32)
+    seen = [ids[pseudo_likelihood.targets(ids, pseudo_likelihood.STRIDE, k)] for k in range(pseudo_likelihood.ROUNDS)]
+    assert sorted(np.concatenate(seen).tolist()) == ids.tolist()
+
+
 def test_scores_prefer_seen_order(spark, stored):
     rows = [(k, "alpha beta gamma delta " * 40, 0.0, "") for k in range(20)]
     docs = stored([*rows, (50, None, 0.0, ""), (51, "", 0.0, ""), (52, "delta alpha alpha beta gamma gamma " * 5, 0.0, "")], SCHEMA)

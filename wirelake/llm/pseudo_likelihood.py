@@ -7,7 +7,8 @@ A document's score is the sum of these conditional log-probabilities over all it
 
 The vocabulary comes from counts over all documents. Training is by rounds of local gradient descent:
 each task starts from the same weights, goes over its own documents (every ``STRIDE``-th word is a
-target, at a place that differs by document), and returns its weights; these are averaged by their
+target, from a place that differs by document and moves by one each round, so over the rounds every
+word is a target once), and returns its weights; these are averaged by their
 numbers of targets, first in groups, so what the corpus gives grows with it while the driver gets a
 bounded number of averages.
 
@@ -33,8 +34,8 @@ CLASSES = 64
 MEMBERS = 64
 DIM = 16
 HIDDEN = 32
-STRIDE = 8
 ROUNDS = 2
+STRIDE = ROUNDS
 GROUPS = 16
 UNKNOWN, EDGE = 0, 1
 CHUNK = 8192
@@ -80,6 +81,11 @@ def contexts(ids: np.ndarray, side: int = SIDE) -> np.ndarray:
     return np.stack([padded[k : k + len(ids)] for k in range(2 * side + 1) if k != side], axis=1)
 
 
+def targets(ids: np.ndarray, stride: int, seed: int) -> slice:
+    """The places of a text that are targets in the round of this seed."""
+    return slice((zlib.crc32(ids.tobytes()) + seed) % stride, None, stride)
+
+
 class WindowNetwork:
     """Weights and steps; word id w belongs to class w % CLASSES at place w // CLASSES."""
 
@@ -197,9 +203,9 @@ def _round(docs: DataFrame, ids: dict[str, int], start: WindowNetwork, rate: flo
             for text in pdf["text"]:
                 t = encode(text, ids)
                 if len(t):
-                    at = (zlib.crc32(t.tobytes()) + seed) % stride
-                    xs.append(contexts(t)[at::stride])
-                    ys.append(t[at::stride])
+                    at = targets(t, stride, seed)
+                    xs.append(contexts(t)[at])
+                    ys.append(t[at])
                     held += len(ys[-1])
                     if held >= 65536:
                         step()
