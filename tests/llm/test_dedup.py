@@ -210,3 +210,57 @@ def test_exact_query_equals_sql(spark):
     want = duckdb.sql(exact_dedup.ORACLE.replace("FROM documents", f"FROM '{sf}/documents.parquet'")).fetchall()
     got = exact_dedup.query(spark, sf).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def brute_classes(docs):
+    """Row number -> smallest row number of its class by exact similarity of all pairs."""
+    sets = [set(similar.shingle_hashes(t).tolist()) for _, t in docs]
+    root = list(range(len(docs)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if (a == sets[j]) or both >= 0.8 * (len(a) + len(sets[j]) - both) - 1e-9:
+                root[find(i)] = find(j)
+    return [find(k) for k in range(len(docs))]
+
+
+@pytest.mark.parametrize("part, shingles", [(1024, 1_000_000), (24, 1_000_000), (1024, 6_000)])
+def test_kept_rows_equal_brute_force(stored, monkeypatch, part, shingles):
+    """Chains, variants, templates and copies, in groups that are larger than a part."""
+    monkeypatch.setattr(similar, "PART", part)
+    monkeypatch.setattr(similar, "SHINGLES", shingles)
+    monkeypatch.setattr(similar, "LEADERS", 4)
+    rng = random.Random(12)
+    new = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = near_variants(70)
+    line = new(14)
+    for _ in range(25):
+        body = new(rng.randrange(20, 120))
+        for _ in range(rng.randrange(1, 6)):
+            body = body[:-3] + new(3) if rng.random() < 0.6 else [*body[3:], *new(2)]
+            texts.append(" ".join([*line, *body, *line]))
+    template = new(160)
+    texts += [" ".join([*template, *new(rng.randrange(5, 70))]) for _ in range(90)]
+    texts += [texts[k].upper() for k in range(0, len(texts), 9)] + [None, "", " ", "two words", "Two words", "a b c d e"]
+    rng.shuffle(texts)
+    docs = [(k, t) for k, t in enumerate(texts)]
+    root = brute_classes(docs)
+    low = {}
+    for k, r in enumerate(root):
+        low.setdefault(r, k)
+    kept = similar.kept_rows(stored([(k, t, 0, "") for k, t in docs], SCHEMA))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(low.values())
+
+
+def test_near_copies_of_odd_rows(stored):
+    rows = [(None, "p q r s t u", 1, "a"), (2**60 + 1, "p q r s t u", 2, "b"), (7, "x y z", 3, None), (7, "x y z", 3, None), (9, None, None, None), (10, "word " * 40000, 1, "")]
+    docs = stored(rows, "doc_id long, text string, __uid int, node string")
+    kept = similar.kept_rows(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r["__uid"]) for r in kept.collect()) == [(7, 3), (9, None), (10, 1), (2**60 + 1, 2)]

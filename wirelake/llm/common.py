@@ -6,7 +6,9 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,10 +19,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where the setting is unset."""
+    """The folder in spark.checkpoint.dir; a temporary one where it is unset and all tasks run in this process."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="wirelake-")
@@ -72,6 +76,37 @@ def small_side(df: DataFrame, most: int = BROADCAST_IDS) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def fresh(df: DataFrame, base: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+TEXTS_AT_ONCE = 512
+
+
+def map_texts(rows: DataFrame, made: Callable[[list[str | None]], dict[str, pa.Array | list]], **columns: str) -> DataFrame:
+    """rows with the column ``text`` replaced by the columns that made gives for a list of texts.
+
+    All other columns pass through as Arrow arrays, so 64-bit numbers stay exact beside nulls.
+    """
+    schema = extended(rows.drop("text").schema, **columns)
+    types = {k: _ARROW[v] for k, v in columns.items()}
+    keep = [c for c in rows.columns if c != "text"]
+
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                part = whole.slice(at, TEXTS_AT_ONCE)
+                got = made(part.column("text").to_pylist())
+                own = [v if isinstance(v, pa.Array) else pa.array(v, type=types[k], from_pandas=False) for k, v in ((k, got[k]) for k in types)]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *own], names=[*keep, *types])
+
+    return rows.select(*keep, "text").mapInArrow(apply, schema)
+
+
 def with_row_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
     """Add a 64-bit row identifier that a recomputation gives again.
 
@@ -98,4 +133,5 @@ def extended(schema: T.StructType, **columns: str) -> T.StructType:
     return T.StructType([*schema.fields, *more])
 
 
-_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType()}
+_TYPES = {"long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "longs": T.ArrayType(T.LongType())}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "longs": pa.list_(pa.int64())}

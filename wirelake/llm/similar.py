@@ -1,33 +1,40 @@
 """Near-duplicate rows at a word-shingle similarity, by prefix keys, wide SimHash and pivot distance tables.
 
-Two shingle sets at the similarity share a shingle among the first of each, in any order that all rows
-use: of n shingles the first n - ceil(SIMILARITY * n) + 1. These are a row's keys, in order of their
-hashes but with those that are keys of more than PART rows last. Rows that share a key are compared by
-256-bit SimHash fingerprints of their distinct shingles: pairs are discarded by their distances to
-reference fingerprints (pivots) and by their own distance, at a limit that is far from both a pair at
-the similarity (39 bits of 256, 48 for the smallest sets) and unrelated rows (128). A key of many rows
-is split into pairs of parts. Links are held against the exact Jaccard similarity of the shingle sets.
-A part with very many near pairs gives a spanning forest first; then near pairs whose rows are still
-in different classes are held against the similarity too, nearest first, until none is left, so a
-class doesn't depend on which links the forest took.
+Every row gets its set of distinct shingle hashes and a 256-bit SimHash fingerprint of that set. Two
+sets at the similarity share a shingle among the first of each, in any order that all rows use: of n
+shingles the first n - ceil(SIMILARITY * n) + 1. These are a row's keys, in order of their hashes but
+with those that are keys of very many rows last.
+
+Rows that share a key are compared by their fingerprints: pairs are discarded by their distances to
+reference fingerprints (pivots), survivors verified by their own distance, at a limit that is far from
+both a pair at the similarity (39 bits of 256, 48 for the smallest sets) and unrelated rows (128).
+What is linked so, over any number of steps, is a loose class. Inside loose classes the shingle sets
+themselves are compared, so a class of near duplicates consists of exact links only.
+
+``settle`` finds what connects the rows of a group without comparing all pairs of a large one: parts
+of a bounded size with some rows of the group in each of them come first; then the rows that are
+outside the group's largest class so far meet every row of the group, again in parts of a bounded
+size. So no link is lost, and a group of copies costs work in proportion to its rows.
 
 Cases: a null text counts as empty; rows without words link to each other only. Rows with fewer words
-than a shingle are compared by their whole sequence. Rows that repeat an id are rows of their own. An
-empty table gives an empty result.
+than a shingle are compared by their whole sequence. Rows that repeat an id are rows of their own. A
+null id loses to any other. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize, small_side, with_row_uid
+from wirelake.llm.common import fresh, map_texts, materialize, small_side, with_row_uid
 from wirelake.llm.components import components
 from wirelake.llm.simhash import SEED, shingles
 
@@ -35,11 +42,13 @@ WORDS = 5
 SIMILARITY = 0.8
 NEAR = 76
 PART = 1024
+SHINGLES = 1_000_000
+LEADERS = 32
+HEAVY = 1_000_000
 SMALL = 48
-DENSE = 8
-RANKS = (0, 16, 256, None)
 PIVOTS = 16
 _STEPS = np.array([0, 0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], dtype=np.uint64)
+_PRINT = ["f0", "f1", "f2", "f3"]
 
 
 def shingle_hashes(text: str | None, size: int = WORDS) -> np.ndarray:
@@ -64,6 +73,17 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return out
 
 
+def prefix_keys(hashes: np.ndarray, heavy: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """The keys of a row's sorted distinct shingle hashes; heavy (sorted) ones go last. Rows without shingles share a key."""
+    n = len(hashes)
+    if not n:
+        return np.zeros(1, dtype=np.uint64)
+    if len(heavy):
+        common = heavy[np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)] == hashes
+        hashes = np.r_[hashes[~common], hashes[common]]
+    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int16)
 
@@ -74,6 +94,7 @@ def _pivot_table(fps: np.ndarray) -> np.ndarray:
 
 
 def _near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the pairs (i, j), those within most bits: pivots discard, the distance verifies."""
     for k in range(table.shape[1]):
         if not len(i):
             break
@@ -83,127 +104,106 @@ def _near(fps: np.ndarray, table: np.ndarray, i: np.ndarray, j: np.ndarray, most
     return i[stay], j[stay]
 
 
-def _forest(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[list, list]:
-    left, a, b = np.arange(len(fps)), [], []
-    while len(left) > 1:
-        reached, left = [left[0]], left[1:]
-        while reached and len(left):
+def spanning(roots: np.ndarray, linked: Callable[[int, np.ndarray], np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links that, with the classes in roots, connect all that linked(row, other rows) connects.
+
+    Small classes go first: each of their rows is held against all rows that aren't in its class yet.
+    """
+    order, start = np.argsort(roots, kind="stable"), 0
+    _, sizes = np.unique(roots[order], return_counts=True)
+    classes = []
+    for n in sizes:
+        classes.append(order[start : start + n])
+        start += n
+    name = np.empty(len(roots), dtype=np.int64)
+    for k, own in enumerate(classes):
+        name[own] = k
+    left, a, b = np.ones(len(roots), dtype=bool), [], []
+    for k in np.argsort(sizes, kind="stable"):
+        if not left[classes[k][0]]:
+            continue
+        reached = list(classes[k])
+        left[classes[k]] = False
+        while reached:
+            others = np.flatnonzero(left)
+            if not len(others):
+                return a, b
             x = reached.pop()
-            _, j = _near(fps, table, np.full(len(left), x), left, most)
-            if len(j):
-                a += [x] * len(j)
-                b += list(j)
-                reached += list(j)
-                left = left[~np.isin(left, j)]
+            for y in linked(int(x), others):
+                if left[y]:
+                    a.append(int(x))
+                    b.append(int(y))
+                    left[classes[name[y]]] = False
+                    reached += list(classes[name[y]])
     return a, b
 
 
-def _all_near(fps: np.ndarray, table: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """Every near pair, or None where there are more than DENSE for each row."""
-    a, b, held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
-    for x in range(len(fps) - 1):
-        i, j = _near(fps, table, np.full(len(fps) - x - 1, x), np.arange(x + 1, len(fps)), most)
-        a.append(i)
-        b.append(j)
-        held += len(i)
-        if held > DENSE * len(fps):
-            return None
-    return np.concatenate(a), np.concatenate(b)
-
-
-def _starts(keys: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-
-
-def bucket_links(keys: np.ndarray, nodes: np.ndarray, fps: np.ndarray, most: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Links inside runs of equal keys, and the keys of dense runs.
-
-    Every near pair is a link, but for runs with more than DENSE near pairs a row: those give a forest
-    only, and what it leaves open is for ``ranked_links`` to settle.
-    """
+def loose_links(keys: np.ndarray, roots: np.ndarray, fps: np.ndarray, most: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
+    """Places of rows that are near by fingerprint inside runs of equal keys: all pairs of small runs, what connects larger ones."""
     table = _pivot_table(fps)
-    starts = _starts(keys)
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
     size = np.diff(np.r_[starts, len(keys)])
     of = np.repeat(size, size)
-    a, b, dense = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for step in range(1, min(SMALL, len(keys))):
         i = np.flatnonzero((of[:-step] > step) & (of[:-step] <= SMALL) & (keys[:-step] == keys[step:]))
         if not len(i):
             break
         i, j = _near(fps, table, i, i + step, most)
-        a.append(nodes[i])
-        b.append(nodes[j])
+        a.append(i)
+        b.append(j)
     for at, n in zip(starts[size > SMALL], size[size > SMALL], strict=True):
-        got = _all_near(fps[at : at + n], table[at : at + n], most)
-        if got is None:
-            dense.append(keys[at])
-            got = _forest(fps[at : at + n], table[at : at + n], most)
-        a.append(nodes[at + np.array(got[0], dtype=int)])
-        b.append(nodes[at + np.array(got[1], dtype=int)])
-    return np.concatenate(a), np.concatenate(b), np.array(dense, dtype=np.int64)
-
+        own, rows = fps[at : at + n], table[at : at + n]
 
-def ranked_links(keys: np.ndarray, nodes: np.ndarray, roots: np.ndarray, fps: np.ndarray, first: int, last: int, most: int = NEAR) -> tuple[np.ndarray, np.ndarray]:
-    """Links of each row to its near rows of the same key from place ``first`` to ``last`` that have another root.
+        def linked(x: int, others: np.ndarray, own=own, rows=rows) -> np.ndarray:
+            return _near(own, rows, np.full(len(others), x), others, most)[1]
 
-    Places are by distance and node and don't depend on roots, so ranges that follow each other leave
-    no near pair out: its rows have one root, or it becomes a link.
-    """
-    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    starts = _starts(keys)
-    for at, end in zip(starts, np.r_[starts[1:], len(keys)], strict=True):
-        own, root, fp = nodes[at:end], roots[at:end], fps[at:end]
-        if (root == root[0]).all():
-            continue
-        for x in range(len(own)):
-            d = _distances(fp, fp[x][None])
-            near = np.flatnonzero((d <= most) & (own != own[x]))
-            near = near[np.lexsort((own[near], d[near]))][first:last]
-            near = near[root[near] != root[x]]
-            a.append(np.full(len(near), own[x]))
-            b.append(own[near])
+        i, j = spanning(roots[at : at + n], linked)
+        a.append(at + np.array(i, dtype=np.int64))
+        b.append(at + np.array(j, dtype=np.int64))
     return np.concatenate(a), np.concatenate(b)
 
 
-def prefix_keys(hashes: np.ndarray, heavy: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
-    """The keys of a row's sorted distinct shingle hashes; heavy (sorted) ones go last. Rows without shingles share a key."""
-    n = len(hashes)
-    if not n:
-        return np.zeros(1, dtype=np.uint64)
-    if len(heavy):
-        common = heavy[np.minimum(np.searchsorted(heavy, hashes), len(heavy) - 1)] == hashes
-        hashes = np.r_[hashes[~common], hashes[common]]
-    return hashes[: n - math.ceil(similarity * n - 1e-9) + 1]
+def exact_links(roots: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], similarity: float = SIMILARITY, most: int = NEAR) -> tuple[list[int], list[int]]:
+    """Links that connect the rows whose shingle sets have the similarity; the fingerprints discard pairs first."""
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    names, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    ends = np.cumsum(sizes)
+    mine, table = np.zeros(len(names), dtype=bool), _pivot_table(fps)
 
+    def linked(x: int, others: np.ndarray) -> np.ndarray:
+        others = _near(fps, table, np.full(len(others), x), others, most)[1]
+        others = others[(np.minimum(sizes[others], sizes[x]) >= similarity * np.maximum(sizes[others], sizes[x]) - 1e-9)]
+        if not len(others):
+            return others
+        own = ids[ends[x] - sizes[x] : ends[x]]
+        mine[own] = True
+        both = np.array([np.count_nonzero(mine[ids[ends[y] - sizes[y] : ends[y]]]) for y in others])
+        mine[own] = False
+        return others[both >= similarity * (sizes[others] + sizes[x] - both) - 1e-9]
 
-def dealt_rows(rows: DataFrame) -> DataFrame:
-    """(node, f0..f3, bucket) of rows (node, f0..f3, keys) that share a key; a key of more than PART rows is dealt into pairs of parts."""
-    keyed = rows.select("node", F.explode("keys").alias("key"))
-    shared = keyed.groupBy("key").count().where("count > 1").select("key", F.ceil(F.col("count") / F.lit(PART)).cast("int").alias("parts"))
-    dealt = keyed.join(shared, "key").join(rows.select("node", "f0", "f1", "f2", "f3"), "node")
-    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    return dealt.select("node", "f0", "f1", "f2", "f3", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"))
+    return spanning(roots, linked)
 
 
-def _by_bucket(rows: DataFrame, found: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame]) -> DataFrame:
-    """(u, v) that found gives for whole buckets, in order of bucket and node, and their fingerprints."""
-    rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket").sortWithinPartitions("bucket", "node")
+def _by_bucket(rows: DataFrame, found: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Distinct links (u, v) that found gives, as places, for whole buckets in order of bucket and node."""
+    rows = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
 
     def ready(pdf: pd.DataFrame) -> pd.DataFrame:
-        return found(pdf, np.ascontiguousarray(pdf[["f0", "f1", "f2", "f3"]].to_numpy()).view(np.uint64))
+        i, j = found(pdf)
+        nodes = pdf["node"].to_numpy()
+        a, b = nodes[np.asarray(i, dtype=np.int64)], nodes[np.asarray(j, dtype=np.int64)]
+        return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}).drop_duplicates()
 
     def fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
         for pdf in batches:
             if not len(pdf):
                 continue
-            if held and pdf["bucket"].iloc[-1] == held[-1]["bucket"].iloc[-1]:
-                held.append(pdf)
-                if pdf["bucket"].iloc[0] == pdf["bucket"].iloc[-1]:
-                    continue
-            else:
-                held.append(pdf)
+            same = held and pdf["bucket"].iloc[-1] == held[-1]["bucket"].iloc[-1]
+            held.append(pdf)
+            if same and pdf["bucket"].iloc[0] == pdf["bucket"].iloc[-1]:
+                continue
             whole = pd.concat(held, ignore_index=True)
             done = int(np.searchsorted(whole["bucket"].to_numpy(), whole["bucket"].iloc[-1]))
             if done:
@@ -212,99 +212,117 @@ def _by_bucket(rows: DataFrame, found: Callable[[pd.DataFrame, np.ndarray], pd.D
         if held:
             yield ready(pd.concat(held, ignore_index=True))
 
-    return rows.mapInPandas(fit, "u long, v long")
+    return rows.mapInPandas(fit, "u long, v long").distinct()
 
 
-def _pairs(a: np.ndarray, b: np.ndarray) -> pd.DataFrame:
-    return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}).drop_duplicates()
+def _prints(pdf: pd.DataFrame) -> np.ndarray:
+    return np.ascontiguousarray(pdf[_PRINT].to_numpy()).view(np.uint64)
 
 
-def candidate_links(dealt: DataFrame) -> DataFrame:
-    """Distinct links (u, v) whose fingerprints are near; a row without v names a dense bucket."""
+def loose(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    return loose_links(pdf["bucket"].to_numpy(), pdf["root"].to_numpy(), _prints(pdf))
 
-    def found(pdf: pd.DataFrame, fps: np.ndarray) -> pd.DataFrame:
-        a, b, dense = bucket_links(pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), fps)
-        got = _pairs(a, b)
-        return pd.DataFrame({"u": np.r_[got["u"].to_numpy(), dense], "v": pd.array([*got["v"], *[None] * len(dense)], dtype="Int64")})
 
-    return _by_bucket(dealt, found).distinct()
+def exact(similarity: float) -> Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]:
+    def found(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        fps, roots, buckets = _prints(pdf), pdf["root"].to_numpy(), pdf["bucket"].to_numpy()
+        edges = np.flatnonzero(np.r_[True, buckets[1:] != buckets[:-1], True])
+        a, b = [], []
+        for at, end in zip(edges, edges[1:], strict=False):
+            if end - at > 1:
+                sets = [np.frombuffer(h, dtype=np.uint64) for h in pdf["hashes"].iloc[at:end]]
+                i, j = exact_links(roots[at:end], fps[at:end], sets, similarity)
+                a += [at + x for x in i]
+                b += [at + x for x in j]
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
+    return found
 
-def open_links(inside: DataFrame, classes: DataFrame, first: int, last: int | None) -> DataFrame:
-    """Distinct links between classes in rows of dense buckets, for one range of places."""
 
-    def found(pdf: pd.DataFrame, fps: np.ndarray) -> pd.DataFrame:
-        return _pairs(*ranked_links(pdf["bucket"].to_numpy(), pdf["node"].to_numpy(), pdf["root"].to_numpy(), fps, first, last))
+def settle(groups: DataFrame, payload: DataFrame, found: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]], name: str) -> DataFrame:
+    """Links (u, v) that connect, in every group, the rows that found would link if it saw all of the group.
 
-    rows = inside.join(classes, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    return _by_bucket(rows, found).distinct()
+    groups is a written table (group, node, weight); payload has node and what found reads. A group with
+    more than PART rows or SHINGLES weight is large.
+    """
+    sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("n > 1")
+    parts = F.ceil(F.greatest(F.col("n") * 2.0 / PART, F.col("w") * 2.0 / SHINGLES)).cast("int")
+    sizes = materialize(sizes.withColumn("p", F.when((F.col("n") <= PART) & (F.col("w") <= SHINGLES), 1).otherwise(parts)), f"{name}-sizes")
+    large = small_side(sizes.where("p > 1").select("group", "p", "n"))
+    inside = groups.join(large, "group")
+    own = inside.select("node", F.xxhash64("group", F.pmod(F.xxhash64("node"), F.col("p"))).alias("bucket"))
+    leads = inside.where(F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < LEADERS)
+    leads = leads.select("node", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p").cast("long") - 1)).alias("k")).select("node", F.xxhash64("group", "k").alias("bucket"))
+    small = groups.join(large, "group", "left_anti").join(sizes.where("p = 1").select("group"), "group", "left_semi").select("node", F.xxhash64("group").alias("bucket"))
+    dealt = small.unionByName(own.unionByName(leads).distinct())
+    links = materialize(_by_bucket(dealt.join(payload, "node").withColumn("root", F.col("node")), found), name)
+    if sizes.where("p > 1").isEmpty():
+        return links
+    classes = components(links)
+    placed = materialize(inside.join(classes, "node", "left").select("group", "node", "weight", F.coalesce("root", "node").alias("root")), f"{name}-placed")
+    each = placed.groupBy("group", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w"))
+    tops = each.groupBy("group").agg(F.max(F.struct("n", "root", F.col("w").alias("wt"))).alias("t"), F.sum("n").alias("n"), F.sum("w").alias("w")).where(F.col("t.n") < F.col("n"))
+    p, out_n, out_w = (F.ceil(F.greatest(a * 2.0 / PART, b * 2.0 / SHINGLES)).cast("int") for a, b in ((F.col("n"), F.col("w")), (F.col("n") - F.col("t.n"), F.col("w") - F.col("t.wt")), (F.lit(1), F.lit(0))))
+    open_ones = small_side(materialize(tops.select("group", p.alias("p"), out_n.alias("q"), F.col("t.root").alias("top")), f"{name}-open"))
+    rest = placed.join(open_ones, "group")
+    every = rest.withColumn("j", F.pmod(F.xxhash64("node"), F.col("p"))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("q").cast("long") - 1)))
+    outside = rest.where("root <> top").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("q"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p").cast("long") - 1)))
+    met = every.select("node", "root", F.xxhash64("group", "i", "j").alias("bucket")).unionByName(outside.select("node", "root", F.xxhash64("group", "i", "j").alias("bucket"))).distinct()
+    more = materialize(_by_bucket(met.join(payload, "node"), found), f"{name}-more")
+    return links.unionByName(more)
 
 
-def verified_links(links: DataFrame, rows: DataFrame, size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """The links whose shingle sets have at least the similarity; rows has node and text."""
-    involved = links.select(F.col("u").alias("n")).unionByName(links.select(F.col("v").alias("n"))).distinct()
-    texts = rows.join(small_side(materialize(involved, "involved")), F.col("node") == F.col("n"), "left_semi").select("node", "text")
+def shingle_sets(rows: DataFrame, size: int = WORDS) -> DataFrame:
+    """node, n, same (a digest of the set), f0 to f3 and hashes of rows (node, text)."""
 
-    def sets(batches):
-        for pdf in batches:
-            yield pd.DataFrame({"node": pdf["node"], "hashes": [np.unique(shingle_hashes(t, size)).tobytes() for t in pdf["text"]]})
+    def made(texts: list[str | None]) -> dict:
+        sets = [np.unique(shingle_hashes(t, size)) for t in texts]
+        prints = np.array([wide_fingerprint(s) for s in sets], dtype=np.uint64).reshape(-1, 4).view(np.int64)
+        blobs = [s.tobytes() for s in sets]
+        same = [hashlib.blake2b(b, digest_size=16).digest() for b in blobs]
+        return {"n": [len(s) for s in sets], "same": same, "hashes": blobs} | {f: pa.array(prints[:, k]) for k, f in enumerate(_PRINT)}
 
-    hashed = materialize(texts.mapInPandas(sets, "node long, hashes binary"), "shingles")
-    left, right = hashed.select(F.col("node").alias("u"), F.col("hashes").alias("a")), hashed.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
+    return map_texts(rows, made, n="long", same="binary", f0="long", f1="long", f2="long", f3="long", hashes="binary")
 
-    def check(batches):
-        for pdf in batches:
-            stay = []
-            for a, b in zip(pdf["a"], pdf["b"], strict=True):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                stay.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
-            yield pdf.loc[stay, ["u", "v"]]
 
-    return links.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInPandas(check, "u long, v long")
+def keyed(sets: DataFrame, heavy: np.ndarray, similarity: float) -> DataFrame:
+    """(group, node, weight): a row for each prefix key of each set."""
+
+    def fit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                own = [prefix_keys(np.frombuffer(h, dtype=np.uint64), heavy, similarity).view(np.int64) for h in part.column("hashes").to_pylist()]
+                nodes = np.repeat(part.column("node").to_numpy(), [len(k) for k in own])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own)), pa.array(nodes)], names=["group", "node"])
+
+    return sets.select("node", "hashes").mapInArrow(fit, "group long, node long").withColumn("weight", F.lit(1))
 
 
-def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid_col: str = "__uid", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def similar_classes(docs: DataFrame, text_col: str = "text", uid_col: str = "__uid", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(node, root) of the rows that have a near duplicate; node is the row's uid."""
     rows = docs.select(F.col(uid_col).alias("node"), F.col(text_col).alias("text"))
-
-    def printed(heavy: np.ndarray) -> DataFrame:
-        def prints(batches):
-            for pdf in batches:
-                got, keys = [], []
-                for t in pdf["text"]:
-                    hashes = np.unique(shingle_hashes(t, size))
-                    got.append(wide_fingerprint(hashes))
-                    keys.append(prefix_keys(hashes, heavy, similarity).view(np.int64))
-                got = np.array(got, dtype=np.uint64).reshape(-1, 4).view(np.int64)
-                yield pd.DataFrame({"node": pdf["node"], "f0": got[:, 0], "f1": got[:, 1], "f2": got[:, 2], "f3": got[:, 3], "keys": keys})
-
-        return materialize(rows.mapInPandas(prints, "node long, f0 long, f1 long, f2 long, f3 long, keys array<long>"), "wide")
-
-    found = printed(np.zeros(0, dtype=np.uint64))
-    heavy = found.select(F.explode("keys").alias("key")).groupBy("key").count().where(F.col("count") > PART).select("key").toPandas()
-    if len(heavy):
-        found = printed(np.sort(heavy["key"].to_numpy().view(np.uint64)))
-    dealt = dealt_rows(found)
-    got = materialize(candidate_links(dealt), "candidates")
-    links = materialize(verified_links(got.where("v is not null"), rows, size, similarity), "verified")
-    classes = components(links)
-    dense = materialize(got.where("v is null").select(F.col("u").alias("bucket")), "dense")
-    if not dense.isEmpty():
-        inside = materialize(dealt.join(small_side(dense), "bucket"), "inside")
-        for first, last in zip(RANKS, RANKS[1:], strict=False):
-            more = materialize(open_links(inside, classes, first, last), "open")
-            if not more.isEmpty():
-                links = links.unionByName(materialize(verified_links(more, rows, size, similarity), "verified"))
-                classes = materialize(components(links), "classes")
-    return classes
+    every = materialize(shingle_sets(rows, size), "sets")
+    equal = materialize(every.groupBy("same").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select("same", "v"), "equal")
+    copies = materialize(every.join(small_side(equal), "same").where("node <> v").select(F.col("node").alias("u"), "v"), "copies")
+    sets = every.join(small_side(copies).select(F.col("u").alias("node")), "node", "left_anti")
+    keys = materialize(keyed(sets, np.zeros(0, dtype=np.uint64), similarity), "keys")
+    often = keys.groupBy("group").count().where(F.col("count") > PART).orderBy(F.desc("count"), "group").limit(HEAVY).select("group").toPandas()
+    if len(often):
+        keys = materialize(keyed(sets, np.sort(often["group"].to_numpy().view(np.uint64)), similarity), "keys")
+    near = components(settle(keys, sets.select("node", *_PRINT), loose, "loose"))
+    groups = materialize(sets.select("node", "n").join(near, "node").select(F.col("root").alias("group"), "node", F.col("n").alias("weight")), "near")
+    links = settle(groups, sets.select("node", "hashes", *_PRINT), exact(similarity), "exact")
+    return components(links.unionByName(copies))
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without all but one row (the smallest id) of each class of near duplicates."""
-    marked = with_row_uid(docs, "__uid")
-    classes = similar_classes(marked, id_col, text_col, "__uid", size, similarity)
-    ids = marked.select(F.col("__uid").alias("node"), F.col(id_col).alias("id")).join(classes, "node")
+    uid = fresh(docs, "__uid")
+    marked = with_row_uid(docs, uid)
+    classes = similar_classes(marked, text_col, uid, size, similarity)
+    ids = marked.select(F.col(uid).alias("node"), F.col(id_col).alias("id")).join(classes, "node")
     best = ids.groupBy("root").agg(F.min(F.struct(F.col("id").isNull(), "id", "node")).alias("b")).select("root", F.col("b.node").alias("best"))
-    gone = small_side(materialize(ids.join(best, "root").where("node <> best").select(F.col("node").alias("__gone")), "gone"))
-    return marked.join(gone, F.col("__uid") == F.col("__gone"), "left_anti").select(*[marked[c] for c in docs.columns])
+    node, own = fresh(marked, "__node"), fresh(marked, "__own")
+    gone = small_side(materialize(ids.join(best, "root").where("node <> best").select(F.col("node").alias(node), F.col("id").alias(own)), "gone"))
+    return marked.join(gone, (F.col(uid) == F.col(node)) & F.col(id_col).eqNullSafe(F.col(own)), "left_anti").select(*docs.columns)
