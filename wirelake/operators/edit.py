@@ -7,17 +7,20 @@ one packet's bytes at a time (``Packet``) inside Arrow batches.
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wirelake.functions.bytesx import be_bytes, be_uint, splice
 from wirelake.functions.dissect import VXLAN_PORT, Unit, dissect_bytes, ones_complement, pseudo_header
 from wirelake.functions.fields import unit
 from wirelake.functions.registry import FIELDS
-from wirelake.schema import ARP, ETH, GRE, ICMP, ICMP6, IP, IP6, MPLS, NAME, NVGRE, PACKET, PRID, TCP, UDP, VXLAN
+from wirelake.schema import ANY, ARP, ETH, GRE, ICMP, ICMP6, IP, IP6, MPLS, NAME, NONE, NVGRE, PACKET, PRID, TCP, UDP, VXLAN
 
 ETHERTYPE = {IP: 0x0800, IP6: 0x86DD, ARP: 0x0806, ETH: 0x6558, MPLS: 0x8847}
 INET = {IP: 4, IP6: 41, ICMP: 1, ICMP6: 58, TCP: 6, UDP: 17, GRE: 47, NVGRE: 47, MPLS: 137}
@@ -36,6 +39,20 @@ HEADERS = {
     MPLS: b"\0\0\x01\x40",
 }
 
+BOUNDS = ("soff", "poff", "toff", "eoff")
+#: The numbered offsets of a unit beyond its bounds, by protocol, from number 4 on.
+EXTRA = {
+    "eth": ("etype", "vlan0", "vlan1"),
+    "arp": ("etharp",),
+    "ip": ("opt", "lsr", "ts", "rr", "srr", "ra"),
+    "icmp": ("query", "pptr", "mtu", "ts", "gw", "reserved"),
+    "ip6": ("nxthdr", "hopopt", "rtopt", "jlen", "fragh", "ahh", "esph", "dstopt1", "dstopt2", "unkopt", "extopt"),
+    "tcp": ("opt", "mss", "wscale", "sackok", "sack", "sack_end", "tstamp", "md5"),
+    "icmp6": ("eresv", "pptr", "echo", "rsol", "radv", "neigh", "redir", "ndpopt", "srclla", "srclla_eoff", "tgtlla", "tgtlla_eoff", "pfxinfo", "rdrhdr", "rdrhdr_eoff", "mtu", "radvivl", "agtinfo"),
+    "gre": ("cksum", "key", "seq"),
+    "mpls": ("lbl1", "lbl2", "lbl3"),
+}
+
 
 class Packet:
     """Mutable bytes with their units; unit 0 is the packet."""
@@ -187,11 +204,45 @@ class Packet:
             if len(self.units) > 1:
                 self.delete(1)
 
+    def _moved(self, to) -> None:
+        for u in self.units:
+            u.soff, u.poff, u.toff, u.eoff = map(to, (u.soff, u.poff, u.toff, u.eoff))
+            u.xoffs = {k: to(v) for k, v in u.xoffs.items()}
+
     def cut_bytes(self, off: int, n: int) -> None:
+        """Take bytes out; units keep their places in what is left."""
+        if off < 0 or off + n > len(self.data):
+            raise IndexError(f"bytes {off} to {off + n}")
         del self.data[off : off + n]
-
-    def insert_bytes(self, off: int, n: int) -> None:
-        self.data[off:off] = bytes(n)
+        self._moved(lambda o: o if o <= off else max(off, o - n))
+
+    def insert_bytes(self, off: int, n: int, fill: bytes = b"\0") -> None:
+        """Put bytes in; what starts or ends at off or later moves."""
+        if off < 0 or off > len(self.data):
+            raise IndexError(f"byte {off}")
+        self.data[off:off] = fill * n
+        first = self.units[0]
+        self._moved(lambda o: o + n if o >= off else o)
+        first.soff = first.poff = 0
+
+    def offset(self, prid: int, nth: int, oid: int) -> tuple[Unit, str]:
+        """A unit and the name of its offset number oid: 0 to 3 its bounds, from 4 on those of its protocol."""
+        own = [u for k, u in enumerate(self.units) if (prid == NONE and not k) or (k and prid in (u.prid, ANY))]
+        name = (*BOUNDS, *EXTRA.get(own[nth].proto if nth < len(own) else "", ()))[oid] if nth < len(own) else ""
+        if not name:
+            raise KeyError(f"unit {nth} of protocol {prid}")
+        return own[nth], name
+
+    def get_offset(self, prid: int, nth: int, oid: int) -> int | None:
+        u, name = self.offset(prid, nth, oid)
+        return getattr(u, name) if name in BOUNDS else u.xoffs.get(name)
+
+    def adjust_offset(self, prid: int, nth: int, oid: int, amount: int) -> None:
+        u, name = self.offset(prid, nth, oid)
+        if name in BOUNDS:
+            setattr(u, name, getattr(u, name) + amount)
+        else:
+            u.xoffs[name] += amount
 
     def vlan_push(self, vid: int, tpid: int = 0x8100) -> None:
         self.data[12:12] = struct.pack(">HH", tpid, vid & 0xFFF)
@@ -302,13 +353,13 @@ def edit(packets: DataFrame, change, drop_errors: bool = False) -> DataFrame:
 
     row has the other columns. A missing field raises; with drop_errors the packet goes instead.
     """
-    names, schema = packets.columns, packets.schema
+    schema = packets.schema
 
     def fit(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.to_dict("records"):
-                p = Packet(row["data"], int(row["dltype"]))
+            for row in rows_of(batch):
+                p = Packet(row["data"], row["dltype"])
                 try:
                     stay = change(p, row)
                 except (KeyError, IndexError):
@@ -317,9 +368,31 @@ def edit(packets: DataFrame, change, drop_errors: bool = False) -> DataFrame:
                     continue
                 if stay is not False:
                     out.append(row | {"data": bytes(p.data), "dltype": p.dltype})
-            yield frame_of(out, schema)[names]
-
-    return packets.mapInPandas(fit, schema)
+            yield from table_of(out, schema).to_batches()
+
+    return packets.mapInArrow(fit, schema)
+
+
+def rows_of(batch: pa.RecordBatch | pa.Table) -> Iterator[dict]:
+    """Rows as plain Python values, numbers exact beside nulls; tags that repeat are tuples."""
+    for row in batch.to_pylist():
+        for k in ("parseinfo", "appinfo"):
+            if row.get(k) is not None:
+                row[k] = [tuple(x.values()) for x in row[k]]
+        yield row
+
+
+def table_of(rows: list[dict], schema: T.StructType) -> pa.Table:
+    """Rows as an Arrow table of a Spark schema."""
+    kinds = to_arrow_schema(schema)
+    columns = []
+    for f in kinds:
+        values = [r.get(f.name) for r in rows]
+        if f.name in ("parseinfo", "appinfo") and pa.types.is_list(f.type):
+            inner = [x.name for x in f.type.value_type]
+            values = [None if v is None else [dict(zip(inner, x, strict=True)) if not isinstance(x, dict) else x for x in v] for v in values]
+        columns.append(pa.array(values, type=f.type))
+    return pa.Table.from_arrays(columns, schema=kinds)
 
 
 def frame_of(rows: list[dict], schema: T.StructType) -> pd.DataFrame:

@@ -7,20 +7,25 @@ import ipaddress
 import re
 from collections import defaultdict, deque
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wirelake.functions.registry import CONSTANTS, FIELDS
-from wirelake.operators.edit import Packet, frame_of
+from wirelake.operators.edit import Packet, rows_of, table_of
+from wirelake.plans.pml import std
 from wirelake.plans.pml.parse import PmlError, parse
 from wirelake.schema import LAYER, PACKET, PRID, RAW, TAG
+from wirelake.sources.formats import put_tag, tag, tags
 
 M = 0xFFFFFFFF
 TAGS = {"ts_sec": "ts_sec", "ts_nsec": "ts_nsec", "presnap": "wirelen", "inport": "in_iface", "outport": "out_iface", "flowid": "flow_id", "class": "class", "seq": "seq"}
 TAG_COLUMN = {TAG["timestamp"]: "ts_sec", TAG["snapinfo"]: "wirelen", TAG["iniface"]: "in_iface", TAG["outiface"]: "out_iface", TAG["flow"]: "flow_id", TAG["class"]: "class", TAG["seq"]: "seq"}
+EMPTY_TAG = {1: tag(1, 0, bytes(8)), 2: tag(2, 0, bytes(4)), 3: tag(3), 4: tag(4), 5: tag(5, 0, bytes(8)), 6: tag(6, 0, bytes(8)), 7: tag(7, 0, bytes(8)), 8: tag(8, PRID["pkt"], bytes(8))}
+APPINFO = 128
 BUDGET = 10_000_000
+TICK = 0.001
 
 
 class _Jump(Exception):
@@ -28,11 +33,41 @@ class _Jump(Exception):
         self.kind, self.value = kind, value
 
 
+class Ref:
+    """Bytes inside a packet (slot is its number) or a buffer (slot is -1); a null one has no home."""
+
+    __slots__ = ("home", "at", "size", "slot")
+
+    def __init__(self, home: Packet | bytearray | None = None, at: int = 0, size: int = 0, slot: int = -1):
+        self.home, self.at, self.size, self.slot = home, at, size, slot
+
+    @property
+    def store(self) -> bytearray:
+        return self.home.data if isinstance(self.home, Packet) else self.home if self.home is not None else bytearray()
+
+    def value(self) -> bytes:
+        return bytes(self.store[self.at : self.at + self.size])
+
+    def part(self, off: int, size: int | None) -> Ref:
+        if off > self.size or (size is not None and off + size > self.size):
+            raise IndexError(f"bytes {off} to {off + (size or 0)} of {self.size}")
+        return Ref(self.home, self.at + off, self.size - off if size is None else size, self.slot)
+
+    def put(self, value: int | bytes) -> None:
+        """Numbers fill the bytes from the right, byte strings from the left."""
+        raw = value.to_bytes(max(self.size, 4), "big")[-self.size :] if isinstance(value, int) and self.size else value[: self.size] if isinstance(value, bytes) else b""
+        self.store[self.at : self.at + len(raw)] = raw
+
+
 class Machine:
-    """One stream's state: variables, packet slots and lists."""
+    """One stream's state: variables, packet slots and lists.
+
+    A variable is a number, a buffer of its own (bytearray) or a reference (Ref). ``budget`` is how many
+    expressions one packet, or one run of another entry point, may evaluate.
+    """
 
     def __init__(self, program: dict, on_error: str = "abort", budget: int = BUDGET):
-        self.p, self.on_error, self.left = program, on_error, budget
+        self.p, self.on_error, self.budget, self.left = program, on_error, budget, budget
         self.consts: dict = {}
         self.vars: dict = {}
         self.slots: dict[int, dict | None] = defaultdict(lambda: None)
@@ -41,6 +76,7 @@ class Machine:
         self.text: list[str] = []
         self.line = ""
         self.stack: list[dict] = []
+        self.next_tick: float | None = None
         for name, e in program["consts"]:
             self.consts[name] = self.eval(e)
         for d in program["globals"]:
@@ -58,12 +94,62 @@ class Machine:
         _, scope, kind, name, size, value = d
         if scope == "global" and value is None and size is None and name in self.vars:
             return
-        v = self.eval(value) if value is not None else (0 if kind == "int" else bytes(self.num(self.eval(size))) if size is not None else b"")
-        if kind == "str" and size is not None and value is not None:
-            n = self.num(self.eval(size))
-            v = v[:n] + bytes(max(0, n - len(v)))
+        v = self.eval(value) if value is not None else 0
+        if kind == "str":
+            raw = v if isinstance(v, bytes) else b""
+            n = self.num(self.eval(size)) if size is not None else len(raw)
+            v = bytearray(raw[:n] + bytes(max(0, n - len(raw)))) if size is not None or value is not None else Ref()
         (self.vars if scope == "global" or not self.stack else self.stack[-1])[name] = v
 
+    def scope(self, name: str) -> dict | None:
+        """The variables that hold a name."""
+        return next((s for s in ([self.stack[-1]] if self.stack else []) + [self.vars, self.consts] if name in s), None)
+
+    def ref(self, e) -> Ref:
+        """What an expression names as bytes that can be written; a buffer of its own for a plain value."""
+        if e[0] == "name":
+            _, name, slot, _, part = e
+            scope = self.scope(name)
+            if scope is None and name not in CONSTANTS:
+                p, at, size = self.span(e)
+                return Ref(p, at, size, self.num(self.eval(slot)))
+            v = scope[name] if scope is not None else CONSTANTS[name][0]
+            whole = v if isinstance(v, Ref) else Ref(v if isinstance(v, bytearray) else bytearray(v.to_bytes(4, "big") if isinstance(v, int) else v), 0, len(v) if not isinstance(v, int) else 4)
+            return whole if part is None else whole.part(self.num(self.eval(part[0])), self.num(self.eval(part[1])) if part[1] is not None else None)
+        if e[0] == "call" and e[1] == "str_mkref":
+            in_packet, slot, at, size = (self.num(self.eval(a)) for a in e[2])
+            if not in_packet:
+                return Ref()
+            p = self.packet(slot)
+            if at + size > len(p.data):
+                raise IndexError(f"bytes {at} to {at + size}")
+            return Ref(p, at, size, slot)
+        v = self.eval(e)
+        raw = bytearray(v if isinstance(v, bytes) else v.to_bytes(4, "big"))
+        return Ref(raw, 0, len(raw))
+
+    def text_of(self, e) -> bytes:
+        return self.ref(e).value()
+
+    def new_packet(self, slot: int, size: int) -> Packet:
+        p = Packet(bytes(size), RAW)
+        self.slots[slot] = {c: None for c in PACKET.names} | {"src_id": 0, "dltype": RAW, "__p": p}
+        return p
+
+    def tag_value(self, slot: int, column: str) -> int:
+        row = self.slots[slot]
+        got = row.get(column) if row else None
+        return M if got is None else int(got) & M
+
+    def tag_bytes(self, slot: int, kind: int) -> tuple[bytes | None, int | None]:
+        """A packet's first tag of a type, and its place among those that repeat."""
+        row = self.slots[slot]
+        if row is None:
+            raise KeyError(f"no packet {slot}")
+        got = next((t for t in tags(row) if t[0] == kind), None)
+        at = 0 if kind == TAG["parseinfo"] else next((k for k, x in enumerate(row.get("appinfo") or []) if x[0] == kind), None)
+        return got, at
+
     def packet(self, slot: int) -> Packet:
         row = self.slots[slot]
         if row is None:
@@ -151,13 +237,14 @@ class Machine:
 
     def name(self, e):
         _, name, slot, nth, part = e
-        for scope in ([self.stack[-1]] if self.stack else []) + [self.vars, self.consts]:
-            if name in scope:
-                v = scope[name]
-                if part is None:
-                    return v
-                off = self.num(self.eval(part[0]))
-                return v[off : off + self.num(self.eval(part[1]))] if part[1] is not None else v[off:]
+        scope = self.scope(name)
+        if scope is not None:
+            v = scope[name]
+            if isinstance(v, (bytearray, Ref)) or part is not None:
+                return self.ref(e).value()
+            return v
+        if name in std.CONSTANTS:
+            return std.CONSTANTS[name]
         if name in CONSTANTS:
             return CONSTANTS[name][0]
         proto, _, member = name.partition(".")
@@ -188,14 +275,14 @@ class Machine:
     def call(self, name: str, args: list):
         if name in self.p["inlines"]:
             params, body = self.p["inlines"][name]
-            self.stack.append((dict(self.stack[-1]) if self.stack else {}) | {k: self.eval(a) for k, a in zip(params, args, strict=True)})
+            self.stack.append((dict(self.stack[-1]) if self.stack else {}) | self.bound(params, args))
             try:
                 return self.eval(body)
             finally:
                 self.stack.pop()
         if name in self.p["functions"]:
             params, body = self.p["functions"][name]
-            frame = {k: self.eval(a) for k, a in zip(params, args, strict=True)}
+            frame = self.bound(params, args)
             if len(self.stack) > 300:
                 raise PmlError("calls nest too deeply")
             self.stack.append(frame)
@@ -208,13 +295,19 @@ class Machine:
             finally:
                 self.stack.pop()
             return 0
-        if name in ("str_addr", "str_ispkt", "str_seg"):
-            is_packet = args[0][0] == "name" and args[0][1].split(".")[0] in PRID
-            return {"str_addr": lambda: self.span(args[0])[1] if is_packet else 0, "str_ispkt": lambda: int(is_packet), "str_seg": lambda: self.num(self.eval(args[0][2])) if is_packet else 0}[name]()
+        if name in ("str_addr", "str_ispkt", "str_seg", "str_len", "str_isnull"):
+            r = self.ref(args[0])
+            return {"str_addr": r.at, "str_ispkt": int(r.slot >= 0), "str_seg": max(r.slot, 0), "str_len": r.size, "str_isnull": int(not r.size)}[name]
+        if name == "str_mkref":
+            return self.ref(("call", name, args)).value()
         if name in ("pkt_cut_u", "pkt_cut_d"):
-            p, at, size = self.span(args[0])
-            p.cut_bytes(at, size)
+            r = self.ref(args[0])
+            if r.slot < 0:
+                raise PmlError(f"{name} needs bytes of a packet")
+            r.home.cut_bytes(r.at, r.size)
             return 0
+        if name in std.CALLS:
+            return std.CALLS[name](self, args)
         if name in ("fix_len", "fix_csum", "pdu_delete", "pdu_insert", "pdu_update"):
             _, loc, slot, nth, _ = args[0]
             p = self.packet(self.num(self.eval(slot)))
@@ -233,9 +326,7 @@ class Machine:
         v = [self.eval(a) for a in args]
         n = [self.num(x) for x in v]
         if name.startswith("meta_get_"):
-            row = self.slots[n[0]]
-            got = row.get(TAGS[name[9:]]) if row else None
-            return M if got is None else int(got) & M
+            return self.tag_value(n[0], TAGS[name[9:]])
         if name.startswith("meta_set_"):
             row = self.slots[n[0]]
             if name == "meta_set_ts":
@@ -243,15 +334,20 @@ class Machine:
             else:
                 row[TAGS[name[9:]]] = None if n[1] == M else n[1]
             return 0
-        if name in ("meta_has", "meta_rem"):
-            c = TAG_COLUMN.get(n[1])
-            had = c is not None and self.slots[n[0]].get(c) is not None
-            if name == "meta_rem" and c:
-                self.slots[n[0]][c] = None
-            return int(had)
+        if name.startswith("meta_"):
+            return self.meta(name, n)
         if name in ("pkt_new", "pkt_new_z"):
-            size = n[1] if name == "pkt_new" else 0
-            self.slots[n[0]] = {c: None for c in PACKET.names} | {"src_id": 0, "dltype": RAW, "__p": Packet(bytes(size), RAW)}
+            self.new_packet(n[0], n[1] if name == "pkt_new" else 0)
+            return 0
+        if name == "pkt_get_off":
+            got = self.packet(n[0]).get_offset(*n[1:])
+            return M if got is None else got
+        if name == "pkt_adj_off":
+            self.packet(n[0]).adjust_offset(*n[1:4], self.signed(n[4]))
+            return 0
+        if name == "fix_dltype":
+            p = self.packet(n[0])
+            p.dltype = p.units[1].prid if len(p.units) > 1 else RAW
             return 0
         lists = {
             "pkt_enq": lambda: self.lists[n[0]].append(self.slots[n[1]]), "pkt_push": lambda: self.lists[n[0]].appendleft(self.slots[n[1]]),
@@ -267,16 +363,56 @@ class Machine:
             self.slots[n[0]], self.slots[n[1]] = self.slots[n[1]], self.slots[n[0]]
             return 0
         plain = {
-            "str_len": lambda: len(v[0]), "str_isnull": lambda: int(not v[0]), "pop": lambda: n[0].bit_count(), "log2": lambda: (n[0].bit_length() - 1) & M,
+            "pop": lambda: n[0].bit_count(), "log2": lambda: (n[0].bit_length() - 1) & M,
             "min": lambda: min(n, key=self.signed), "max": lambda: max(n, key=self.signed), "pkt_nlists": lambda: 256, "pkt_lempty": lambda: int(not self.lists[n[0]]),
             "pkt_copy": lambda: self.slots.__setitem__(n[0], copy.deepcopy(self.slots[n[1]])) or 0, "pkt_parse": lambda: self.packet(n[0]).parse() or 0,
-            "fix_lens": lambda: self.packet(n[0]).fix_lens() or 0, "fix_csums": lambda: self.packet(n[0]).fix_csums() or 0, "fix_dltype": lambda: 0,
-            "pkt_ins_u": lambda: self.packet(n[0]).insert_bytes(n[1], n[2]) or 0, "pkt_ins_d": lambda: self.packet(n[0]).insert_bytes(n[1], n[2]) or 0,
+            "fix_lens": lambda: self.packet(n[0]).fix_lens() or 0, "fix_csums": lambda: self.packet(n[0]).fix_csums() or 0,
+            "pkt_ins_u": lambda: self.packet(n[0]).insert_bytes(n[1], n[2], b"U") or 0, "pkt_ins_d": lambda: self.packet(n[0]).insert_bytes(n[1], n[2], b"D") or 0,
         }
         if name not in plain:
             raise PmlError(f"unknown function {name}")
         return plain[name]()
 
+    def meta(self, name: str, n: list[int]) -> int:
+        """Tags by type: has, add, remove, and big-endian reads and writes of a tag's bytes (writes from byte 2 on)."""
+        slot, kind = n[0], n[1]
+        row = self.slots[slot]
+        if name == "meta_add_info":
+            put_tag(row, tag(APPINFO, 0, bytes(4 * n[1])))
+            return 0
+        raw, at = self.tag_bytes(slot, kind)
+        if name == "meta_has":
+            return int(raw is not None)
+        if name == "meta_add":
+            if raw is not None and kind < TAG["parseinfo"]:
+                raise PmlError(f"tag {kind} is there already")
+            if kind not in EMPTY_TAG and kind < APPINFO:
+                raise PmlError(f"no tag of type {kind}")
+            put_tag(row, EMPTY_TAG.get(kind) or tag(kind))
+            return 0
+        if raw is None:
+            raise PmlError(f"no tag of type {kind}")
+        if name == "meta_rem":
+            if kind in TAG_COLUMN:
+                row[TAG_COLUMN[kind]] = None
+                if kind == TAG["timestamp"]:
+                    row["ts_nsec"] = None
+            else:
+                column = "parseinfo" if kind == TAG["parseinfo"] else "appinfo"
+                row[column] = [x for k, x in enumerate(row[column]) if k != at] or None
+            return 0
+        size, off = int(name.removeprefix("meta_rd").removeprefix("meta_wr")) // 8, n[2]
+        if off + size > len(raw) or (name.startswith("meta_wr") and off < 2):
+            raise IndexError(f"byte {off} of tag {kind}")
+        if name.startswith("meta_rd"):
+            return int.from_bytes(raw[off : off + size], "big")
+        put_tag(row, raw[:off] + (n[3] & ((1 << 8 * size) - 1)).to_bytes(size, "big") + raw[off + size :], at)
+        return 0
+
+    def bound(self, params: list[tuple[str, str]], args: list) -> dict:
+        """Arguments by parameter; byte strings are passed as references."""
+        return {k: self.ref(a) if kind == "str" else self.eval(a) for (k, kind), a in zip(params, args, strict=True)}
+
     def assign(self, target, value) -> None:
         _, name, slot, nth, part = target
         scopes = ([self.stack[-1]] if self.stack else []) + [self.vars]
@@ -284,23 +420,24 @@ class Machine:
         proto = name.split(".")[0]
         if holder is None and (proto in PRID or proto == "pdu"):
             f = FIELDS.get(name)
-            if part is None and f is not None:
+            if part is None and f is not None and f.kind != "whole":
                 self.packet(self.num(self.eval(slot))).set(name, value, self.num(self.eval(nth)))
-                return
-            p, at, size = self.span(target)
-            raw = value.to_bytes(max(size, 4), "big")[-size:] if isinstance(value, int) else value[:size]
-            p.data[at : at + len(raw)] = raw
+            else:
+                self.ref(target).put(value)
             return
         holder = holder if holder is not None else scopes[0]
-        if part is not None:
-            old, off = holder[name], self.num(self.eval(part[0]))
-            size = self.num(self.eval(part[1])) if part[1] is not None else len(old) - off
-            raw = value.to_bytes(max(size, 4), "big")[-size:] if isinstance(value, int) else value[:size]
-            holder[name] = old[:off] + raw + old[off + len(raw) :]
-        elif isinstance(holder.get(name), bytes) and isinstance(value, bytes) and holder[name]:
-            holder[name] = value[: len(holder[name])] + holder[name][len(value) :]
+        held = holder.get(name)
+        if isinstance(held, (bytearray, Ref)) and (part is not None or held.size if isinstance(held, Ref) else True):
+            self.ref(target).put(value)
+        elif isinstance(held, Ref):
+            holder[name] = bytearray(value if isinstance(value, bytes) else value.to_bytes(4, "big"))
         else:
-            holder[name] = value
+            holder[name] = value if isinstance(value, int) else self.num(value)
+
+    def refer(self, name: str, e) -> None:
+        """Make a variable another name of the bytes that e names."""
+        holder = next((s for s in ([self.stack[-1]] if self.stack else []) + [self.vars] if name in s), None)
+        (holder if holder is not None else self.stack[-1] if self.stack else self.vars)[name] = self.ref(e)
 
     def show(self, fmt, v) -> str:
         kind, width = fmt or ("s" if isinstance(v, bytes) else "d", "")
@@ -320,8 +457,10 @@ class Machine:
                 self.exec(x)
         elif kind == "declare":
             self.declare(s)
-        elif kind in ("assign", "refer"):
-            self.assign(s[1] if kind == "assign" else ("name", s[1], ("int", 0), ("int", 0), None), self.eval(s[2]))
+        elif kind == "assign":
+            self.assign(s[1], self.eval(s[2]))
+        elif kind == "refer":
+            self.refer(s[1], s[2])
         elif kind == "do":
             self.eval(s[1])
         elif kind == "if":
@@ -367,6 +506,7 @@ class Machine:
     def _run(self, rules) -> bool:
         """Rules in order; False when the program exits."""
         self.stack.append({})
+        self.left = self.budget
         try:
             for test, body in rules:
                 if test is None or self.truth(test):
@@ -403,17 +543,36 @@ class Machine:
         return ok
 
 
-def run(packets: DataFrame, text: str, key: str | None = None, load=None, on_error: str = "abort", ticks: bool = False) -> DataFrame:
+    def tick_until(self, now: float | None, period: float) -> bool:
+        """Run TICK for every period that has passed since the last one; the first packet's time starts the clock."""
+        if now is None or not self.p["TICK"]:
+            return True
+        if self.next_tick is None:
+            self.next_tick = now + period
+        while self.next_tick <= now:
+            if not self.entry("TICK"):
+                return False
+            self.next_tick += period
+        return True
+
+
+def seconds(row: dict) -> float | None:
+    return None if row.get("ts_sec") is None else row["ts_sec"] + (row.get("ts_nsec") or 0) / 1e9
+
+
+def run(packets: DataFrame, text: str, key: str | None = None, load=None, on_error: str = "abort", tick: float = TICK) -> DataFrame:
     """Packets that a program sends, with ``sub_no`` for their order and ``printed`` text on rows of their own.
 
-    Every key's packets (or all, when key is None) are one stream in pkt_no order.
+    Every key's packets (or all, when key is None) are one stream in (src_id, pkt_no) order. A stream's
+    time is that of its packets' timestamps: before each packet TICK runs once for every ``tick`` seconds
+    that have passed, so give a longer period where packets are far apart.
     """
     program = parse(text, load)
     own = [T.StructField(f.name, f.dataType) for f in packets.schema]
     schema = T.StructType([*own, T.StructField("sub_no", T.LongType()), T.StructField("printed", T.StringType())])
     names = packets.columns
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+    def fit(table: pa.Table) -> pa.Table:
         m, out = Machine(program, on_error), []
 
         def drain():
@@ -424,17 +583,16 @@ def run(packets: DataFrame, text: str, key: str | None = None, load=None, on_err
             m.out, m.text = [], []
 
         go = m.entry("BEGIN")
-        rows = pdf.sort_values("pkt_no").astype(object)
-        rows = rows.where(rows.notna(), None).to_dict("records") if go else []
-        for row in rows:
-            row = {k: int(v) if isinstance(v, float) else v for k, v in row.items()}
-            if not m.feed(row):
+        table = table.select(names)
+        table = table.sort_by([(c, "ascending") for c in ("src_id", "pkt_no") if c in names])
+        for row in rows_of(table) if go else []:
+            if not m.tick_until(seconds(row), tick) or not m.feed(row):
                 break
             drain()
         if go:
             m.entry("END")
         drain()
-        return frame_of(out, schema)
+        return table_of(out, schema)
 
     by = F.col(key) if key else F.lit(0)
-    return packets.withColumn("__k", by).groupBy("__k").applyInPandas(lambda pdf: fit(pdf[names]), schema)
+    return packets.withColumn("__k", by).groupBy("__k").applyInArrow(fit, schema)

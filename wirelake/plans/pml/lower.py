@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from wirelake.functions import bytesx as B
 from wirelake.functions.fields import LAYERS, field, number, present
 from wirelake.functions.registry import CONSTANTS, FIELDS, IMPLICIT
+from wirelake.plans.pml import std
 from wirelake.plans.pml.parse import PmlError, parse, parse_expression
 from wirelake.schema import PRID
 
@@ -61,6 +62,8 @@ class Lowering:
             return F.lit(PRID[e[1]]).cast("long")
         if kind in ("and", "or", "not", "compare", "match"):
             return self.test(e).cast("long")
+        if kind == "name" and e[1] in std.CONSTANTS and e[1] not in self.names:
+            return F.lit(std.CONSTANTS[e[1]]).cast("long")
         if kind == "unary":
             x = self.number(e[2])
             return B.u32(~x if e[1] == "~" else -x) if e[1] == "-" else F.lit(B.U32).cast("long") - B.u32(x)
@@ -97,8 +100,10 @@ class Lowering:
         if name in self.inlines:
             params, body = self.inlines[name]
             inner = Lowering({"inlines": self.inlines})
-            inner.names = self.names | dict(zip(params, args, strict=True))
+            inner.names = self.names | dict(zip([n for n, _ in params], args, strict=True))
             return inner.number(body)
+        if name in std.COLUMNS:
+            return std.COLUMNS[name](self, args)
         if name in META:
             return F.coalesce(B.u32(F.col(META[name])), F.lit(B.U32).cast("long"))
         plain = {

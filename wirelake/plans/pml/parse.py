@@ -255,13 +255,13 @@ class Parser:
         self.take(";")
         return ("declare", scope, kind, name, size, value)
 
-    def parameters(self) -> list[str]:
+    def parameters(self) -> list[tuple[str, str]]:
+        """(name, type) of each; a parameter without a type is an int."""
         self.take("(")
         out = []
         while not self.maybe(")"):
-            if self.peek(1) not in (",", ")"):
-                self.take()
-            out.append(self.take())
+            kind = self.take() if self.peek(1) not in (",", ")") else "int"
+            out.append((self.take(), kind))
             self.maybe(",")
         return out
 
@@ -272,6 +272,8 @@ class Parser:
             if self.maybe("import"):
                 name = self.take()
                 self.take(";")
+                if name in (b"std.pml", b"std"):
+                    continue
                 if self.load is None:
                     raise PmlError("no library folder is given")
                 sub = Parser(self.load(name.decode() if isinstance(name, bytes) else name), self.load).program()
@@ -312,7 +314,7 @@ class Parser:
 
 
 def parse(text: str, load=None) -> dict:
-    """A program; load(name) gives the text of an imported library."""
+    """A program; load(name) gives the text of an imported library. The standard library is always there."""
     return Parser(text, load).program()
 
 

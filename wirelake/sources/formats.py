@@ -16,6 +16,48 @@ def signed64(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
+def put_tag(row: dict, raw: bytes, at: int | None = None) -> None:
+    """Set the columns that a tag's bytes stand for; repeatable tags are added, or replace number ``at``."""
+    kind, _, half = struct.unpack_from(">BBH", raw)
+    body = raw[4:]
+    if kind == 1:
+        row["ts_sec"], row["ts_nsec"] = struct.unpack(">II", body)
+    elif kind == 2:
+        row["wirelen"] = struct.unpack(">I", body)[0]
+    elif kind in (3, 4):
+        row["in_iface" if kind == 3 else "out_iface"] = half
+    elif kind in (5, 6, 7):
+        row[("flow_id", "class", "seq")[kind - 5]] = signed64(struct.unpack(">Q", body)[0])
+    elif kind == 8 or kind >= 128:
+        name, own = ("parseinfo", (half, *struct.unpack(">II", body))) if kind == 8 else ("appinfo", (kind, half, body))
+        have = list(row.get(name) or [])
+        row[name] = [*have[:at], own, *have[at + 1 :]] if at is not None else [*have, own]
+
+
+def tag(kind: int, half: int = 0, body: bytes = b"") -> bytes:
+    return struct.pack(">BBH", kind, len(body) // 4, half) + body
+
+
+def tags(row: dict) -> list[bytes]:
+    """The tags of a packet's columns, each with its four leading bytes."""
+    out = []
+    if row.get("ts_sec") is not None:
+        out.append(tag(1, 0, struct.pack(">II", row["ts_sec"] & 0xFFFFFFFF, row.get("ts_nsec") or 0)))
+    if row.get("wirelen") is not None:
+        out.append(tag(2, 0, struct.pack(">I", row["wirelen"])))
+    for kind, name in ((3, "in_iface"), (4, "out_iface")):
+        if row.get(name) is not None:
+            out.append(tag(kind, row[name] & 0xFFFF))
+    for kind, name in ((5, "flow_id"), (6, "class"), (7, "seq")):
+        if row.get(name) is not None:
+            out.append(tag(kind, 0, struct.pack(">Q", row[name] & 0xFFFFFFFFFFFFFFFF)))
+    for proto, off, length in row.get("parseinfo") or []:
+        out.append(tag(8, proto, struct.pack(">II", off, length)))
+    for kind, sub, body in row.get("appinfo") or []:
+        out.append(tag(kind, sub, bytes(body) + bytes(-len(body) % 4)))
+    return out
+
+
 def read_xpkt(data: bytes):
     """Yield a packet's columns for each record; raises on a malformed one."""
     at, n = 0, 0
@@ -29,26 +71,13 @@ def read_xpkt(data: bytes):
         row = EMPTY_TAGS | {"pkt_no": n, "src_id": 0, "dltype": dltype, "parseinfo": None, "appinfo": None}
         t, end, seen = at + 8, at + 8 + words * 4, set()
         while t < end:
-            kind, nw, half = struct.unpack_from(">BBH", data, t)
-            body = data[t + 4 : t + 4 + nw * 4]
+            kind, nw = data[t], data[t + 1]
             if t + 4 + nw * 4 > end or kind == 127:
                 raise ValueError(f"bad tag {kind} at {t}")
             if 0 < kind < 8 and kind in seen:
                 raise ValueError(f"tag {kind} twice at {t}")
             seen.add(kind)
-            if kind == 1:
-                row["ts_sec"], row["ts_nsec"] = struct.unpack(">II", body)
-            elif kind == 2:
-                row["wirelen"] = struct.unpack(">I", body)[0]
-            elif kind in (3, 4):
-                row["in_iface" if kind == 3 else "out_iface"] = half
-            elif kind in (5, 6, 7):
-                row[("flow_id", "class", "seq")[kind - 5]] = signed64(struct.unpack(">Q", body)[0])
-            elif kind == 8:
-                off, length = struct.unpack(">II", body)
-                row["parseinfo"] = (row["parseinfo"] or []) + [(half, off, length)]
-            elif kind >= 128:
-                row["appinfo"] = (row["appinfo"] or []) + [(kind, half, body)]
+            put_tag(row, data[t : t + 4 + nw * 4])
             t += 4 + nw * 4
         row["data"] = data[end : at + size]
         yield row
@@ -58,24 +87,7 @@ def read_xpkt(data: bytes):
 def write_xpkt(row: dict) -> bytes:
     """One record of a packet's columns."""
 
-    def tag(kind: int, half: int = 0, body: bytes = b"") -> bytes:
-        return struct.pack(">BBH", kind, len(body) // 4, half) + body
-
-    out = b""
-    if row.get("ts_sec") is not None:
-        out += tag(1, 0, struct.pack(">II", row["ts_sec"] & 0xFFFFFFFF, row.get("ts_nsec") or 0))
-    if row.get("wirelen") is not None:
-        out += tag(2, 0, struct.pack(">I", row["wirelen"]))
-    for kind, name in ((3, "in_iface"), (4, "out_iface")):
-        if row.get(name) is not None:
-            out += tag(kind, row[name] & 0xFFFF)
-    for kind, name in ((5, "flow_id"), (6, "class"), (7, "seq")):
-        if row.get(name) is not None:
-            out += tag(kind, 0, struct.pack(">Q", row[name] & 0xFFFFFFFFFFFFFFFF))
-    for proto, off, length in row.get("parseinfo") or []:
-        out += tag(8, proto, struct.pack(">II", off, length))
-    for kind, sub, body in row.get("appinfo") or []:
-        out += tag(kind, sub, bytes(body) + bytes(-len(body) % 4))
+    out = b"".join(tags(row))
     return struct.pack(">IHH", 8 + len(out) + len(row["data"]), row["dltype"], len(out) // 4) + out + bytes(row["data"])
 
 
