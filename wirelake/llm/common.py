@@ -85,36 +85,65 @@ def fresh(df: DataFrame, base: str) -> str:
 
 
 TEXTS_AT_ONCE = 512
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def map_texts(rows: DataFrame, made: Callable[[list[str | None]], dict[str, pa.Array | list]], **columns: str) -> DataFrame:
-    """rows with the column ``text`` replaced by the columns that made gives for a list of texts.
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python workers in batches of at most BATCH_ROWS rows, unless the session names a size of its own."""
+    if spark.conf.get(_BATCH, "10000") == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
 
-    All other columns pass through as Arrow arrays, so 64-bit numbers stay exact beside nulls.
+
+def map_texts(rows: DataFrame, made: Callable[[list[str | None]], dict[str, pa.Array | list]], text_col: str = "text", done: Callable[[], None] | None = None, **columns: str) -> DataFrame:
+    """rows with the column of texts replaced by the columns that made gives for a list of texts.
+
+    All other columns pass through as Arrow arrays, so 64-bit numbers stay exact beside nulls. ``done``
+    is called when a partition ends.
     """
-    schema = extended(rows.drop("text").schema, **columns)
+    small_batches(rows.sparkSession)
+    schema = extended(rows.drop(text_col).schema, **columns)
     types = {k: _ARROW[v] for k, v in columns.items()}
-    keep = [c for c in rows.columns if c != "text"]
+    keep = [c for c in rows.columns if c != text_col]
 
     def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
                 part = whole.slice(at, TEXTS_AT_ONCE)
-                got = made(part.column("text").to_pylist())
-                own = [v if isinstance(v, pa.Array) else pa.array(v, type=types[k], from_pandas=False) for k, v in ((k, got[k]) for k in types)]
+                got = made(part.column(text_col).to_pylist())
+                own = [v if isinstance(v, pa.Array) else pa.array(v, type=types[k]) for k, v in ((k, got[k]) for k in types)]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *own], names=[*keep, *types])
+        if done is not None:
+            done()
 
-    return rows.select(*keep, "text").mapInArrow(apply, schema)
+    return rows.select(*keep, text_col).mapInArrow(apply, schema)
 
 
-def with_row_uid(docs: DataFrame, name: str = "_uid") -> DataFrame:
-    """Add a 64-bit row identifier that a recomputation gives again.
+def where_texts(rows: DataFrame, stay: Callable[[list[str | None]], list[bool]], text_col: str = "text", done: Callable[[], None] | None = None) -> DataFrame:
+    """The rows whose text stay() takes, with all their columns as they are."""
+    small_batches(rows.sparkSession)
+
+    def apply(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                part = whole.slice(at, TEXTS_AT_ONCE)
+                yield part.filter(pa.array(stay(part.column(text_col).to_pylist()), type=pa.bool_()))
+        if done is not None:
+            done()
+
+    return rows.mapInArrow(apply, rows.schema)
+
+
+def with_row_uid(docs: DataFrame, name: str = "_uid", locator: str | None = None) -> DataFrame:
+    """Add a 64-bit row identifier that a recomputation gives again, and on request the row's locator as text.
 
     It hashes the file and the row's place in it. Rows that don't come straight from files are
     written to the shared folder first.
     """
+
     def added(df: DataFrame) -> DataFrame:
-        return df.withColumn(name, F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index")))
+        at = [F.col("_metadata.file_path"), F.col("_metadata.row_index")]
+        return df.withColumns({name: F.xxhash64(*at)} | ({locator: F.concat_ws("#", *at)} if locator else {}))
 
     try:
         return added(docs)

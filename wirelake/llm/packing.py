@@ -18,12 +18,12 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import extended, materialize
-from wirelake.llm.tokens import encoder
+from wirelake.llm.common import TEXTS_AT_ONCE, extended, materialize, small_batches
+from wirelake.llm.tokens import encoder, special_tokens
 
 SIZE = 1024
 END = 2
@@ -37,22 +37,32 @@ def cut(n: int, size: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document; the ids (binary) on request."""
+    small_batches(docs.sparkSession)
+    specials = tuple(special_tokens(path).items())
+    names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def fit(batches):
-        encode = encoder(path)
-        for pdf in batches:
-            out = []
-            for d, text in zip(pdf["id"].tolist(), pdf["text"], strict=True):
-                ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4")
-                for k, (at, n) in enumerate(cut(len(ids), size)):
-                    raw = ids[at : at + n].tobytes()
-                    out.append((d, k, at, n, zlib.crc32(raw), raw) if with_ids else (d, k, at, n, zlib.crc32(raw)))
-            frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: 5 + with_ids])
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
+        encode = encoder(path, specials)
+        for whole in batches:
+            for first in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(first, TEXTS_AT_ONCE)
+                row, piece, start, length, crc, raws = [], [], [], [], [], []
+                for r, text in enumerate(batch.column("text").to_pylist()):
+                    ids = np.append(encode(text or ""), np.uint32(end)).astype("<u4")
+                    for k, (at, n) in enumerate(cut(len(ids), size)):
+                        raw = ids[at : at + n].tobytes()
+                        row.append(r)
+                        piece.append(k)
+                        start.append(at)
+                        length.append(n)
+                        crc.append(zlib.crc32(raw))
+                        if with_ids:
+                            raws.append(raw)
+                made = [batch.column("id").take(pa.array(row, pa.int64())), pa.array(piece, pa.int32()), *(pa.array(v, pa.int64()) for v in (start, length, crc))]
+                yield pa.RecordBatch.from_arrays(made + [pa.array(raws, pa.binary())] * with_ids, names=names)
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(fit, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return rows.mapInArrow(fit, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
@@ -181,13 +191,15 @@ def pack(found: DataFrame, size: int = SIZE) -> DataFrame:
     ranked = dealt.withColumn("rank", F.row_number().over(inside) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("rank") + F.col("before"))
 
     def place(batches):
-        for pdf in batches:
-            key = (pdf["length"].to_numpy() << 40) + pdf["rank"].to_numpy()
+        for batch in batches:
+            key = (batch.column("length").to_numpy() << 40) + batch.column("rank").to_numpy()
             at = np.searchsorted(keys, key, side="right") - 1
-            yield pdf.drop(columns="rank").assign(sequence_id=sequences[at] + key - keys[at], offset=offsets[at])
+            made = [pa.array(sequences[at] + key - keys[at]), pa.array(offsets[at])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "sequence_id", "offset"])
 
-    rows = ranked.select(*found.columns, "rank")
-    return rows.mapInPandas(place, extended(found.schema, sequence_id="long", offset="long"))
+    names = found.columns
+    rows = ranked.select(*names, F.col("rank").cast("long").alias("rank"))
+    return rows.mapInArrow(place, extended(found.schema, sequence_id="long", offset="long"))
 
 
 def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
