@@ -8,7 +8,8 @@ For prediction the first layer is tabulated: a filter's response is a sum of tab
 each pair of neighbouring bytes.
 
 The network is fitted on about ``TRAIN_ROWS`` labelled rows for each language (all of them where there
-are fewer), chosen by a hash of their id, and on windows from all over their texts.
+are fewer), chosen by a hash of their id, and of these on windows from the first, middle and last
+``TRAIN_CHARS`` characters: both are bounds of the training sample only. Prediction reads whole texts.
 
 Cases: a text that is null or has no letter is ``und`` with score 0. Rows whose language is null are
 not learned from. Rows that repeat an id are predicted each. Without labelled rows every text is
@@ -17,14 +18,12 @@ not learned from. Rows that repeat an id are predicted each. Without labelled ro
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import extended
+from wirelake.llm.common import map_texts
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
@@ -33,8 +32,9 @@ DIM = 8
 PAD = 0
 TRAIN_ROWS = 1500
 TRAIN_WINDOWS = 12_000
+TRAIN_CHARS = 768
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _IS_LETTER = np.zeros(256, dtype=bool)
 _IS_LETTER[[*range(65, 91), *range(97, 123), *range(0xC0, 0x100)]] = True
 
@@ -161,7 +161,7 @@ def fit(rows: DataFrame) -> ByteNetwork | None:
     if not labels:
         return None
     shares = [F.when(F.col("label") == k, F.lit(int((1 << 30) * min(1.0, TRAIN_ROWS / n)))) for k, n in counts.items()]
-    parts = "array(substring(text, 1, 768), substring(text, greatest(1, cast(length(text) / 2 as int)), 768), substring(text, -768, 768))"
+    parts = f"array(substring(text, 1, {TRAIN_CHARS}), substring(text, greatest(1, cast(length(text) / 2 as int)), {TRAIN_CHARS}), substring(text, -{TRAIN_CHARS}, {TRAIN_CHARS}))"
     marked = usable.withColumn("h", F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 30)))
     picked = marked.where(F.col("h") < F.coalesce(*shares)).select("label", "h", "id", F.expr(parts).alias("parts"))
     xs, ys = [], []
@@ -188,7 +188,7 @@ def predict(docs: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id"
     """id, lang_pred and score of every whole text."""
     rows = docs.select(F.col(id_col).alias("id"), *keep, F.col(text_col).alias("text"))
 
-    def classify(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def classify(texts: list[str | None]) -> dict:
         names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
         own = [k for k, t in enumerate(texts) if t and _LETTER.search(t)] if network is not None else []
         for at in range(0, len(own), 64):
@@ -202,14 +202,9 @@ def predict(docs: DataFrame, network: ByteNetwork | None, id_col: str = "doc_id"
             total /= total.sum(axis=1, keepdims=True)
             for k, row in zip(some, total, strict=True):
                 names[k], scores[k] = network.labels[int(row.argmax())], min(1.0, float(row.max()))
-        return names, scores
-
-    def apply(batches):
-        for pdf in batches:
-            names, scores = classify(list(pdf.pop("text")))
-            yield pdf.assign(lang_pred=names, score=scores)
+        return {"lang_pred": names, "score": scores}
 
-    return rows.mapInPandas(apply, extended(rows.drop("text").schema, lang_pred="string", score="double"))
+    return map_texts(rows, classify, lang_pred="string", score="double")
 
 
 def held_out(id_col: str) -> Column:
