@@ -2,8 +2,8 @@
 
 Texts are folded first: compatibility forms, case, accents, look-alike letters of other scripts and
 digits or signs that stand for letters. The lexicon holds whole words and word beginnings; a term's
-weight is its smoothed log odds between labelled toxic and clean documents, and terms enter by a
-likelihood ratio test over all labelled rows. Phrases of a term and its neighbour that only clean
+weight is its smoothed log odds between labelled toxic and clean documents, and every term enters that
+passes a likelihood ratio test over all labelled rows. Phrases of a term and its neighbour that only clean
 documents use are exceptions: a match inside one doesn't count. The weight of the matches, also
 taken by the document's length, goes through a logistic curve that is fitted on about
 ``CALIBRATION_ROWS`` labelled rows (all of them where there are fewer), chosen by a hash of their id.
@@ -28,10 +28,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import extended, materialize, small_side
+from wirelake.llm.common import map_texts, materialize, small_batches, small_side, where_texts
 
 CALIBRATION_ROWS = 50_000
-MAX_TERMS = 20_000
 LEAST_G2 = 20.0
 BEGINNINGS = (4, 5, 6, 7)
 THRESHOLD = 0.3
@@ -40,7 +39,7 @@ _ALIKE = dict(zip("авекмнорстухіјѕԁɡӏзбαβεικνορτυ
 _SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i", "l": "i"}
 _LETTERS = str.maketrans(_ALIKE | {"l": "i", "ß": "s", "ı": "i"})
 _STOOD_FOR = str.maketrans(_SIGNS)
-_REMEMBERED = 150_000
+_REMEMBERED = 100_000
 _LONGEST = 48
 _MARKS = re.compile(r"[̀-ͯ​-‏­﻿]+")
 _MIXED = re.compile(r"[^\W_]*(?:[0-9@$!|][^\W_]+|[^\W\d_][0-9])[\w@$]*")
@@ -146,6 +145,7 @@ def _counts(rows: DataFrame, of) -> DataFrame:
                 toxic, clean = Counter(), Counter()
         if toxic or clean:
             yield frame(toxic, clean)
+        _PARTS.clear()
 
     return rows.mapInPandas(fit, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
@@ -167,6 +167,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
 
 def fit(rows: DataFrame) -> Lexicon:
     """Learn from labelled rows (id, text, label 0/1). Counts cover all rows; the curve a bounded sample."""
+    small_batches(rows.sparkSession)
     rows = materialize(rows.where("label is not null"), "labelled")
     n = {r["label"]: r["count"] for r in rows.groupBy(F.col("label").cast("int").alias("label")).count().collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
@@ -182,7 +183,7 @@ def fit(rows: DataFrame) -> Lexicon:
 
     g2 = 2 * (part(a, seen * share) + part(b, seen * (1 - share)) + part(F.lit(float(toxic)) - a, (F.lit(total) - seen) * share) + part(F.lit(float(clean)) - b, (F.lit(total) - seen) * (1 - share)))
     odds = F.log((a + 0.5) / (toxic + 1.0)) - F.log((b + 0.5) / (clean + 1.0))
-    top = counted.withColumn("g2", g2).withColumn("w", odds).where((F.col("g2") >= LEAST_G2) & (F.col("w") > 1.5)).orderBy(F.desc("g2"), "term").limit(MAX_TERMS).collect()
+    top = counted.withColumn("g2", g2).withColumn("w", odds).where((F.col("g2") >= LEAST_G2) & (F.col("w") > 1.5)).orderBy("term").collect()
     found = Lexicon({r["term"]: float(r["w"]) for r in top})
     if any(r["b"] for r in top):
 
@@ -197,7 +198,7 @@ def fit(rows: DataFrame) -> Lexicon:
                     out.add(folded[at : after + 1])
             return out
 
-        met = _counts(rows, phrases).where("a = 0 and b >= 5").orderBy(F.desc("b"), "term").limit(MAX_TERMS).collect()
+        met = _counts(rows, phrases).where("a = 0 and b >= 5").orderBy("term").collect()
         found = Lexicon(found.weights, frozenset(r["term"] for r in met))
     sample = rows.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1 << 30)) < int((1 << 30) * min(1.0, CALIBRATION_ROWS / total)))
     got = with_features(sample, found, "label").select("f0", "f1", "label").toPandas()
@@ -207,27 +208,32 @@ def fit(rows: DataFrame) -> Lexicon:
 
 def with_features(rows: DataFrame, lexicon: Lexicon, *keep: str) -> DataFrame:
     """f0 and f1 of each row of (text, and the columns of keep)."""
-    wanted = rows.select(*keep, "text")
 
-    def apply(batches):
-        for pdf in batches:
-            x = np.array([lexicon.features(t) for t in pdf.pop("text")], dtype=float).reshape(-1, 2)
-            yield pdf.assign(f0=x[:, 0], f1=x[:, 1])
+    def made(texts: list[str | None]) -> dict:
+        x = np.array([lexicon.features(t) for t in texts], dtype=float).reshape(-1, 2)
+        return {"f0": x[:, 0], "f1": x[:, 1]}
 
-    return wanted.mapInPandas(apply, extended(rows.select(*keep).schema, f0="double", f1="double"))
+    return map_texts(rows.select(*keep, "text"), made, done=_PARTS.clear, f0="double", f1="double")
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from THRESHOLD on)."""
-    out = docs.schema.fieldNames()
+def score(docs: DataFrame, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, score (0 to 1) and predicted (1 from THRESHOLD on) of each row."""
 
-    def apply(batches):
-        for pdf in batches:
-            x = np.array([lexicon.features(t) for t in pdf[text_col]], dtype=float).reshape(-1, 2)
-            s = lexicon.scores(x)
-            yield pdf[out].assign(__score=s, __predicted=(s >= THRESHOLD).astype("int32"))
+    def made(texts: list[str | None]) -> dict:
+        s = lexicon.scores(np.array([lexicon.features(t) for t in texts], dtype=float).reshape(-1, 2))
+        return {"score": s, "predicted": (s >= THRESHOLD).astype("int32")}
+
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return map_texts(rows, made, done=_PARTS.clear, score="double", predicted="int")
+
+
+def clean_rows(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
+    """The rows of docs under THRESHOLD, all their columns."""
+
+    def stay(texts: list[str | None]) -> list[bool]:
+        return list(lexicon.scores(np.array([lexicon.features(t) for t in texts], dtype=float).reshape(-1, 2)) < THRESHOLD)
 
-    return docs.mapInPandas(apply, extended(docs.schema, __score="double", __predicted="int"))
+    return where_texts(docs, stay, text_col, done=_PARTS.clear)
 
 
 def labelled(docs: DataFrame, labels: DataFrame, fold_out: Column | None = None) -> DataFrame:
@@ -245,4 +251,4 @@ def held_out(id_col: str) -> Column:
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = fit(labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), held_out("doc_id")))
-    return score(docs, found).select("doc_id", held_out("doc_id").alias("held_out"), F.col("__score").alias("score"), F.col("__predicted").alias("predicted"))
+    return score(docs, found).select(F.col("id").alias("doc_id"), held_out("id").alias("held_out"), "score", "predicted")
