@@ -13,7 +13,9 @@ that, hits come from a shuffled join. Only narrow rows are exploded; the words o
 are joined to them afterwards.
 
 Cases: a null or empty text on either side has no words. Passages or documents shorter than a seed's
-span are compared by the seeds that fit; those shorter than every seed can't match. Passages with
+span are compared by the seeds that fit. Where there are passages shorter than every seed, runs of
+``least`` equal words are seeds too (such a passage reaches ``least`` by no other way); passages of fewer
+words than ``least`` can't match. Passages with
 equal texts are reported each. Rows that repeat an id are reported together. Empty tables give an
 empty result.
 """
@@ -23,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize, small_side, with_row_uid
+from wirelake.llm.common import fresh, materialize, small_side, with_row_uid
 
 SEEDS = ("11101101011", "110110010111", "1101000110011011")
 LEAST = 8
@@ -77,10 +79,16 @@ def segment(words: Column, item: Column, diagonal: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
-                 seeds: tuple[str, ...] = SEEDS, least: int = LEAST, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
+                 uid_col: str | None = None, seeds: tuple[str, ...] = SEEDS, least: int = LEAST, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
     """(id, item_id, score, item_first, item_last, doc_first): the best segment of each pair that reaches least."""
-    doc = (docs if "__uid" in docs.columns else with_row_uid(docs, "__uid")).select(F.col(id_col).cast("long").alias("id"), F.col("__uid").alias("uid"), word_hashes(F.col(text_col)).alias("words"))
+    if uid_col is None:
+        uid_col = fresh(docs, "__uid")
+        docs = with_row_uid(docs, uid_col)
+    doc = docs.select(F.col(id_col).cast("long").alias("id"), F.col(uid_col).alias("uid"), word_hashes(F.col(text_col)).alias("words"))
     test = items.select(F.col(item_id).cast("long").alias("item_id"), word_hashes(F.col(item_text)).alias("words")).where(F.size("words") > 0)
+    short = min(map(len, seeds))
+    if least < short and not test.where((F.size("words") >= least) & (F.size("words") < short)).isEmpty():
+        seeds = (*seeds, "1" * least)
     index = places(test, seeds, "item_id").select("h", "item_id", F.col("pos").alias("item_pos"))
     small = index.limit(broadcast_hashes + 1).count() <= broadcast_hashes
     narrow = places(doc, seeds, "id", "uid").join(F.broadcast(index) if small else index, "h")
@@ -95,10 +103,12 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def clean_rows(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs without a contaminated segment, all their columns."""
-    marked = with_row_uid(docs, "__uid")
-    bad = contaminated(marked, items, id_col, text_col, **options).select(F.col("uid").alias("__bad")).distinct()
+    uid = fresh(docs, "__uid")
+    marked = with_row_uid(docs, uid)
+    row, own = fresh(marked, "__row"), fresh(marked, "__id")
+    bad = contaminated(marked, items, id_col, text_col, uid_col=uid, **options).select(F.col("uid").alias(row), F.col("id").alias(own)).distinct()
     bad = small_side(materialize(bad, "bad"))
-    return marked.join(bad, F.col("__uid") == F.col("__bad"), "left_anti").select(*[marked[c] for c in docs.columns])
+    return marked.join(bad, (F.col(uid) == F.col(row)) & F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,15 +18,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize, scratch, shuffles_freed, small_side, with_row_uid
+from wirelake.llm.common import fresh, materialize, scratch, small_side, with_row_uid
 
 BLANKS = " \t\n\u000b\f\r"
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
-    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "8",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
+    "spark.sql.streaming.stateStore.rocksdb.writeBufferSizeMB": "4",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 
@@ -35,6 +35,11 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANKS, "")
 
 
+def best() -> Column:
+    """The row of a group that stays: most code points, then smallest id; a null id loses."""
+    return F.max(F.struct("n_cp", (-F.col("id")).alias("neg_id"), "uid", "locator")).alias("best")
+
+
 def keyed_state(rows: DataFrame, max_bytes_per_trigger: int = 64 << 30) -> DataFrame:
     """Run the stateful stream over a written table of (digest, n_cp, id, uid, locator).
 
@@ -44,7 +49,7 @@ def keyed_state(rows: DataFrame, max_bytes_per_trigger: int = 64 << 30) -> DataF
     checkpoint, path = scratch(spark, "state"), rows.inputFiles()
     folder = path[0].rsplit("/", 1)[0] if path else None
     if folder is None:
-        return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_cp")).alias("best"))
+        return rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"), best())
     before = {k: spark.conf.get(k, None) for k in ROCKSDB}
     for k, v in ROCKSDB.items():
         spark.conf.set(k, v)
@@ -54,7 +59,7 @@ def keyed_state(rows: DataFrame, max_bytes_per_trigger: int = 64 << 30) -> DataF
             .groupBy("digest")
             .agg(
                 F.count(F.lit(1)).alias("group_size"),
-                F.max(F.struct("n_cp", (-F.col("id")).alias("neg_id"), F.col("uid"), F.col("locator"))).alias("best"),
+                best(),
             )
         )
         query = (
@@ -103,18 +108,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .select(hits["digest"], "norm").groupBy("digest").agg(F.min("norm").alias("low"), F.max("norm").alias("high"))
         .where("low <> high").select("digest")
     )
-    with shuffles_freed(docs.sparkSession):
-        collided = [r.digest for r in met.limit(1000).collect()]
-    return _split_again(found, texts, met) if collided else found
+    met = materialize(met, "collided")
+    return found if met.isEmpty() else _split_again(found, texts, met)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Id, text, uid and locator; the locator names the file and the row's place in it."""
-    marked = with_row_uid(docs, "__uid")
-    return marked.select(
-        F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col("__uid").alias("uid"),
-        F.concat_ws("#", F.input_file_name(), F.input_file_block_start().cast("string")).alias("locator"),
-    )
+    """Id, text, uid and locator; the locator is the file and the row's place in it."""
+    uid, locator = fresh(docs, "__uid"), fresh(docs, "__locator")
+    marked = with_row_uid(docs, uid, locator)
+    return marked.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.col(uid).alias("uid"), F.col(locator).alias("locator"))
 
 
 def _split_again(found: DataFrame, texts: DataFrame, met: DataFrame) -> DataFrame:
@@ -122,7 +124,7 @@ def _split_again(found: DataFrame, texts: DataFrame, met: DataFrame) -> DataFram
     odd = found.join(met, "digest", "left_semi")
     full = odd.join(texts.select("id", "uid", "norm"), (odd["uid"] == texts["uid"]) & odd["id"].eqNullSafe(texts["id"])).select(odd["*"], "norm")
     best = full.groupBy("digest", "norm").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct("n_cp", (-F.col("id")).alias("neg_id"), "uid", "locator")).alias("best"),
+        F.count(F.lit(1)).alias("n"), best(),
     )
     again = full.join(best, ["digest", "norm"]).select(
         "digest", "id", "uid", "n_cp", "locator", F.col("n").alias("group_size"), (-F.col("best.neg_id")).alias("keep_id"),
@@ -133,10 +135,11 @@ def _split_again(found: DataFrame, texts: DataFrame, met: DataFrame) -> DataFram
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    marked = with_row_uid(docs, "__uid")
-    gone = small_side(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias("__id"), F.col("uid").alias("__gone_uid")))
-    on = (marked["__uid"] == gone["__gone_uid"]) & marked[id_col].cast("long").eqNullSafe(gone["__id"])
-    return marked.join(gone, on, "left_anti").select(*[marked[c] for c in docs.columns])
+    uid = fresh(docs, "__uid")
+    marked = with_row_uid(docs, uid)
+    own, row = fresh(marked, "__id"), fresh(marked, "__row")
+    gone = small_side(exact_dedup(docs, id_col, text_col).where(~F.col("kept")).select(F.col("id").alias(own), F.col("uid").alias(row)))
+    return marked.join(gone, (F.col(uid) == F.col(row)) & F.col(id_col).cast("long").eqNullSafe(F.col(own)), "left_anti").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -20,11 +20,12 @@ from itertools import accumulate
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import extended, materialize, with_row_uid
+from wirelake.llm.common import fresh, map_texts, materialize, with_row_uid
 from wirelake.llm.components import components
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -64,13 +65,10 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """id and fp (the fingerprint's bits as a signed long), with the columns of keep."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), *keep, F.col(text_col).alias("text"))
 
-    def fit(batches):
-        for pdf in batches:
-            fps = np.array([fingerprint(t, size) for t in pdf.pop("text")], dtype=np.uint64).view(np.int64)
-            yield pdf.assign(fp=fps)
+    def made(texts: list[str | None]) -> dict:
+        return {"fp": pa.array(np.array([fingerprint(t, size) for t in texts], dtype=np.uint64).view(np.int64))}
 
-    schema = extended(rows.drop("text").schema, fp="long")
-    return rows.mapInPandas(fit, schema)
+    return map_texts(rows, made, fp="long")
 
 
 def _blocks(max_bits: int) -> list[tuple[int, int]]:
@@ -199,10 +197,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 4, max_bits: int = 4) -> DataFrame:
     """The rows of docs of which one of each component stays: the first row of its smallest id."""
-    marked = with_row_uid(docs, "__uid")
-    found = near_duplicates(marked, id_col, text_col, size, max_bits, ("__uid",))
-    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("__uid").alias("__kept")).select("__kept")
-    return marked.join(stay, F.col("__uid") == F.col("__kept"), "left_semi").select(*[marked[c] for c in docs.columns])
+    uid = fresh(docs, "__uid")
+    marked = with_row_uid(docs, uid)
+    found = near_duplicates(marked, id_col, text_col, size, max_bits, (uid,))
+    kept = fresh(marked, "__kept")
+    stay = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min(uid).alias(kept)).select(kept)
+    return marked.join(stay, F.col(uid) == F.col(kept), "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
