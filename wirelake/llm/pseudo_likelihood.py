@@ -5,20 +5,24 @@ itself being masked: neighbours are embedded, a hidden layer sees all of them wi
 and a two-level softmax gives the probability of the word's class and of the word within its class.
 A document's score is the sum of these conditional log-probabilities over all its words.
 
-The vocabulary comes from counts over all documents. Training is by rounds of local gradient descent:
-each task starts from the same weights, goes over its own documents (every ``STRIDE``-th word is a
-target, from a place that differs by document and moves by one each round, so over the rounds every
-word is a target once), and returns its weights; these are averaged by their
-numbers of targets, first in groups, so what the corpus gives grows with it while the driver gets a
-bounded number of averages.
-
-Cases: a null or empty text has no words, a sum of 0 and no mean. Words outside the vocabulary share
-one entry. Rows that repeat an id are scored each. An empty table gives an empty result.
+The vocabulary comes from counts over all documents and grows with their number of words. A word
+outside it is predicted as unknown and then spelled: a model of byte pairs, counted over all such words,
+gives its bytes and its end, so every word has a probability of its own and all of them sum to one.
+
+Training is by rounds of local gradient descent: each task starts from the same weights, goes over its
+own documents (every ``STRIDE``-th word is a target, from a place that differs by document and moves by
+one each round, so over the rounds every word is a target once), and returns its weights; these are
+averaged by their numbers of targets along a tree, so no task and not the driver gets more than
+``FAN_IN`` of them. The result thus depends on how the input is dealt over tasks.
+
+Cases: a null or empty text has no words, a sum of 0 and no mean. Rows that repeat an id are scored
+each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from itertools import islice
 
 import numpy as np
@@ -27,51 +31,101 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import extended, materialize
+from wirelake.llm.common import map_texts, materialize, small_batches
 
 SIDE = 2
-CLASSES = 64
-MEMBERS = 64
+GROWTH = 0.7
 DIM = 16
 HIDDEN = 32
 ROUNDS = 2
 STRIDE = ROUNDS
-GROUPS = 16
+FAN_IN = 32
 UNKNOWN, EDGE = 0, 1
+STEP = 8192
 CHUNK = 8192
+SPELLED = 100_000
+END = 256
 
 
 def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def vocabulary(docs: DataFrame, size: int = CLASSES * MEMBERS) -> tuple[dict[str, int], np.ndarray]:
-    """The most frequent words of all documents with ids from 2 on, and the counts by id."""
+def classes_for(words: int) -> int:
+    """How many classes, each of as many words, a corpus of so many words gets."""
+    return max(8, int(GROWTH * words**0.25))
+
+
+class Vocabulary:
+    """Word ids from 2 on, their counts by id, and the spelling of all other words."""
+
+    def __init__(self, ids: dict[str, int], counts: np.ndarray, pairs: np.ndarray):
+        self.ids, self.counts = ids, counts
+        self.classes = int(round(len(counts) ** 0.5))
+        by = pairs + 0.01
+        self.spelling = np.log(by / by.sum(axis=1, keepdims=True))
+        self._known: dict[str, float] = {}
+
+    def __getstate__(self):
+        return self.__dict__ | {"_known": {}}
+
+    def spelled(self, word: str) -> float:
+        """Log-probability of a word's bytes and its end."""
+        got = self._known.get(word)
+        if got is None:
+            raw = np.frombuffer(word.encode(), dtype=np.uint8).astype(np.int64)
+            got = float(self.spelling[np.r_[END, raw], np.r_[raw, END]].sum())
+            if len(self._known) >= SPELLED:
+                self._known.clear()
+            self._known[word] = got
+        return got
+
+    def forget(self) -> None:
+        self._known.clear()
+
+    def encode(self, words: list[str]) -> np.ndarray:
+        get = self.ids.get
+        return np.array([get(w, UNKNOWN) for w in words], dtype=np.int32)
+
+
+def vocabulary(docs: DataFrame) -> Vocabulary:
+    """Counts over all documents (text)."""
+    small_batches(docs.sparkSession)
 
     def count(batches):
-        seen: dict[str, int] = {}
+        seen: Counter = Counter()
         for pdf in batches:
             for text in pdf["text"]:
-                for w in words_of(text):
-                    seen[w] = seen.get(w, 0) + 1
-            if len(seen) > 500_000:
+                seen.update(words_of(text))
+            if len(seen) > 400_000:
                 yield pd.DataFrame({"w": list(seen), "n": list(seen.values())})
-                seen = {}
+                seen = Counter()
         if seen:
             yield pd.DataFrame({"w": list(seen), "n": list(seen.values())})
 
     counted = materialize(docs.select("text").mapInPandas(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")), "words")
     total = counted.agg(F.sum("n")).first()[0] or 0
-    top = counted.orderBy(F.desc("n"), "w").limit(size - 2).collect()
-    counts = np.ones(size, dtype=np.float64)
+    side = classes_for(total)
+    top = counted.orderBy(F.desc("n"), "w").limit(side * side - 2).collect()
+    ids = {r["w"]: k for k, r in enumerate(top, 2)}
+    counts = np.ones(side * side, dtype=np.float64)
     counts[2 : 2 + len(top)] = [r["n"] for r in top]
     counts[UNKNOWN] = max(1, total - sum(r["n"] for r in top))
-    return {r["w"]: k for k, r in enumerate(top, 2)}, counts
 
+    def spell(batches):
+        pairs = np.zeros((257, 257))
+        for pdf in batches:
+            for w, n in zip(pdf["w"], pdf["n"], strict=True):
+                if w not in ids:
+                    raw = np.frombuffer(w.encode(), dtype=np.uint8).astype(np.int64)
+                    np.add.at(pairs, (np.r_[END, raw], np.r_[raw, END]), n)
+        a, b = np.nonzero(pairs)
+        yield pd.DataFrame({"a": a, "b": b, "n": pairs[a, b]})
 
-def encode(text: str | None, ids: dict[str, int]) -> np.ndarray:
-    get = ids.get
-    return np.array([get(w, UNKNOWN) for w in words_of(text)], dtype=np.int32)
+    pairs = np.zeros((257, 257))
+    for r in counted.mapInPandas(spell, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
+        pairs[r["a"], r["b"]] = r["n"]
+    return Vocabulary(ids, counts, pairs)
 
 
 def contexts(ids: np.ndarray, side: int = SIDE) -> np.ndarray:
@@ -87,185 +141,210 @@ def targets(ids: np.ndarray, stride: int, seed: int) -> slice:
 
 
 class WindowNetwork:
-    """Weights and steps; word id w belongs to class w % CLASSES at place w // CLASSES."""
+    """Weights and steps; word id w belongs to class w % classes at place w // classes."""
 
     def __init__(self, counts: np.ndarray, seed: int = 0):
         rng = np.random.default_rng(seed)
-        f = np.float32
-        by = counts.reshape(MEMBERS, CLASSES).T
+        f, size = np.float32, len(counts)
+        self.classes = n = int(round(size**0.5))
+        by = counts.reshape(n, n).T
         self.p = {
-            "e": rng.normal(0, 0.3, (CLASSES * MEMBERS, DIM)).astype(f),
+            "e": rng.normal(0, 0.3, (size, DIM)).astype(f),
             "w": rng.normal(0, 1 / np.sqrt(2 * SIDE * DIM), (2 * SIDE * DIM, HIDDEN)).astype(f),
             "b": np.zeros(HIDDEN, f),
-            "c": np.zeros((HIDDEN, CLASSES), f),
+            "c": np.zeros((HIDDEN, n), f),
             "cb": np.log(by.sum(axis=1) / by.sum()).astype(f),
-            "o": np.zeros((CLASSES, HIDDEN, MEMBERS), f),
+            "o": np.zeros((n, HIDDEN, n), f),
             "ob": np.log(by / by.sum(axis=1, keepdims=True)).astype(f),
         }
+        self._tables = None
+
+    def __getstate__(self):
+        return self.__dict__ | {"_tables": None}
 
     def hidden(self, x: np.ndarray) -> np.ndarray:
-        e = self.p["e"][x].reshape(len(x), -1)
-        return np.tanh(e @ self.p["w"] + self.p["b"])
+        """The hidden layer, from a table of each neighbour's share by word and place."""
+        if self._tables is None:
+            self._tables = [self.p["e"] @ self.p["w"][k * DIM : (k + 1) * DIM] for k in range(2 * SIDE)]
+        a = self._tables[0][x[:, 0]] + self.p["b"]
+        for k in range(1, 2 * SIDE):
+            a += self._tables[k][x[:, k]]
+        return np.tanh(a, out=a)
 
     @staticmethod
-    def _log_softmax(z: np.ndarray) -> np.ndarray:
+    def _log_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Log-softmax of each row at one place."""
         z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return z
+        got = z[np.arange(len(z)), at]
+        return got - np.log(np.exp(z, out=z).sum(axis=1))
+
+    def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Order by class, and the bounds of each class in it."""
+        cls = (y % self.classes).astype(np.uint16)
+        order = np.argsort(cls, kind="stable")
+        return order, np.searchsorted(cls[order], np.arange(self.classes + 1))
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log-probability of each target y given its neighbours x."""
         p, out = self.p, np.empty(len(y), dtype=np.float64)
         for at in range(0, len(y), CHUNK):
-            t, h = y[at : at + CHUNK], self.hidden(x[at : at + CHUNK])
-            cls, place = t % CLASSES, t // CLASSES
-            got = self._log_softmax(h @ p["c"] + p["cb"])[np.arange(len(t)), cls].astype(np.float64)
-            order = np.argsort(cls, kind="stable")
-            bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+            order, bounds = self._by_class(y[at : at + CHUNK])
+            t, h = y[at : at + CHUNK][order], self.hidden(x[at : at + CHUNK][order])
+            got = self._log_at(h @ p["c"] + p["cb"], t % self.classes)
+            place = t // self.classes
             for c in np.flatnonzero(np.diff(bounds)):
-                own = order[bounds[c] : bounds[c + 1]]
-                got[own] += self._log_softmax(h[own] @ p["o"][c] + p["ob"][c])[np.arange(len(own)), place[own]]
-            out[at : at + CHUNK] = got
+                a, b = bounds[c], bounds[c + 1]
+                got[a:b] += self._log_at(h[a:b] @ p["o"][c] + p["ob"][c], place[a:b])
+            out[at + order] = got
         return out
 
+    @staticmethod
+    def _error(z: np.ndarray, at: np.ndarray, n: int) -> tuple[float, np.ndarray]:
+        """Summed negative log-probability at one place of each row, and its gradient over n."""
+        rows = np.arange(len(z))
+        z -= z.max(axis=1, keepdims=True)
+        picked = z[rows, at].sum(dtype=np.float64)
+        np.exp(z, out=z)
+        total = z.sum(axis=1, keepdims=True)
+        z /= total
+        z[rows, at] -= 1
+        z *= np.float32(1 / n)
+        return float(np.log(total).sum(dtype=np.float64) - picked), z
+
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean negative log-probability and its gradients; ``e`` as (ids, rows)."""
+        """Mean negative log-probability and its gradients; ``e`` as (ids, rows), each id once."""
         p, n = self.p, len(y)
+        order, bounds = self._by_class(y)
+        x, y = x[order], y[order]
         e = p["e"][x].reshape(n, -1)
         h = np.tanh(e @ p["w"] + p["b"])
-        cls, place = y % CLASSES, y // CLASSES
-        z = self._log_softmax(h @ p["c"] + p["cb"])
-        loss = -z[np.arange(n), cls].sum(dtype=np.float64)
-        d = np.exp(z)
-        d[np.arange(n), cls] -= 1
-        d /= n
+        loss, d = self._error(h @ p["c"] + p["cb"], y % self.classes, n)
         g = {"c": h.T @ d, "cb": d.sum(axis=0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
-        dh = d @ p["c"].T
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+        dh, place = d @ p["c"].T, y // self.classes
         for c in np.flatnonzero(np.diff(bounds)):
-            own = order[bounds[c] : bounds[c + 1]]
-            z = self._log_softmax(h[own] @ p["o"][c] + p["ob"][c])
-            loss -= z[np.arange(len(own)), place[own]].sum(dtype=np.float64)
-            d = np.exp(z)
-            d[np.arange(len(own)), place[own]] -= 1
-            d /= n
-            g["o"][c], g["ob"][c] = h[own].T @ d, d.sum(axis=0)
-            dh[own] += d @ p["o"][c].T
+            a, b = bounds[c], bounds[c + 1]
+            more, d = self._error(h[a:b] @ p["o"][c] + p["ob"][c], place[a:b], n)
+            loss += more
+            g["o"][c], g["ob"][c] = h[a:b].T @ d, d.sum(axis=0)
+            dh[a:b] += d @ p["o"][c].T
         da = dh * (1 - h * h)
         g["w"], g["b"] = e.T @ da, da.sum(axis=0)
-        g["e"] = (x.ravel(), (da @ p["w"].T).reshape(-1, DIM))
+        ids, rows = x.ravel(), (da @ p["w"].T).reshape(-1, DIM)
+        order = np.argsort(ids.astype(np.uint16) if len(p["e"]) <= 1 << 16 else ids, kind="stable")
+        ids = ids[order]
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        g["e"] = (ids[starts], np.add.reduceat(rows[order], starts, axis=0))
         return loss / n, g
 
     def descend(self, x: np.ndarray, y: np.ndarray, state: dict, rate: float) -> float:
         """One Adagrad step."""
+        self._tables = None
         loss, g = self.gradients(x, y)
         ids, rows = g.pop("e")
-        whole = np.zeros_like(self.p["e"])
-        order = np.argsort(ids, kind="stable")
-        starts = np.flatnonzero(np.r_[True, ids[order][1:] != ids[order][:-1]])
-        whole[ids[order][starts]] = np.add.reduceat(rows[order], starts, axis=0)
-        for k, v in (g | {"e": whole}).items():
+        s = state.setdefault("e", np.full_like(self.p["e"], 1e-8))
+        s[ids] += rows * rows
+        self.p["e"][ids] -= np.float32(rate) * rows / np.sqrt(s[ids])
+        for k, v in g.items():
             s = state.setdefault(k, np.full_like(self.p[k], 1e-8))
             s += v * v
-            self.p[k] -= (rate * v / np.sqrt(s)).astype(np.float32)
+            self.p[k] -= np.float32(rate) * v / np.sqrt(s)
         return loss
 
     def packed(self) -> bytes:
         return np.concatenate([self.p[k].ravel() for k in sorted(self.p)]).tobytes()
 
-    def unpack(self, flat: np.ndarray) -> WindowNetwork:
-        at = 0
+    def unpacked(self, flat: np.ndarray) -> WindowNetwork:
+        """A network of this one's shape with other weights."""
+        out, at = WindowNetwork(np.ones(self.classes**2)), 0
         for k in sorted(self.p):
             n = self.p[k].size
-            self.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
+            out.p[k] = flat[at : at + n].reshape(self.p[k].shape).astype(np.float32)
             at += n
-        return self
+        return out
 
 
-def _round(docs: DataFrame, ids: dict[str, int], start: WindowNetwork, rate: float, stride: int, seed: int) -> WindowNetwork:
+def _average(pdf: pd.DataFrame) -> pd.DataFrame:
+    n = pdf["n"].to_numpy(dtype=np.float64)
+    total = sum(np.frombuffer(blob, dtype=np.float32).astype(np.float64) * (k / n.sum()) for k, blob in zip(n, pdf["weights"], strict=True))
+    return pd.DataFrame({"node": [int(pdf["node"].iloc[0]) // FAN_IN], "n": [int(n.sum())], "weights": [total.astype(np.float32).tobytes()]})
+
+
+def _round(docs: DataFrame, words: Vocabulary, start: WindowNetwork, rate: float, stride: int, seed: int) -> WindowNetwork:
     """Every task descends on its own documents; the weights come back averaged."""
 
     def local(batches):
-        own, state, seen = WindowNetwork(np.ones(CLASSES * MEMBERS)), {}, 0
-        own.p = {k: v.copy() for k, v in start.p.items()}
+        own, state, seen = start.unpacked(np.frombuffer(start.packed(), dtype=np.float32)), {}, 0
         xs, ys, held = [], [], 0
         rng = np.random.default_rng(seed)
 
         def step():
             x, y = np.concatenate(xs), np.concatenate(ys)
             order = rng.permutation(len(y))
-            for at in range(0, len(y), 1024):
-                part = order[at : at + 1024]
+            for part in np.array_split(order, max(1, len(y) // STEP)):
                 own.descend(x[part], y[part], state, rate)
 
         for pdf in batches:
             for text in pdf["text"]:
-                t = encode(text, ids)
+                t = words.encode(words_of(text))
                 if len(t):
                     at = targets(t, stride, seed)
                     xs.append(contexts(t)[at])
                     ys.append(t[at])
                     held += len(ys[-1])
-                    if held >= 65536:
+                    if held >= 8 * STEP:
                         step()
                         seen, held, xs, ys = seen + held, 0, [], []
         if held:
             step()
             seen += held
         if seen:
-            yield pd.DataFrame({"bucket": [TaskContext.get().partitionId() % GROUPS], "n": [seen], "weights": [own.packed()]})
-
-    def average(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["n"].to_numpy(dtype=np.float64)
-        total = None
-        for k, blob in enumerate(pdf["weights"]):
-            part = np.frombuffer(blob, dtype=np.float32) * (n[k] / n.sum())
-            total = part.astype(np.float64) if total is None else total + part
-        return pd.DataFrame({"n": [int(n.sum())], "weights": [total.astype(np.float32).tobytes()]})
-
-    got = docs.select("text").mapInPandas(local, "bucket int, n long, weights binary").groupBy("bucket").applyInPandas(average, "n long, weights binary").collect()
-    if not got:
-        return start
-    total = sum(r["n"] for r in got)
-    flat = sum(np.frombuffer(r["weights"], dtype=np.float32).astype(np.float64) * (r["n"] / total) for r in got)
-    out = WindowNetwork(np.ones(CLASSES * MEMBERS))
-    return out.unpack(flat)
-
-
-def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.05, stride: int = STRIDE) -> tuple[dict[str, int], WindowNetwork]:
+            yield pd.DataFrame({"node": [TaskContext.get().partitionId()], "n": [seen], "weights": [own.packed()]})
+
+    schema = "node long, n long, weights binary"
+    got = materialize(docs.select("text").mapInPandas(local, schema), "weights")
+    while (left := got.count()) > 1:
+        got = materialize(got.withColumn("__g", F.floor(F.col("node") / FAN_IN)).groupBy("__g").applyInPandas(lambda pdf: _average(pdf[["node", "n", "weights"]]), schema), "weights")
+        if left <= FAN_IN and got.count() > 1:
+            got = got.withColumn("node", F.lit(0).cast("long"))
+    last = got.first()
+    return start if last is None else start.unpacked(np.frombuffer(last["weights"], dtype=np.float32))
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.05, stride: int = STRIDE) -> tuple[Vocabulary, WindowNetwork]:
     """Vocabulary and network of docs (text)."""
-    ids, counts = vocabulary(docs)
-    network = WindowNetwork(counts)
+    words = vocabulary(docs)
+    network = WindowNetwork(words.counts)
     for k in range(rounds):
-        network = _round(docs, ids, network, rate / (1 + k), stride, k)
-    return ids, network
+        network = _round(docs, words, network, rate / (1 + k), stride, k)
+    return words, network
 
 
-def score(docs: DataFrame, ids: dict[str, int], network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, log_prob (sum) and mean_log_prob of every whole text."""
+def score(docs: DataFrame, words: Vocabulary, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_words, n_unknown, log_prob (sum) and mean_log_prob of every whole text."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
-    def apply(batches):
-        for pdf in batches:
-            texts, sums, sizes = iter(pdf.pop("text")), [], []
-            while part := list(islice(texts, 32)):
-                own = [encode(t, ids) for t in part]
-                y = np.concatenate(own)
-                x = np.concatenate([contexts(t) for t in own])
-                cuts = np.cumsum([0, *map(len, own)])
-                total = np.concatenate([[0.0], np.cumsum(network.log_probs(x, y))])
-                sums += list(total[cuts[1:]] - total[cuts[:-1]])
-                sizes += [len(t) for t in own]
-            n = np.array(sizes, dtype=np.int64)
-            s = np.array(sums, dtype=float)
-            yield pdf.assign(n_words=n, log_prob=s, mean_log_prob=np.where(n > 0, s / np.maximum(n, 1), np.nan))
-
-    got = rows.mapInPandas(apply, extended(rows.drop("text").schema, n_words="long", log_prob="double", mean_log_prob="double"))
-    return got.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("mean_log_prob")))
+    def made(texts: list[str | None]) -> dict:
+        rest, sums, sizes, unknown = iter(texts), [], [], []
+        while part := list(islice(rest, 32)):
+            split = [words_of(t) for t in part]
+            own = [words.encode(t) for t in split]
+            y, x = np.concatenate(own), np.concatenate([contexts(t) for t in own])
+            cuts = np.cumsum([0, *map(len, own)])
+            each = network.log_probs(x, y)
+            for k, t in enumerate(own):
+                for at in np.flatnonzero(t == UNKNOWN).tolist():
+                    each[cuts[k] + at] += words.spelled(split[k][at])
+            total = np.concatenate([[0.0], np.cumsum(each)])
+            sums += list(total[cuts[1:]] - total[cuts[:-1]])
+            sizes += [len(t) for t in own]
+            unknown += [int((t == UNKNOWN).sum()) for t in own]
+        return {"n_words": sizes, "n_unknown": unknown, "log_prob": sums}
+
+    got = map_texts(rows, made, done=words.forget, n_words="long", n_unknown="long", log_prob="double")
+    return got.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    ids, network = fit(docs)
-    return score(docs, ids, network).withColumnRenamed("id", "doc_id")
+    words, network = fit(docs)
+    return score(docs, words, network).withColumnRenamed("id", "doc_id")
