@@ -11,9 +11,9 @@ payload.
 Archives are written by Spark's own text writer, one gzip file for each partition, with the two line
 ends that close a WARC record as its separator, and read back as binary files by declared length.
 
-Cases: a null payload is empty. Ids may not be null in ``convert_pages``; rows that repeat an id are
-records of their own, and of equal payloads any row of the smallest id is the response. An empty
-table gives no records.
+Cases: a null payload is empty. A null id is read back as null and loses to any other; rows that repeat
+an id are records of their own, and of equal payloads one row of the smallest id is the response. An
+empty table gives no records.
 """
 
 from __future__ import annotations
@@ -23,11 +23,12 @@ import re
 import uuid
 import zlib
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import scratch, shuffles_freed
+from wirelake.llm.common import _ARROW, materialize, scratch, shuffles_freed, small_batches, small_side
 
 FIELDS = {
     1: ["url", "ip", "date", "type", "length"],
@@ -136,107 +137,131 @@ def parse_warc(data: bytes):
 
 
 def pages_to_arc(pages: DataFrame, id_col: str, url_col: str, payload_col: str) -> DataFrame:
-    """(segment, version, data): ARC bytes of at most about SEGMENT each; the id travels as an HTTP header."""
+    """(segment, data): ARC bytes of at most about SEGMENT each; the id travels as an HTTP header, ``-`` for a null one."""
+    small_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("string").cast("binary"), F.lit(b"")).alias("payload"))
 
     def fit(batches):
-        for pdf in batches:
-            data, first, version = [], None, 1
-            for i, url, payload in zip(pdf["id"].tolist(), pdf["url"], pdf["payload"], strict=True):
-                if first is None:
-                    first, version = i, 1 + i % 2
+        task, number, data, size, version = TaskContext.get().partitionId(), 0, [], 0, 1
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([f"pages-{task}-{number}"]), pa.array([b"".join(data)], pa.binary())], names=["segment", "data"])
+
+        for batch in batches:
+            for i, url, payload in zip(*(batch.column(c).to_pylist() for c in ("id", "url", "payload")), strict=True):
+                if not data:
+                    version = 1 + number % 2
                     data, size = [arc_start(version)], 0
-                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Record-Key: %d\r\nContent-Length: %d\r\n\r\n" % (i, len(payload))
-                data.append(arc_record(version, re.sub(r"[\r\n]", "", url or "") if ":" in (url or "") else "urn:page:%d" % i, "192.0.2.1", "20240115093000", "text/html", head + payload, offset=size))
+                name = b"-" if i is None else b"%d" % i
+                head = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Record-Key: %s\r\nContent-Length: %d\r\n\r\n" % (name, len(payload))
+                data.append(arc_record(version, re.sub(r"[\r\n]", "", url or "") if ":" in (url or "") else f"urn:page:{name.decode()}", "192.0.2.1", "20240115093000", "text/html", head + payload, offset=size))
                 size += len(data[-1])
                 if size >= SEGMENT:
-                    yield pd.DataFrame({"segment": [f"pages-{first}"], "data": [b"".join(data)]})
-                    first = None
-            if first is not None:
-                yield pd.DataFrame({"segment": [f"pages-{first}"], "data": [b"".join(data)]})
+                    yield done()
+                    number, data = number + 1, []
+        if data:
+            yield done()
+
+    return rows.mapInArrow(fit, "segment string, data binary")
+
+
+def key_of(head: bytes) -> int | None:
+    key = re.search(rb"(?im)^X-Record-Key: (-?\d+)\r?$", head)
+    return int(key[1]) if key else None
+
+
+def _batch(rows: list[dict], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], type=_ARROW[_KINDS[n]]) for n in names], names=names)
 
-    return rows.mapInPandas(fit, "segment string, data binary")
+
+#: The columns of records and their types.
+_KINDS = {
+    "record_id": "string", "url": "string", "date": "string", "ip": "string", "kind": "string", "is_http": "boolean", "head": "binary", "payload": "binary", "digest": "string",
+    "bytes": "long", "key": "long", "record_type": "string", "payload_bytes": "long", "refers_to_id": "string",
+}
+
+
+def _schema(names: list[str]) -> str:
+    return ", ".join(f"{n} {_KINDS[n]}" for n in names)
 
 
 def convert(segments: DataFrame, with_payload: bool = True) -> DataFrame:
     """Records of ARC segments (segment, data); key is the X-Record-Key header, or null."""
-    names = ["record_id", "url", "date", "ip", "kind", "is_http", "head", "payload", "digest", "bytes"]
-    types = ["string", "string", "string", "string", "string", "boolean", "binary", "binary", "string", "long"]
+    names = ["record_id", "url", "date", "ip", "kind", "is_http", "head", "payload", "digest", "bytes", "key"]
     keep = [n for n in names if with_payload or n not in ("payload", "head", "kind", "ip")]
 
     def fit(batches):
-        for pdf in batches:
-            for segment, data in zip(pdf["segment"], pdf["data"], strict=True):
-                got = converted(segment, data)
-                frame = pd.DataFrame(got, columns=names)
-                keys = [re.search(rb"(?im)^X-Record-Key: (\d+)", r["head"]) for r in got]
-                yield frame[keep].assign(key=pd.array([int(k[1]) if k else None for k in keys], dtype="Int64"))
+        for batch in batches:
+            for segment, data in zip(batch.column("segment").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                yield _batch([r | {"key": key_of(r["head"])} for r in converted(segment, data)], keep)
+
+    return segments.mapInArrow(fit, _schema(keep))
 
-    return segments.mapInPandas(fit, ", ".join(f"{n} {t}" for n, t in zip(names, types, strict=True) if n in keep) + ", key long")
+
+FIRSTS = 100_000
 
 
 def mark_revisits(records: DataFrame, narrow: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """records with first (record_id, url, date of the response) where they revisit an earlier key's payload.
 
     narrow has (key, record_id, url, date, digest, bytes) of the same records without their payload;
-    the first of each digest is pre-aggregated before it is shuffled, and only it joins the records.
+    the first of each digest that repeats is pre-aggregated, written, and broadcast while there are at
+    most ``FIRSTS`` of them, so payloads aren't shuffled. A null key loses to any other.
     """
-    firsts = narrow.where(F.col("bytes") >= least).groupBy("digest").agg(F.min(F.struct("key", "record_id", "url", "date")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("f_digest"), "first")
+    low = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "record_id", "url", "date")).alias("first")
+    firsts = narrow.where(F.col("bytes") >= least).groupBy("digest").agg(low, F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("digest").alias("f_digest"), "first.record_id", "first.url", "first.date")
+    firsts = small_side(materialize(firsts.select("f_digest", F.struct("record_id", "url", "date").alias("first")), "firsts"), FIRSTS)
     joined = records.join(firsts, F.col("digest") == F.col("f_digest"), "left")
-    return joined.withColumn("first", F.when(F.col("first.record_id") != F.col("record_id"), F.col("first"))).drop("f_digest")
+    return joined.withColumn("first", F.when((F.col("bytes") >= least) & (F.col("first.record_id") != F.col("record_id")), F.col("first"))).drop("f_digest")
 
 
 def write_archives(records: DataFrame, path: str) -> None:
     """Write marked records as gzip WARC files, one for each partition, a warcinfo record first."""
 
     def fit(batches):
-        started = False
-        for pdf in batches:
-            if not started:
-                info = warc_record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>", "WARC-Date": "2024-01-15T09:30:00Z", "Content-Type": "application/warc-fields"}, b"software: wirelake\r\nformat: WARC File Format 1.1\r\n")
-                yield pd.DataFrame({"value": [info]})
-                started = True
-            out = []
-            for r in pdf.itertuples(index=False):
-                fields = {"WARC-Record-ID": f"<{r.record_id}>", "WARC-Target-URI": r.url, "WARC-Date": r.date, "WARC-IP-Address": r.ip, "WARC-Payload-Digest": f"sha256:{r.digest}"}
-                kind, block = ("response" if r.is_http else "resource"), r.head + r.payload
-                if r.first is not None:
-                    f = r.first if isinstance(r.first, dict) else r.first.asDict()
+        out = [warc_record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, path)}>", "WARC-Date": "2024-01-15T09:30:00Z", "Content-Type": "application/warc-fields"}, b"software: wirelake\r\nformat: WARC File Format 1.1\r\n")]
+        for batch in batches:
+            for r in batch.to_pylist():
+                fields = {"WARC-Record-ID": f"<{r['record_id']}>", "WARC-Target-URI": r["url"], "WARC-Date": r["date"], "WARC-IP-Address": r["ip"], "WARC-Payload-Digest": f"sha256:{r['digest']}"}
+                kind, block, f = ("response" if r["is_http"] else "resource"), r["head"] + r["payload"], r["first"]
+                if f is not None:
                     fields |= {"WARC-Refers-To": f"<{f['record_id']}>", "WARC-Refers-To-Target-URI": f["url"], "WARC-Refers-To-Date": f["date"], "WARC-Profile": PROFILE}
-                    kind, block = "revisit", r.head
-                fields["Content-Type"] = "application/http; msgtype=response" if r.is_http else r.kind
+                    kind, block = "revisit", r["head"]
+                fields["Content-Type"] = "application/http; msgtype=response" if r["is_http"] else r["kind"]
                 out.append(warc_record(kind, fields, block))
-            yield pd.DataFrame({"value": out})
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["value"])
+            out = []
 
     spark = records.sparkSession
     with shuffles_freed(spark):
-        records.mapInPandas(fit, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+        records.mapInArrow(fit, "value binary").select(F.col("value").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
     """(record_id, record_type, url, date, digest, payload_bytes, refers_to_id, key) of every record but warcinfo."""
+    names = ["record_id", "record_type", "url", "date", "digest", "payload_bytes", "refers_to_id", "key"]
 
     def fit(batches):
-        for pdf in batches:
-            for content in pdf["content"]:
+        for batch in batches:
+            for content in batch.column("content").to_pylist():
                 out = []
                 for f, block in parse_warc(zlib.decompress(content, 31) if content[:2] == b"\x1f\x8b" else content):
                     if f["warc-type"] == "warcinfo":
                         continue
                     head, payload = split_http(block)
-                    key = re.search(rb"(?im)^X-Record-Key: (\d+)", head)
                     size = re.search(rb"(?im)^Content-Length: (\d+)", head)
                     revisit = f["warc-type"] == "revisit"
                     digest = f["warc-payload-digest"].removeprefix("sha256:")
                     if not revisit and hashlib.sha256(payload).hexdigest() != digest:
                         raise ValueError(f"payload of {f['warc-record-id']} doesn't match its digest")
-                    out.append((f["warc-record-id"].strip("<>"), f["warc-type"], f["warc-target-uri"], f["warc-date"], digest, int(size[1]) if revisit and size else len(payload), f.get("warc-refers-to", "").strip("<>") or None, int(key[1]) if key else None))
-                frame = pd.DataFrame(out, columns=["record_id", "record_type", "url", "date", "digest", "payload_bytes", "refers_to_id", "key"])
-                frame["key"] = frame["key"].astype("Int64")
-                yield frame
+                    out.append({
+                        "record_id": f["warc-record-id"].strip("<>"), "record_type": f["warc-type"], "url": f["warc-target-uri"], "date": f["warc-date"], "digest": digest,
+                        "payload_bytes": int(size[1]) if revisit and size else len(payload), "refers_to_id": f.get("warc-refers-to", "").strip("<>") or None, "key": key_of(head),
+                    })
+                yield _batch(out, names)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    return files.mapInPandas(fit, "record_id string, record_type string, url string, date string, digest string, payload_bytes long, refers_to_id string, key long")
+    return files.mapInArrow(fit, _schema(names))
 
 
 def convert_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -249,6 +274,8 @@ def convert_pages(pages: DataFrame, path: str, id_col: str = "page_id", url_col:
 def query(spark, sf_dir: str) -> DataFrame:
     got = convert_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"), scratch(spark, "warc"))
     targets = got.where("record_type <> 'revisit'").select(F.col("record_id").alias("target"), F.col("key").alias("refers_to"))
+    wanted = got.where("refers_to_id is not null").select(F.col("refers_to_id").alias("target")).distinct()
+    targets = small_side(materialize(targets.join(small_side(materialize(wanted, "wanted"), FIRSTS), "target", "left_semi"), "targets"), FIRSTS)
     return got.join(targets, F.col("refers_to_id") == F.col("target"), "left").select(F.col("key").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
 
 
