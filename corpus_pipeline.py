@@ -18,7 +18,7 @@ def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     source = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     lexicon = toxicity.fit(toxicity.labelled(source, labels, toxicity.held_out("doc_id")))
-    return toxicity.score(docs, lexicon).where("__predicted = 0").select(*docs.columns)
+    return toxicity.clean_rows(docs, lexicon)
 
 
 def exact_copies_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
