@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from wirelake.functions.bytesx import be_uint, cut
 from wirelake.functions.dissect import fixed
 from wirelake.functions.fields import field
-from wirelake.operators.order import running
+from wirelake.operators.order import PLACE, running
 
 TIMEOUT = 60.0
 UPDATE = 10.0
@@ -61,33 +61,33 @@ def pdu_key(packets: DataFrame) -> DataFrame:
 def track(keyed: DataFrame, timeout: float = TIMEOUT) -> DataFrame:
     """Add flow_id and c2s. Packets of one pair of endpoints belong to one flow until a gap of timeout seconds.
 
-    Ids count flows from 1 by their first packet; the client sent it. Packets without a key keep a null id.
+    Ids count flows from 1 by their first packet in (src_id, pkt_no) order; the client sent it. Packets
+    without a key keep a null id.
     """
     tracked = keyed.where("a is not null")
     key = ["family", "proto", "lo", "hi"]
-    w = Window.partitionBy(*key).orderBy("pkt_no")
+    w = Window.partitionBy(*key).orderBy(*PLACE)
     t = F.col("ts_sec") * 1_000_000_000 + F.coalesce("ts_nsec", F.lit(0))
     gap = int(timeout * 1_000_000_000)
     rows = tracked.withColumns({"lo": F.least("a", "b"), "hi": F.greatest("a", "b"), "__t": t})
     rows = rows.withColumn("__was", F.lag("__t").over(w)).withColumn("__new", F.when(F.col("__was").isNull() | (F.col("__t") - F.col("__was") >= gap), 1).otherwise(0))
-    rows = rows.withColumn("__sess", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    in_flow = Window.partitionBy(*key, "__sess").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("__first", F.min("pkt_no").over(in_flow)).withColumn("c2s", F.col("a") == F.first("a").over(in_flow))
-    firsts = rows.where("pkt_no = __first").select("__first").distinct()
-    ids = running(firsts, F.lit(1), "__id", order="__first").select(F.col("__first").alias("__f"), F.col("__id").cast("long").alias("__id"))
-    out = rows.join(ids, F.col("__first") == F.col("__f")).withColumn("flow_id", F.col("__id"))
-    out = out.drop("lo", "hi", "__t", "__was", "__new", "__sess", "__first", "__f", "__id")
+    rows = rows.withColumn("__first", F.last(F.when(F.col("__new") == 1, F.struct("src_id", "pkt_no", "a")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.withColumn("c2s", F.col("a") == F.col("__first.a"))
+    firsts = rows.where("__new = 1").select(F.col("src_id").alias("__src"), F.col("pkt_no").alias("__no"))
+    ids = running(firsts, F.lit(1), "__id", order=("__src", "__no")).select("__src", "__no", F.col("__id").cast("long").alias("__id"))
+    out = rows.join(ids, (F.col("__first.src_id") == F.col("__src")) & (F.col("__first.pkt_no") == F.col("__no"))).withColumn("flow_id", F.col("__id"))
+    out = out.drop("lo", "hi", "__t", "__was", "__new", "__first", "__src", "__no", "__id")
     none = keyed.where("a is null").withColumn("c2s", F.lit(None).cast("boolean"))
-    return out.unionByName(none)
+    return out.unionByName(none if "flow_id" in keyed.columns else none.withColumn("flow_id", F.lit(None).cast("long")))
 
 
 def stats(tracked: DataFrame, timeout: float = TIMEOUT) -> DataFrame:
     """A row per flow: endpoints, times, and packets and bytes each way."""
     t = F.col("ts_sec") + F.coalesce("ts_nsec", F.lit(0)) / 1e9
     size = F.length("data")
-    rows = tracked.where("flow_id is not null")
+    rows, first = tracked.where("flow_id is not null"), F.struct(*PLACE)
     return rows.groupBy("flow_id").agg(
-        F.min_by("family", "pkt_no").alias("family"), F.min_by("proto", "pkt_no").alias("proto"), F.min_by("a", "pkt_no").alias("client"), F.min_by("b", "pkt_no").alias("server"),
+        F.min_by("family", first).alias("family"), F.min_by("proto", first).alias("proto"), F.min_by("a", first).alias("client"), F.min_by("b", first).alias("server"),
         F.min(t).alias("start"), F.max(t).alias("last"), (F.max(t) + F.lit(timeout)).alias("end"),
         F.count(F.when(F.col("c2s"), 1)).alias("c2s_pkts"), F.coalesce(F.sum(F.when(F.col("c2s"), size)), F.lit(0)).alias("c2s_bytes"),
         F.count(F.when(~F.col("c2s"), 1)).alias("s2c_pkts"), F.coalesce(F.sum(F.when(~F.col("c2s"), size)), F.lit(0)).alias("s2c_bytes"),

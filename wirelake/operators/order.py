@@ -1,6 +1,6 @@
 """Operators that depend on arrival order (src_id, pkt_no): filter, count, head, tail, range, sort, time.
 
-Running totals over a whole stream are taken in two steps, by blocks of consecutive packets and then
+Running totals over all streams are taken by blocks of consecutive packets, by blocks of blocks, and
 within them, so that no task gets all rows.
 """
 
@@ -27,40 +27,88 @@ def count(packets: DataFrame, *by: Column, quiet: bool = False) -> DataFrame:
     return packets.groupBy(*by).agg(*aggs)
 
 
-def running(rows: DataFrame, value: Column, name: str, order: str = "pkt_no", block: int = BLOCK, inclusive: bool = True) -> DataFrame:
-    """Add the running sum of value in order of a numeric column, dealt out by blocks of it."""
-    marked = rows.withColumn("__v", value).withColumn("__b", F.floor(F.col(order) / block))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = marked.groupBy("__b").agg(F.sum("__v").alias("__s")).select("__b", F.coalesce(F.sum("__s").over(before), F.lit(0)).alias("__base"))
-    inside = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    out = marked.join(blocks, "__b").withColumn(name, F.col("__base") + F.coalesce(F.sum("__v").over(inside), F.lit(0)))
-    return out.drop("__v", "__b", "__base")
+PLACE = ("src_id", "pkt_no")
 
 
-def last_marker(rows: DataFrame, marker: Column, name: str, order: str = "pkt_no", block: int = BLOCK, inclusive: bool = True) -> DataFrame:
-    """Add the last non-null marker up to a row (before it, unless inclusive)."""
-    marked = rows.withColumn("__m", marker).withColumn("__b", F.floor(F.col(order) / block))
-    before = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = marked.groupBy("__b").agg(F.max(F.when(F.col("__m").isNotNull(), F.struct(order, "__m"))).alias("__l")).select("__b", F.last("__l.__m", ignorenulls=True).over(before).alias("__base"))
-    inside = Window.partitionBy("__b").orderBy(order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    return marked.join(blocks, "__b").withColumn(name, F.coalesce(F.last("__m", ignorenulls=True).over(inside), F.col("__base"))).drop("__m", "__b", "__base")
+def place(desc: bool = False) -> list[Column]:
+    return [F.desc(c) if desc else F.asc(c) for c in PLACE]
+
+
+def _blocks(rows: DataFrame, order: tuple[str, str], block: int) -> DataFrame:
+    """Add __b and __bb: a row's block of consecutive packets of its stream, and that block's block."""
+    rows = rows.withColumn("__b", F.floor(F.col(order[1]) / block))
+    return rows.withColumn("__bb", F.floor(F.col("__b") / block))
+
+
+def _before(rows: DataFrame, agg: Column, carried, order: tuple[str, str]) -> DataFrame:
+    """(stream, __b, __base): carried(value, window) over all blocks before each, in two levels so that no task gets all blocks."""
+    stream = order[0]
+    blocks = rows.groupBy(stream, "__bb", "__b").agg(agg.alias("__s"))
+    tops = blocks.groupBy(stream, "__bb").agg(carried("__s", None, "__b").alias("__t"))
+    outer = Window.orderBy(stream, "__bb").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(F.col(stream).alias("__ts"), F.col("__bb").alias("__tb"), carried("__t", outer).alias("__far"))
+    inner = Window.partitionBy(stream, "__bb").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    near = blocks.withColumn("__near", carried("__s", inner))
+    both = near.join(tops, (F.col(stream) == F.col("__ts")) & (F.col("__bb") == F.col("__tb")))
+    return both.select(F.col(stream).alias("__ks"), F.col("__b").alias("__kb"), "__near", "__far")
+
+
+def running(rows: DataFrame, value: Column, name: str, order: tuple[str, str] = PLACE, block: int = BLOCK, inclusive: bool = True) -> DataFrame:
+    """Add the running sum of value in order of a stream's number and a place in it, which may not be null."""
+    stream, at = order
+    marked = _blocks(rows.withColumn("__v", value), order, block)
+
+    def carried(c: str, w, by: str | None = None) -> Column:
+        return F.sum(c) if w is None else F.sum(c).over(w)
+
+    base = _before(marked, F.sum("__v"), carried, order)
+    inside = Window.partitionBy(stream, "__b").orderBy(at).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = marked.join(base, (F.col(stream) == F.col("__ks")) & (F.col("__b") == F.col("__kb")))
+    parts = [F.coalesce(c, F.lit(0)) for c in (F.col("__far"), F.col("__near"), F.sum("__v").over(inside))]
+    return out.withColumn(name, parts[0] + parts[1] + parts[2]).drop("__v", "__b", "__bb", "__ks", "__kb", "__near", "__far")
+
+
+def last_marker(rows: DataFrame, marker: Column, name: str, order: tuple[str, str] = PLACE, block: int = BLOCK, inclusive: bool = True) -> DataFrame:
+    """Add the last non-null marker up to a row (before it, unless inclusive), over all streams in order."""
+    stream, at = order
+    marked = _blocks(rows.withColumn("__m", marker), order, block)
+
+    def carried(c: str, w, by: str | None = None) -> Column:
+        return F.max(F.when(F.col(c).isNotNull(), F.struct(by, c)))[c] if w is None else F.last(c, ignorenulls=True).over(w)
+
+    base = _before(marked, F.max(F.when(F.col("__m").isNotNull(), F.struct(at, "__m")))["__m"], carried, order)
+    inside = Window.partitionBy(stream, "__b").orderBy(at).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    out = marked.join(base, (F.col(stream) == F.col("__ks")) & (F.col("__b") == F.col("__kb")))
+    return out.withColumn(name, F.coalesce(F.last("__m", ignorenulls=True).over(inside), "__near", "__far")).drop("__m", "__b", "__bb", "__ks", "__kb", "__near", "__far")
 
 
 def head(packets: DataFrame, n: int = 10) -> DataFrame:
-    return packets.orderBy("pkt_no").limit(n)
+    return packets.orderBy(*place()).limit(n)
 
 
 def tail(packets: DataFrame, n: int = 10) -> DataFrame:
-    return packets.orderBy(F.desc("pkt_no")).limit(n).orderBy("pkt_no")
+    return packets.orderBy(*place(desc=True)).limit(n).orderBy(*place())
 
 
 def reverse(packets: DataFrame) -> DataFrame:
-    return packets.orderBy(F.desc("pkt_no"))
+    return packets.orderBy(*place(desc=True))
 
 
 def first_matching(packets: DataFrame, predicate: Column, n: int) -> DataFrame:
     """The first n packets for which a predicate holds."""
-    return keep(packets, predicate).orderBy("pkt_no").limit(n)
+    return keep(packets, predicate).orderBy(*place()).limit(n)
+
+
+def places(ordered: DataFrame, name: str = "place") -> DataFrame:
+    """Number the rows of an ordered table from 1, as they would be written: by partition, and inside each.
+
+    The table's partitions are counted first and their sums carried to the second pass.
+    """
+    marked = ordered.withColumn("__id", F.monotonically_increasing_id())
+    marked = marked.withColumns({"__part": F.shiftright("__id", 33), "__in": F.col("__id").bitwiseAND((1 << 33) - 1)})
+    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
+    return marked.join(F.broadcast(sizes), F.col("__part") == F.col("__p")).withColumn(name, F.col("__base") + F.col("__in") + 1).drop("__id", "__part", "__in", "__p", "__base")
 
 
 def in_range(packets: DataFrame, start: Column | int | str, end: Column | int | str | None = None, multiple: bool = False) -> DataFrame:
@@ -80,8 +128,8 @@ def in_range(packets: DataFrame, start: Column | int | str, end: Column | int |
     rows = last_marker(marked, F.when(F.col("__e"), F.lit(0)).when(F.col("__s"), F.lit(1)), "__open", inclusive=False)
     rows = rows.withColumn("__in", F.col("__s") | (F.coalesce("__open", F.lit(0)) == 1))
     if not multiple:
-        done = rows.where("__in and __e").agg(F.min("pkt_no").alias("__stop"))
-        rows = rows.join(F.broadcast(done), F.lit(True)).where(F.col("__stop").isNull() | (F.col("pkt_no") <= F.col("__stop"))).drop("__stop")
+        stop = rows.where("__in and __e").agg(F.min(F.struct(*PLACE)).alias("__stop")).scalar()
+        rows = rows.where(F.coalesce(F.struct(*PLACE) <= stop, F.lit(True)))
     return rows.where("__in").select(*packets.columns)
 
 
@@ -131,8 +179,7 @@ def ts(packets: DataFrame) -> Column:
 def scale_time(packets: DataFrame, factor: float) -> DataFrame:
     """Distances from the first timestamp times factor, in milliseconds; packets without one go."""
     timed = packets.where("ts_sec is not null").withColumn("__t", ts(packets))
-    first = timed.agg(F.min_by("__t", "pkt_no").alias("__t0"))
-    rows = timed.join(F.broadcast(first), F.lit(True))
+    rows = timed.withColumn("__t0", timed.agg(F.min_by("__t", F.struct(*PLACE))).scalar())
     ms = F.floor((F.col("__t") - F.col("__t0")) / 1_000_000).cast("double") * F.lit(float(factor))
     new = F.col("__t0") + F.floor(ms).cast("long") * 1_000_000
     return rows.withColumn("__n", new).withColumn("ts_sec", F.floor(F.col("__n") / 1_000_000_000)).withColumn("ts_nsec", F.pmod("__n", F.lit(1_000_000_000)).cast("int")).select(*packets.columns)
@@ -145,5 +192,5 @@ def release_times(packets: DataFrame, interval: float | None = None, pps: float
         return running(packets, F.lit(1), "__n", inclusive=False).withColumn("release_at", F.lit(delay) + F.col("__n") * F.lit(float(step))).drop("__n")
     if bps is not None:
         return running(packets, F.length("data").cast("long") * 8, "__bits", inclusive=False).withColumn("release_at", F.lit(delay) + F.col("__bits") / F.lit(float(bps))).drop("__bits")
-    first = packets.where("ts_sec is not null").agg(F.min_by(ts(packets), F.col("pkt_no")).alias("__t0"))
-    return packets.join(F.broadcast(first), F.lit(True)).withColumn("release_at", F.lit(delay) + F.coalesce((ts(packets) - F.col("__t0")) / 1e9, F.lit(0.0))).drop("__t0")
+    first = packets.where("ts_sec is not null").agg(F.min_by(ts(packets), F.struct(*PLACE))).scalar()
+    return packets.withColumn("release_at", F.lit(delay) + F.coalesce((ts(packets) - first) / 1e9, F.lit(0.0)))
