@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wirelake import synth_fields
 from wirelake.functions import bytesx as B
 from wirelake.functions.dissect import header_uint, with_headers, with_pdus
 from wirelake.functions.fields import field, implicit, number, present
@@ -497,3 +498,17 @@ def pcap_round_trip(spark, sf):
 @query("SELECT pkt_no, len FROM p")
 def hex_round_trip(spark, sf):
     return round_trip(spark, sf, "hex").select("pkt_no", F.length("data").cast("long").alias("len"))
+
+
+def fields_of(name: str) -> None:
+    """A query of all fields of one layout of ``synth_fields``."""
+
+    def run(spark, sf):
+        return synth_fields.dissected(with_pdus(synth_fields.packets(spark, sf, name)), name)
+
+    run.__name__ = f"fields_{name}"
+    query(synth_fields.sql(name))(run)
+
+
+for _name in synth_fields.LAYOUTS:
+    fields_of(_name)
