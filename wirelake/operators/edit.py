@@ -169,35 +169,40 @@ class Packet:
             self._relink(u, prid)
         else:
             self.dltype = prid
-        fresh = Unit(prid, at, at + len(header), end + len(header), end + len(header), xoffs={"etype": at + 12} if prid == ETH else {"nxthdr": at + 6} if prid == IP6 else {})
+        n, places = len(header), {ETH: ("etype", 12), IP6: ("nxthdr", 6), ARP: ("etharp", 0)}
+        fresh = Unit(prid, at, at + n, end + n, end + n, xoffs={places[prid][0]: at + places[prid][1]} if prid in places else {})
         if follower is not None:
             self._relink(fresh, follower)
-        for o in self.units[1 : after + 1]:
-            o.toff, o.eoff = o.toff + len(header), o.eoff + len(header)
+        for k, o in enumerate(self.units):
+            o.toff, o.eoff = o.toff + n, o.eoff + n
+            if k > after:
+                o.soff, o.poff, o.xoffs = o.soff + n, o.poff + n, {x: v + n for x, v in o.xoffs.items()}
+        self.units.insert(after + 1, fresh)
+        for o in self.units[1 : after + 2]:
             if o.prid in (IP, IP6, UDP):
                 self.fix_lens(o)
-        if prid in (IP, IP6, UDP):
-            self.fix_lens(fresh)
-        self.parse()
 
     def delete(self, index: int) -> None:
-        """Take a unit's header (and trailer) out."""
+        """Take a unit's header (and trailer) out; the others stay as they were read."""
         if not 0 < index < len(self.units):
             raise IndexError(f"no unit {index}")
-        u = self.units[index]
-        follower = self.units[index + 1].prid if index + 1 < len(self.units) else None
+        u = self.units.pop(index)
+        follower = self.units[index].prid if index < len(self.units) else None
         del self.data[u.toff : u.eoff]
         del self.data[u.soff : u.poff]
         if index > 1 and follower is not None:
             self._relink(self.units[index - 1], follower)
         elif index == 1:
             self.dltype = follower if follower is not None else PRID["raw"]
-        cut = u.poff - u.soff + u.eoff - u.toff
+        n = u.poff - u.soff
+        for k, o in enumerate(self.units):
+            if k < index:
+                o.toff, o.eoff = o.toff - n - (u.eoff - u.toff), o.eoff - n - (u.eoff - u.toff)
+            else:
+                o.soff, o.poff, o.toff, o.eoff, o.xoffs = o.soff - n, o.poff - n, o.toff - n, o.eoff - n, {x: v - n for x, v in o.xoffs.items()}
         for o in self.units[1:index]:
-            o.toff, o.eoff = o.toff - cut, o.eoff - cut
             if o.prid in (IP, IP6, UDP):
                 self.fix_lens(o)
-        self.parse()
 
     def pop(self, n: int = 1) -> None:
         for _ in range(n):

@@ -468,6 +468,135 @@ def pml_begin_end_print(spark, sf):
     return out.select(F.regexp_extract("printed", "i=([0-9]+)", 1).cast("int").alias("iface"), F.regexp_extract("printed", "^(n=[0-9]+)", 1).alias("printed"))
 
 
+def printed_by(name: str, text: str, sql: str) -> None:
+    """A query of what a program prints, a stream for each interface."""
+
+    def run(spark, sf):
+        return pml.run(packets(spark, sf), text, key="in_iface").where("printed is not null").select("printed")
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+ID = "(event_id % 65536)"
+printed_by(
+    "pml_strings",
+    "?- tcp -? { str r; &r = tcp.payload; print meta_get_ts_sec(0), \" \", str_len(r), \" \", str_addr(r), \" \", str_ispkt(r), str_seg(r), str_isnull(r), \" \", str_len(str_mkref(1, 0, 0, 14)), \" \", r[2, 1]; }",
+    "SELECT (us // 1000000) || ' ' || strlen(props) || ' 54 100 14 k' AS printed FROM p WHERE proto = 6",
+)
+printed_by(
+    "pml_references",
+    'void put(str s, int v) { s[0, 1] = v; } str buf[4] = "abcd"; { str r; &r = ip.ttl; r[0, 1] = ip.id % 200; put(ip.proto, 253); &r = buf[1, 2]; r = "XY"; print ip.ttl + 0, " ", ip.proto + 0, " ", buf, " ", ip.id + 0; buf = "abcd"; }',
+    f"SELECT ({ID} % 200) || ' 253 aXYd ' || {ID} AS printed FROM p",
+)
+printed_by(
+    "pml_packet_edits",
+    "?- udp -? { pkt_copy(1, 0); pdu_delete($(1)udp); print ip.id + 0, \" \", str_len($(1)pkt), \" \", $(1)udp.index, $(1)ip.index, \" \", $(1)ip.len + 0;"
+    " pdu_insert($(1)ip, @udp); $(1)udp.dport = 99; fix_len($(1)udp); fix_lens(1); fix_csum($(1)ip); fix_csums(1); pkt_parse(1); print str_len($(1)pkt), \" \", $(1)udp.index, \" \", $(1)udp.dport + 0, \" \", $(1)ip.error, \" \", $(1)udp.len + 0;"
+    " pkt_ins_u(1, 42, 4); pkt_ins_d(1, 42, 2); pkt_cut_d(str_mkref(1, 1, 0, 2)); pkt_cut_u(str_mkref(1, 1, 0, 1)); print str_len($(1)pkt); pkt_new(2, 5); pkt_new_z(3, 9); pkt_swap(2, 3); print str_len($(2)pkt), str_len($(3)pkt); pdu_delete(eth); fix_dltype(0); pdu_update(ip); print eth.index, ip.index; drop 1; drop 2; drop 3; }",
+    f"SELECT unnest([{ID} || ' ' || (len - 8) || ' 02 ' || (len - 22), len || ' 3 99 0 ' || (8 + strlen(props)), (len + 3)::VARCHAR, '05', '01']) AS printed FROM p WHERE proto = 17",
+)
+printed_by(
+    "pml_offsets",
+    "?- tcp -? { pkt_adj_off(0, @tcp, 0, 1, 4); print ip.id + 0, \" \", pkt_get_off(0, @ip, 0, 0), \" \", pkt_get_off(0, @tcp, 0, 1), \" \", pkt_get_off(0, @eth, 0, 4), \" \", tcp.hlen; }",
+    f"SELECT {ID} || ' 14 58 12 24' AS printed FROM p WHERE proto = 6",
+)
+printed_by(
+    "pml_tags",
+    "{ meta_set_ts(0, 5, 6); meta_set_presnap(0, 70); meta_set_outport(0, 3); meta_set_flowid(0, 77); meta_set_seq(0, ip.id); print ip.id + 0, \" \", meta_get_ts_sec(0), meta_get_ts_nsec(0), \" \", meta_get_presnap(0), \" \", meta_get_inport(0), meta_get_outport(0), \" \", meta_get_flowid(0), \" \", meta_get_seq(0);"
+    " meta_set_class(0, 41); meta_wr8(0, 6, 11, 42); meta_rem(0, 5); meta_add(0, 5); meta_wr32(0, 5, 8, ip.id); meta_wr16(0, 5, 4, 1); meta_set_inport(0, 9); meta_add_info(0, 2); meta_wr32(0, 128, 4, 7);"
+    " print meta_get_class(0), \" \", meta_has(0, 2), meta_has(0, 8), meta_has(0, 128), \" \", meta_rd32(0, 5, 8), \" \", meta_rd16(0, 5, 4), meta_rd8(0, 128, 7), \" \", meta_get_inport(0); }",
+    f"SELECT unnest([{ID} || ' 56 70 ' || user_id % 4 || '3 77 ' || {ID}, '42 101 ' || {ID} || ' 17 9']) AS printed FROM p",
+)
+printed_by(
+    "pml_loops",
+    "const TEN = 10; int digits(int n) { int s; while (1) { if (n == 0) break; s = s + n % TEN; n = n / TEN; } return s; } int gcd(int a, int b) { if (b == 0) return a; else return gcd(b, a % b); } inline odd(int n) { n % 2 == 1 }"
+    " int odds; { int k; int c; while (k < 9) { k = k + 1; if (odd(k)) continue; c = c + 1; } print digits(ip.id), \" \", gcd(ip.id, 36), \" \", c; }",
+    f"SELECT list_sum(list_transform(string_split({ID}::VARCHAR, ''), lambda x: x::INTEGER))::BIGINT || ' ' || gcd({ID}, 36) || ' 4' AS printed FROM p",
+)
+printed_by(
+    "pml_arithmetic",
+    "{ print pop(ip.id), \" \", log2(ip.id), \" \", min(ip.id, 300), \" \", max(-5, ip.id - 300), \" \", ~ip.id & 0xff, \" \", -ip.id, \" \", not ip.id, \" \", ip.id > 100 and ip.id < 200, \" \", ip.id | 3, \" \", ip.id ^ 5, \" \", (ip.id << 20) >> 24; }",
+    f"SELECT bit_count({ID}) || ' ' || CASE WHEN {ID} = 0 THEN -1 ELSE strlen(bin({ID})) - 1 END || ' ' || least({ID}, 300) || ' ' || greatest(-5, {ID} - 300) || ' ' || (255 - {ID} % 256) || ' ' || -{ID} || ' ' || ({ID} = 0)::INTEGER || ' ' || ({ID} BETWEEN 101 AND 199)::INTEGER || ' ' || ({ID} | 3) || ' ' || xor({ID}, 5) || ' ' || ({ID} % 4096) // 16 AS printed FROM p",
+)
+printed_by(
+    "pml_formats",
+    "{ print %x% ip.id, \" \", %o% ip.id, \" \", %b% ip.id, \" \", %u% -1, \" \", %+6d% ip.id, \"|\", %-6d% ip.id, \"|\", %ip% ip.saddr, \" \", %eth% eth.src, \" \", %hex% ip.id, %s% \" z\"; }",
+    f"SELECT printf('%x', {ID}) || ' ' || printf('%o', {ID}) || ' ' || bin({ID}) || ' 4294967295 ' || lpad({ID}::VARCHAR, 6, ' ') || '|' || rpad({ID}::VARCHAR, 6, ' ') || '|' || CASE WHEN back = 0 THEN '10.0.' || (user_id // 256) || '.' || (user_id % 256) ELSE '192.168.0.' || code END || ' ' || CASE WHEN back = 0 THEN '02:00:00:00:' || printf('%02x', user_id // 256) || ':' || printf('%02x', user_id % 256) ELSE '02:01:00:00:00:' || printf('%02x', code) END || ' ' || printf('%04x', {ID}) || ' z' AS printed FROM p",
+)
+printed_by(
+    "std_tests",
+    'import "std.pml"; { print ip.id + 0, " ", host(10.0.0.5), host(192.168.0.0), host(02:01:00:00:00:03), host_pn(0, ::1), " ", etype_is_vlan(ETYPE_S_VLAN), vlan_present(), pkt_headroom(), pkt_tailroom_pn(0), pkt_headroom_pn(0), pkt_tailroom(), flowid(), " ", VXLAN_PORT, MAC_TYPE_ANY, MAC_TYPE_UNICAST; }',
+    f"SELECT {ID} || ' ' || (user_id = 5)::INTEGER || (code = 0)::INTEGER || (code = 3)::INTEGER || '0 100000-1 478901' AS printed FROM p",
+)
+printed_by(
+    "std_vlan",
+    "{ vlan_push(ip.id % 4096); print ip.id + 0, \" \", eth.vlan0.vid, \" \", vlan_present(), vlan_present_pn(0), \" \", str_len(pkt); vlan_push_pn(0, 7); print eth.vlan0.vid, \" \", eth.vlan1.vid; vlan_pop(); vlan_pop_pn(0); print vlan_present(), \" \", str_len(pkt); }",
+    f"SELECT unnest([{ID} || ' ' || {ID} % 4096 || ' 11 ' || (len + 4), '7 ' || {ID} % 4096, '0 ' || len]) AS printed FROM p",
+)
+printed_by(
+    "std_mpls",
+    "{ pdu_pop(); mpls_push(ip.id, 5, 9); mpls_push_pn(0, 2000, 1, 8); print ip.id + 0, \" \", mpls_nlabels(), mpls_nlabels_pn(0), \" \", mpls_get_label(0), \" \", mpls_get_label_pn(0, 1), \" \", mpls_get_tc(0), mpls_get_tc_pn(0, 1), mpls_get_bos(0), mpls_get_bos_pn(0, 1), mpls_get_ttl(0), mpls_get_ttl_pn(0, 1);"
+    " mpls_set_label(0, 77); mpls_set_tc(0, 2); mpls_set_ttl(0, 3); mpls_set_label_pn(0, 1, 78); mpls_set_tc_pn(0, 1, 3); mpls_set_ttl_pn(0, 1, 4); mpls_set_bos(0, 1); mpls_set_bos_pn(0, 0, 0); print mpls_get_label(0), mpls_get_tc(0), mpls_get_ttl(0), mpls_get_label(1), mpls_get_tc(1), mpls_get_ttl(1), mpls_get_bos(0); print mpls_pop() >> 12, \" \", mpls_pop_pn(0) >> 12, \" \", mpls_pop(), \" \", ip.index; }",
+    f"SELECT unnest([{ID} || ' 22 2000 ' || {ID} || ' 150189', '77237834' || '0', '77 78 0 1']) AS printed FROM p",
+)
+printed_by(
+    "std_tunnels",
+    "{ gre_encap(); print gre.index, $(0, 1)eth.index; gre_decap(); nvgre_encap(); print nvgre.index; nvgre_decap(); vxlan_encap(); udp.dport = VXLAN_PORT; print vxlan.index, \" \", str_len(pkt); vxlan_decap(); print ip.id + 0, \" \", eth.index, ip.index, \" \", str_len(pkt);"
+    " pdu_pop_pn(0); eth_wrap(); print eth.index, \" \", str_len(pkt); ip_wrap(); ip6_wrap(); icmp_wrap(); icmp6_wrap(); tcp_wrap(); udp_wrap(); gre_wrap(); nvgre_wrap(); vxlan_wrap(); print vxlan.index, nvgre.index, gre.index, udp.index, tcp.index, icmp6.index, icmp.index, ip6.index, ip.index, \" \", str_len(pkt); }",
+    f"SELECT unnest(['34', '3', '4 ' || (len + 50), {ID} || ' 12 ' || len, '1 ' || len, '123456789 ' || (len + 124)]) AS printed FROM p",
+)
+printed_by(
+    "std_packets",
+    "{ mk_udp_pn(1); mk_tcp_pn(2); mk_arp_pn(3); fix_pn(1); print ip.id + 0, \" \", $(1)udp.index, $(2)tcp.index, $(3)arp.index, \" \", $(1)ip.error, $(2)tcp.error, \" \", str_len($(1)pkt), \" \", str_len($(2)pkt), \" \", str_len($(3)pkt); drop 1; drop 2; drop 3; fix(); print ip.error;"
+    " print pkt_splice(ip.daddr, \"abcdef\"), pkt_splice(\"no\", \"x\"), \" \", str_len(pkt); mk_tcp(); print tcp.index; mk_udp(); print udp.index; mk_arp(); print arp.index; drop 0; }",
+    f"SELECT unnest([{ID} || ' 332 00 1834 1846 42', '0', '0-1 ' || (len + 2), '3', '3', '2']) AS printed FROM p",
+)
+printed_by(
+    "std_random",
+    '{ rand_init("Key"); print ip.id + 0, " ", %x% rand_byte(), " ", %x% rand_short(), " ", %x% rand_int(), " ", rand_i; rand_mac(eth.src, MAC_TYPE_MULTICAST); print %eth% eth.src; rand_init("Wiki"); rand_mac(eth.dst, MAC_TYPE_LOC_UNICAST); print %eth% eth.dst; }',
+    f"SELECT unnest([{ID} || ' eb 9f77 81b734ca 7', '73:a7:19:4a:28:67', '62:44:db:6d:41:b7']) AS printed FROM p",
+)
+
+
+@query("SELECT pkt_no FROM p WHERE user_id = 7 OR (code = 2 AND user_id % 2 = 1)")
+def std_host_filter(spark, sf):
+    test = pml.predicate("host(10.0.0.7) or (host(192.168.0.2) and (eth.src[5, 1] & 1 == 1 and ip.saddr[0, 1] == 10 or eth.dst[5, 1] & 1 == 1 and ip.daddr[0, 1] == 10))")
+    return order.keep(whole(spark, sf), test).select("pkt_no")
+
+
+@query("SELECT pkt_no, CASE WHEN event_id % 4 = 0 THEN 'any' WHEN event_id % 4 = 1 THEN 'broadcast' WHEN event_id % 4 = 2 THEN 'localhost' ELSE 'localnet' END AS kind FROM p")
+def address_constants(spark, sf):
+    made = F.when(F.col("pkt_no") % 4 == 1, F.lit(bytes(4))).when(F.col("pkt_no") % 4 == 2, F.lit(bytes([255] * 4))).when(F.col("pkt_no") % 4 == 3, F.lit(bytes([127, 0, 0, 1]))).otherwise(F.lit(bytes([127, 9, 8, 7])))
+    rows = with_pdus(packets(spark, sf).withColumn("data", B.splice(F.col("data"), 30, made, 4)))
+    kind = F.lit(None)
+    for name in ("localnet", "localhost", "any", "broadcast"):
+        op = "=~" if name == "localnet" else "=="
+        kind = F.when(pml.predicate(f"ip.daddr {op} ip.addr.{name}"), name).otherwise(kind)
+    return rows.select("pkt_no", kind.alias("kind"))
+
+
+@query(", n AS (SELECT *, row_number() OVER (PARTITION BY user_id % 4 ORDER BY pkt_no) AS rn, count(*) OVER (PARTITION BY user_id % 4) AS total FROM p) SELECT pkt_no, CASE WHEN rn % 2 = 0 THEN rn - 1 WHEN rn = total THEN rn ELSE rn + 1 END AS place FROM n")
+def pml_lists(spark, sf):
+    from pyspark.sql import Window
+
+    text = "int n; { n = n + 1; if (n % 2 == 1) { pkt_push(3, 0); pkt_pop(3, 5); pkt_enq(pkt_nlists() - 1, 5); } else { pkt_deq(255, 1); send 0; send 1; } } END { if (not pkt_lempty(255)) { pkt_deq(255, 0); send 0; } }"
+    out = pml.run(packets(spark, sf), text, key="in_iface").where("printed is null")
+    return out.select("pkt_no", F.row_number().over(Window.partitionBy("in_iface").orderBy("sub_no")).cast("long").alias("place"))
+
+
+@query(", n AS (SELECT *, row_number() OVER (PARTITION BY user_id % 4 ORDER BY pkt_no) AS rn FROM p) SELECT pkt_no FROM n WHERE rn <= 5")
+def pml_exit(spark, sf):
+    return pml.run(packets(spark, sf), "int n; { n = n + 1; if (n > 5) { drop 0; exit(0); } }", key="in_iface").where("printed is null").select("pkt_no")
+
+
+@query(", n AS (SELECT user_id % 4 AS iface, us // 1000000 AS s, ROW_NUMBER() OVER (PARTITION BY user_id % 4 ORDER BY pkt_no) AS rn, count(*) OVER (PARTITION BY user_id % 4) AS total, min(us) OVER (PARTITION BY user_id % 4) AS first, us FROM p) SELECT iface::INTEGER AS iface, ((us - first) // 86400000000)::VARCHAR AS printed FROM n WHERE rn = total")
+def pml_ticks(spark, sf):
+    text = "int t; int i; TICK { t = t + 1; } { i = meta_get_inport(0); drop; } END { print t, \" \", i; }"
+    out = pml.run(packets(spark, sf), text, key="in_iface", tick=86400.0).where("printed is not null")
+    return out.select(F.regexp_extract("printed", " ([0-9]+)", 1).cast("int").alias("iface"), F.regexp_extract("printed", "^([0-9]+)", 1).alias("printed"))
+
+
 def round_trip(spark, sf, kind: str) -> DataFrame:
     """Each packet as a record of a format, read again."""
     from wirelake.operators.edit import frame_of
