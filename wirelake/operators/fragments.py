@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import struct
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,7 +11,7 @@ from pyspark.sql import types as T
 from wirelake.functions.bytesx import be_uint, bits, cut
 from wirelake.functions.dissect import ones_complement
 from wirelake.functions.fields import field, number, unit
-from wirelake.operators.edit import Packet, frame_of
+from wirelake.operators.edit import Packet, rows_of, table_of
 from wirelake.operators.order import running
 from wirelake.schema import IP, IP6, PACKET
 
@@ -105,21 +104,21 @@ def fragment(packets: DataFrame, mtu: int = 1500, first_id: int = 1, v4: bool =
     schema = T.StructType([*packets.schema.fields, T.StructField("sub_no", T.IntegerType())])
 
     def fit(batches):
-        for pdf in batches:
+        for batch in batches:
             out = []
-            for row in pdf.to_dict("records"):
-                got = pieces(row["data"], int(row["dltype"]), int(row["__id"]))
+            for row in rows_of(batch):
+                got = pieces(row["data"], row["dltype"], row["__id"])
                 if got is None:
                     out.append(row | {"sub_no": 0})
                 else:
                     bare = {k: row[k] if k in ("pkt_no", "src_id", "dltype") or k not in PACKET.names else None for k in row}
                     out += [bare | {"data": d, "sub_no": k} for k, d in enumerate(got)]
-            yield frame_of(out, schema)
+            yield from table_of(out, schema).to_batches()
 
-    return rows.mapInPandas(fit, schema)
+    return rows.mapInArrow(fit, schema)
 
 
-def reassemble(packets: DataFrame, v4: bool = True, v6: bool = True, order: tuple[str, ...] = ("pkt_no",)) -> DataFrame:
+def reassemble(packets: DataFrame, v4: bool = True, v6: bool = True, order: tuple[str, ...] = ("src_id", "pkt_no")) -> DataFrame:
     """Whole packets in place of their fragments, at the place of the fragment that completes them.
 
     Datagrams that stay incomplete are left out, other packets pass. Needs ``pdus``. Fragments meet by
@@ -142,49 +141,67 @@ def reassemble(packets: DataFrame, v4: bool = True, v6: bool = True, order: tupl
     })
     names = [c for c in packets.columns if c != "pdus"]
     plain = marked.where("__key is null").select(*names)
-    cols = [*names, "__key", "__net", "__poff", "__toff", "__off", "__more", "__fragh", "__next"]
+    inner = ["__key", "__net", "__poff", "__toff", "__off", "__more", "__fragh", "__next"]
     out_schema = packets.select(*names).schema
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, end, start = [], [], None, None
-        for row in pdf.sort_values(list(order)).to_dict("records"):
-            body = row["data"][int(row["__poff"]) : int(row["__toff"])]
-            held.append((int(row["__off"]), body))
-            if not row["__off"]:
-                start = start or row
-            if not row["__more"]:
-                end = int(row["__off"]) + len(body)
-            if end is None or start is None:
-                continue
-            whole, have = bytearray(end), bytearray(end)
-            for at, part in held:
-                for k in range(at, min(at + len(part), end)):
-                    if not have[k]:
-                        whole[k], have[k] = part[k - at], 1
-            if not all(have):
+
+    def fit(batches):
+        key, held, end, start = None, [], None, None
+        for batch in batches:
+            out = []
+            for row in rows_of(batch):
+                if row["__key"] != key:
+                    key, held, end, start = row["__key"], [], None, None
+                body = row["data"][row["__poff"] : row["__toff"]]
+                held.append((row["__off"], body))
+                if not row["__off"]:
+                    start = start or row
+                if not row["__more"]:
+                    end = row["__off"] + len(body)
+                if end is None or start is None:
+                    continue
+                whole = filled(held, end)
+                if whole is None:
+                    continue
+                bare = {k: None if k in PACKET.names and k not in ("pkt_no", "src_id", "dltype") else row[k] for k in names}
+                out.append(bare | {"data": rejoined(start, whole), "dltype": start["dltype"]})
+                held, end, start = [], None, None
+            yield from table_of(out, out_schema).to_batches()
+
+    rows = marked.where("__key is not null").select(*names, *inner).repartition("__key").sortWithinPartitions("__key", *order)
+    return plain.unionByName(rows.mapInArrow(fit, out_schema))
+
+
+def filled(held: list[tuple[int, bytes]], end: int) -> bytearray | None:
+    """The bytes up to end, where the first to arrive win; None while some are missing."""
+    whole, gaps = bytearray(end), [(0, end)]
+    for at, part in held:
+        left = []
+        for a, b in gaps:
+            lo, hi = max(a, at), min(b, at + len(part))
+            if lo >= hi:
+                left.append((a, b))
                 continue
-            net, cut_at = int(start["__net"]), int(start["__poff"])
-            if start["__fragh"] == start["__fragh"] and start["__fragh"] is not None:
-                frag = int(start["__fragh"])
-                head = bytearray(start["data"][net:frag])
-                place = 6
-                kind, at = head[6], 40
-                while kind != 44 and at < len(head):
-                    place, kind, at = at, head[at], at + 8 + head[at + 1] * 8
-                head[place] = int(start["__next"])
-                head[4:6] = struct.pack(">H", min(len(head) - 40 + end, 65535))
-                data = start["data"][:net] + bytes(head) + bytes(whole)
-            else:
-                head = bytearray(start["data"][net:cut_at])
-                head[2:4] = struct.pack(">H", min(len(head) + end, 65535))
-                head[6:8] = b"\0\0"
-                data = _with_checksum(start["data"][:net], head) + bytes(whole)
-            bare = {k: None if k in PACKET.names and k not in ("pkt_no", "src_id", "dltype") else row[k] for k in names}
-            out.append(bare | {"data": data, "dltype": start["dltype"]})
-            held, end, start = [], None, None
-        return frame_of(out, out_schema)
-
-    whole = marked.where("__key is not null").select(*cols).groupBy("__key").applyInPandas(fit, out_schema)
-    return plain.unionByName(whole)
+            whole[lo:hi] = part[lo - at : hi - at]
+            left += [(x, y) for x, y in ((a, lo), (hi, b)) if x < y]
+        gaps = left
+    return None if gaps else whole
+
+
+def rejoined(start: dict, body: bytearray) -> bytes:
+    """A whole packet from the headers of its first fragment and all of its bytes."""
+    net, size = start["__net"], len(body)
+    if start["__fragh"] is None:
+        head = bytearray(start["data"][net : start["__poff"]])
+        head[2:4] = struct.pack(">H", min(len(head) + size, 65535))
+        head[6:8] = b"\0\0"
+        return _with_checksum(start["data"][:net], head) + bytes(body)
+    head = bytearray(start["data"][net : start["__fragh"]])
+    place, kind, at = 6, head[6], 40
+    while kind != 44 and at < len(head):
+        place, kind, at = at, head[at], at + 8 + head[at + 1] * 8
+    head[place] = start["__next"]
+    head[4:6] = struct.pack(">H", min(len(head) - 40 + size, 65535))
+    return start["data"][:net] + bytes(head) + bytes(body)
 
 
 def carve(packets: DataFrame, gap: int = 0xDB) -> DataFrame:
@@ -197,42 +214,62 @@ def carve(packets: DataFrame, gap: int = 0xDB) -> DataFrame:
     tcp, ip = unit("tcp"), F.coalesce(field("ip.saddr"), field("ip6.saddr"))
     src, dst = F.concat(ip, field("tcp.sport")), F.concat(F.coalesce(field("ip.daddr"), field("ip6.daddr")), field("tcp.dport"))
     rows = packets.where(tcp.isNotNull() & ip.isNotNull()).select(
-        "pkt_no", src.alias("src"), F.concat(F.least(src, dst), F.greatest(src, dst)).alias("conn"), number("tcp.seqn").alias("seqn"),
+        "src_id", "pkt_no", src.alias("src"), F.concat(F.least(src, dst), F.greatest(src, dst)).alias("conn"), number("tcp.seqn").alias("seqn"),
         number("tcp.ack").alias("ack"), number("tcp.syn").alias("syn"), field("tcp.payload").alias("body"),
     )
+    schema = T.StructType([T.StructField("conn", T.BinaryType()), T.StructField("file_no", T.IntegerType()), T.StructField("direction", T.StringType()), T.StructField("bytes", T.BinaryType())])
 
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pkt_no")
-        client, out, run, way = pdf["src"].iloc[0], [], [], None
-        base: dict[bytes, int] = {}
-
-        def flush():
-            if not run:
-                return
-            first = base.setdefault(way, run[0][0])
-            segments = sorted((((s - first + (1 << 31)) & 0xFFFFFFFF) - (1 << 31), k, b) for k, (s, b) in enumerate(run))
-            data, at = bytearray(), 0
-            for off, _, body in segments:
-                if off > at:
-                    data += bytes([gap]) * (off - at)
-                    at = off
-                part = body[at - off :] if off < at else body
-                data += part
-                at += len(part)
-            base[way] = first + at & 0xFFFFFFFF
-            out.append((bytes(pdf["conn"].iloc[0]), len(out), "C2S" if way == client else "S2C", bytes(data)))
-
-        for r in pdf.itertuples(index=False):
-            if r.syn:
-                base[r.src] = r.seqn + 1 & 0xFFFFFFFF
-            if not r.ack or not r.body:
-                continue
-            if way is not None and r.src != way:
-                flush()
-                run = []
-            way = r.src
-            run.append((int(r.seqn), r.body))
-        flush()
-        return pd.DataFrame(out, columns=["conn", "file_no", "direction", "bytes"])
-
-    return rows.groupBy("conn").applyInPandas(fit, "conn binary, file_no int, direction string, bytes binary")
+    def fit(batches):
+        stream = None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if stream is None or stream.conn != r["conn"]:
+                    out += stream.flush() if stream is not None else []
+                    stream = _Stream(r["conn"], r["src"], gap)
+                out += stream.take(r)
+            yield from table_of(out, schema).to_batches()
+        if stream is not None:
+            yield from table_of(stream.flush(), schema).to_batches()
+
+    return rows.repartition("conn").sortWithinPartitions("conn", "src_id", "pkt_no").drop("src_id", "pkt_no").mapInArrow(fit, schema)
+
+
+class _Stream:
+    """One connection's state while its packets go by."""
+
+    def __init__(self, conn: bytes, client: bytes, gap: int):
+        self.conn, self.client, self.gap = conn, client, gap
+        self.base: dict[bytes, int] = {}
+        self.run: list[tuple[int, bytes]] = []
+        self.way: bytes | None = None
+        self.files = 0
+
+    def take(self, r: dict) -> list[dict]:
+        out = []
+        if r["syn"]:
+            self.base[r["src"]] = r["seqn"] + 1 & 0xFFFFFFFF
+        if r["ack"] and r["body"]:
+            if self.way is not None and r["src"] != self.way:
+                out = self.flush()
+            self.way = r["src"]
+            self.run.append((r["seqn"], r["body"]))
+        return out
+
+    def flush(self) -> list[dict]:
+        """The file that ends here: segments in sequence order, repeats dropped, overlaps trimmed, gaps filled."""
+        if not self.run:
+            return []
+        first = self.base.setdefault(self.way, self.run[0][0])
+        segments = sorted((((s - first + (1 << 31)) & 0xFFFFFFFF) - (1 << 31), k, b) for k, (s, b) in enumerate(self.run))
+        data, at = bytearray(), 0
+        for off, _, body in segments:
+            if off > at:
+                data += bytes([self.gap]) * (off - at)
+                at = off
+            part = body[at - off :] if off < at else body
+            data += part
+            at += len(part)
+        self.base[self.way], self.run = first + at & 0xFFFFFFFF, []
+        self.files += 1
+        return [{"conn": self.conn, "file_no": self.files - 1, "direction": "C2S" if self.way == self.client else "S2C", "bytes": bytes(data)}]

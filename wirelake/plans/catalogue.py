@@ -386,27 +386,34 @@ def fragment_counts(spark, sf):
     return out.groupBy("pkt_no").agg(F.count(F.lit(1)).alias("fragments"))
 
 
-@query("SELECT pkt_no, len FROM p")
+@query("SELECT pkt_no, len, true AS same, (len - 34) % 16 = 0 AS even FROM p WHERE event_id % 65536 > 0")
 def fragment_reassemble(spark, sf):
-    cut = fragments.fragment(packets(spark, sf), mtu=36, df="fragment")
-    one = cut.withColumn("at", F.col("pkt_no") * 64 + F.col("sub_no"))
-    out = fragments.reassemble(with_pdus(one), order=("at",))
-    return out.select("pkt_no", F.length("data").cast("long").alias("len"))
+    """Fragments in reverse order, put together again: every byte is as before."""
+    base = packets(spark, sf, checksums=True).where(F.substring("data", 19, 2) != F.lit(b"\0\0"))
+    cut = fragments.fragment(base, mtu=36, df="fragment")
+    one = cut.withColumn("at", -F.col("sub_no"))
+    out = fragments.reassemble(with_pdus(one), order=("pkt_no", "at"))
+    was = base.select(F.col("pkt_no").alias("n"), F.sha2("data", 256).alias("was"))
+    out = out.join(was, F.col("pkt_no") == F.col("n"))
+    return out.select("pkt_no", F.length("data").cast("long").alias("len"), (F.sha2("data", 256) == F.col("was")).alias("same"), ((F.length("data") - 34) % 16 == 0).alias("even"))
 
 
-@query("SELECT user_id, code, port IS NOT NULL AND bool_or(back = 0) AS from_client, sum(strlen(props)) FILTER (back = 0)::BIGINT AS up FROM p WHERE proto = 6 AND back = 0 GROUP BY user_id, code, port")
+@query(", t AS (SELECT *, lag(back) OVER w AS was, first_value(back) OVER w AS fst FROM p WHERE proto = 6 WINDOW w AS (PARTITION BY user_id, code ORDER BY pkt_no)) SELECT user_id, code, 1 + count(*) FILTER (back <> was) AS files, sum(strlen(props)) FILTER (back = fst)::BIGINT AS c2s, coalesce(sum(strlen(props)) FILTER (back <> fst), 0)::BIGINT AS s2c, md5(string_agg(props, '' ORDER BY pkt_no)) AS text FROM t GROUP BY 1, 2")
 def carve_streams(spark, sf):
+    """Both directions of every connection, its sequence numbers made dense: files, bytes each way, and the text of all files."""
     from pyspark.sql import Window
 
-    tcp = order.keep(heads(spark, sf), F.col("h_tcp").isNotNull()).where("pkt_no % 2 = 1")
-    user = F.conv(F.hex(B.cut(F.col("data"), F.col("h_ip") + 12, 4)), 16, 10).cast("long") - (10 << 24)
-    w = Window.partitionBy("u", "c").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)
-    rows = tcp.withColumns({"u": user, "c": B.be_uint(F.col("data"), F.col("h_ip") + 19, 1), "size": F.length("data").cast("long") - 54})
+    tcp = order.keep(heads(spark, sf), F.col("h_tcp").isNotNull())
+    ends = F.substring("data", 27, 4)
+    w = Window.partitionBy("ends", "other").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = tcp.withColumns({"ends": ends, "other": F.substring("data", 31, 4), "size": F.length("data").cast("long") - 54})
     rows = rows.withColumn("s", F.lit(1) + F.coalesce(F.sum("size").over(w), F.lit(0)))
-    dense = rows.withColumn("data", B.splice(F.col("data"), F.col("h_tcp") + 4, B.be_bytes(F.col("s"), 4), 4)).drop("u", "c", "size", "s")
-    out = fragments.carve(with_pdus(dense)).withColumn("ip", F.substring("conn", 1, 4)).withColumn("other", F.substring("conn", 7, 4))
-    low = B.be_uint(F.col("ip"), 0, 4)
-    return out.groupBy((low - (10 << 24)).alias("user_id"), B.be_uint(F.col("other"), 3, 1).cast("int").alias("code")).agg(F.bool_or(F.col("direction") == "C2S").alias("from_client"), F.sum(F.length("bytes")).alias("up"))
+    dense = rows.withColumn("data", B.splice(F.col("data"), F.col("h_tcp") + 4, B.be_bytes(F.col("s"), 4), 4)).drop("ends", "other", "size", "s")
+    out = fragments.carve(with_pdus(dense))
+    ways = {k: F.coalesce(F.sum(F.when(F.col("direction") == k.upper(), F.length("bytes"))), F.lit(0)).alias(k) for k in ("c2s", "s2c")}
+    text = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "bytes"))), lambda x: x["bytes"].cast("string")), "").cast("binary"))
+    user, code = B.be_uint(F.substring("conn", 1, 4), 0, 4) - (10 << 24), B.be_uint(F.substring("conn", 7, 4), 3, 1).cast("int")
+    return out.groupBy(user.alias("user_id"), code.alias("code")).agg(F.count(F.lit(1)).alias("files"), *ways.values(), text.alias("text"))
 
 
 @query("SELECT 'PASS' AS op, count(*) AS n FROM p WHERE pkt_no <= 400")
