@@ -82,11 +82,18 @@ def demux(packets: DataFrame, ports: int, opened: set[int] | None = None) -> dic
     return out
 
 
-def split_by_flow(packets: DataFrame, path: str, prefix: str = "", append: bool = False, strip: bool = False) -> None:
-    """A folder for each flow id below path, ``nofid`` for packets without; refuses an existing path unless append."""
+def split_by_flow(packets: DataFrame, path: str, prefix: str = "", append: bool = False, strip: bool = False, kind: str = "parquet") -> None:
+    """Packets by flow id below path, ``nofid`` for those without; refuses an existing path unless append.
+
+    ``parquet`` writes a folder for each flow; ``xpkt`` and ``pcap`` write a file for each, in packet order.
+    """
     name = F.concat(F.lit(prefix), F.coalesce(F.col("flow_id").cast("string"), F.lit("nofid")))
     rows = packets.withColumn("flow", name)
     if strip:
         rows = rows.withColumn("flow_id", F.lit(None).cast("long"))
-    rows.write.partitionBy("flow").mode("append" if append else "errorifexists").parquet(path)
+    if kind == "parquet":
+        rows.write.partitionBy("flow").mode("append" if append else "errorifexists").parquet(path)
+        return
+    from wirelake.sources.readers import write_by_name
 
+    write_by_name(rows, "flow", path, kind, append)

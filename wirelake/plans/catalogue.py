@@ -606,17 +606,17 @@ def pml_ticks(spark, sf):
 
 def round_trip(spark, sf, kind: str) -> DataFrame:
     """Each packet as a record of a format, read again."""
-    from wirelake.operators.edit import frame_of
+    from wirelake.operators.edit import table_of
     from wirelake.schema import PACKET
 
     cut = {"xpkt": formats.read_xpkt, "pcap": lambda b: formats.read_pcap(formats.pcap_start() + b), "hex": lambda b: formats.read_hex(b.decode())}[kind]
 
     def fit(batches):
-        for pdf in batches:
-            rows = [next(iter(cut(r))) | {"pkt_no": n} for n, r in zip(pdf["pkt_no"], pdf["record"], strict=True)]
-            yield frame_of(rows, PACKET)[PACKET.names]
+        for batch in batches:
+            rows = [next(iter(cut(r))) | {"pkt_no": n} for n, r in zip(batch.column("pkt_no").to_pylist(), batch.column("record").to_pylist(), strict=True)]
+            yield from table_of(rows, PACKET).to_batches()
 
-    return readers.encoded(packets(spark, sf), kind).mapInPandas(fit, PACKET)
+    return readers.encoded(packets(spark, sf), kind).mapInArrow(fit, PACKET)
 
 
 @query("SELECT pkt_no, len, us, (user_id % 4)::INTEGER AS iface FROM p")
