@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -62,7 +63,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
     with shuffles_freed(spark):
         df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def free(*tables: DataFrame) -> None:
+    """Delete tables that materialize wrote and nothing reads any more."""
+    for df in tables:
+        if path := getattr(df, "_scratch", None):
+            discard(df.sparkSession, path)
+
+
+def tidy() -> None:
+    """Give memory that a worker no longer uses back to the machine."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 BROADCAST_IDS = 1_000_000
@@ -115,6 +132,7 @@ def map_texts(rows: DataFrame, made: Callable[[list[str | None]], dict[str, pa.A
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *own], names=[*keep, *types])
         if done is not None:
             done()
+        tidy()
 
     return rows.select(*keep, text_col).mapInArrow(apply, schema)
 
@@ -130,6 +148,7 @@ def where_texts(rows: DataFrame, stay: Callable[[list[str | None]], list[bool]],
                 yield part.filter(pa.array(stay(part.column(text_col).to_pylist()), type=pa.bool_()))
         if done is not None:
             done()
+        tidy()
 
     return rows.mapInArrow(apply, rows.schema)
 

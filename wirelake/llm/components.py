@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize
+from wirelake.llm.common import free, materialize, shuffles_freed
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _mark(edges: DataFrame):
-    return edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
+    with shuffles_freed(edges.sparkSession):
+        return edges.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(u, v))")).first()
 
 
 def components(links: DataFrame, most: int = 60) -> DataFrame:
@@ -37,8 +38,9 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     edges = materialize(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     was = _mark(edges)
     for _ in range(most):
-        edges = materialize(_small_star(_large_star(edges)), "stars")
+        old, edges = edges, materialize(_small_star(_large_star(edges)), "stars")
         now = _mark(edges)
+        free(old)
         if now == was:
             break
         was = now

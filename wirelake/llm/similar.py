@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import fresh, map_texts, materialize, small_side, with_row_uid
+from wirelake.llm.common import free, fresh, map_texts, materialize, shuffles_freed, small_side, tidy, with_row_uid
 from wirelake.llm.components import components
 from wirelake.llm.simhash import SEED, shingles
 
@@ -211,6 +211,7 @@ def _by_bucket(rows: DataFrame, found: Callable[[pd.DataFrame], tuple[np.ndarray
             held = [whole.iloc[done:]]
         if held:
             yield ready(pd.concat(held, ignore_index=True))
+        tidy()
 
     return rows.mapInPandas(fit, "u long, v long").distinct()
 
@@ -257,6 +258,7 @@ def settle(groups: DataFrame, payload: DataFrame, found: Callable[[pd.DataFrame]
     dealt = small.unionByName(own.unionByName(leads).distinct())
     links = materialize(_by_bucket(dealt.join(payload, "node").withColumn("root", F.col("node")), found), name)
     if sizes.where("p > 1").isEmpty():
+        free(sizes)
         return links
     classes = components(links)
     placed = materialize(inside.join(classes, "node", "left").select("group", "node", "weight", F.coalesce("root", "node").alias("root")), f"{name}-placed")
@@ -269,6 +271,7 @@ def settle(groups: DataFrame, payload: DataFrame, found: Callable[[pd.DataFrame]
     outside = rest.where("root <> top").withColumn("i", F.pmod(F.xxhash64("node", F.lit(1)), F.col("q"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p").cast("long") - 1)))
     met = every.select("node", "root", F.xxhash64("group", "i", "j").alias("bucket")).unionByName(outside.select("node", "root", F.xxhash64("group", "i", "j").alias("bucket"))).distinct()
     more = materialize(_by_bucket(met.join(payload, "node"), found), f"{name}-more")
+    free(sizes, placed)
     return links.unionByName(more)
 
 
@@ -307,13 +310,18 @@ def similar_classes(docs: DataFrame, text_col: str = "text", uid_col: str = "__u
     copies = materialize(every.join(small_side(equal), "same").where("node <> v").select(F.col("node").alias("u"), "v"), "copies")
     sets = every.join(small_side(copies).select(F.col("u").alias("node")), "node", "left_anti")
     keys = materialize(keyed(sets, np.zeros(0, dtype=np.uint64), similarity), "keys")
-    often = keys.groupBy("group").count().where(F.col("count") > PART).orderBy(F.desc("count"), "group").limit(HEAVY).select("group").toPandas()
+    with shuffles_freed(docs.sparkSession):
+        often = keys.groupBy("group").count().where(F.col("count") > PART).orderBy(F.desc("count"), "group").limit(HEAVY).select("group").toPandas()
     if len(often):
+        free(keys)
         keys = materialize(keyed(sets, np.sort(often["group"].to_numpy().view(np.uint64)), similarity), "keys")
     near = components(settle(keys, sets.select("node", *_PRINT), loose, "loose"))
+    free(keys)
     groups = materialize(sets.select("node", "n").join(near, "node").select(F.col("root").alias("group"), "node", F.col("n").alias("weight")), "near")
     links = settle(groups, sets.select("node", "hashes", *_PRINT), exact(similarity), "exact")
-    return components(links.unionByName(copies))
+    classes = components(links.unionByName(copies))
+    free(every, groups)
+    return classes
 
 
 def kept_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
