@@ -72,6 +72,13 @@ def test_substrings_against_brute_force(stored, monkeypatch):
     assert {r.id: (r.n_words, r.n_removed, bytes(r.kept).decode()) for r in got} == brute_substrings(docs, 20)
 
 
+def test_substrings_of_odd_rows(stored):
+    text = " ".join(f"w{k}" for k in range(30))
+    rows = [(None, text, 1, "a"), (2**60 + 1, text, 2, "b"), (-(2**60) - 1, None, None, None), (5, "word " * 30000, 3, "c"), (5, "word " * 30000, 3, "c")]
+    got = sorted(substring_dedup.substring_dedup(stored(rows, SCHEMA.replace("digest", "uid").replace("uid string", "blob string"))).collect(), key=lambda r: (r.id is None, r.id or 0, r.n_removed))
+    assert [(r.id, r.n_words, r.n_removed) for r in got] == [(-(2**60) - 1, 0, 0), (5, 30000, 29999), (5, 30000, 29999), (2**60 + 1, 30, 0), (None, 30, 30)]
+
+
 def test_substrings_of_an_empty_table(stored):
     assert substring_dedup.substring_dedup(stored([], SCHEMA)).count() == 0
 

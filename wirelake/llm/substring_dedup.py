@@ -25,11 +25,12 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import materialize, with_row_uid
+from wirelake.llm.common import TEXTS_AT_ONCE, fresh, materialize, small_batches, tidy, with_row_uid
 
 WINDOW = 20
 BLOCK_WORDS = 2_000_000
@@ -163,6 +164,7 @@ def index(docs: DataFrame, window: int, parts: int) -> DataFrame:
                     block, size, number = [], 0, number + 1
         if block:
             yield pd.DataFrame(list(_flush(block, window, parts, number)), columns=["block", "part", "blob"])
+        tidy()
 
     return docs.mapInPandas(fit, "block long, part int, blob binary")
 
@@ -257,26 +259,32 @@ def covered(n: int, found: np.ndarray) -> np.ndarray:
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """id, n_words, n_removed, kept_text and factors of every row."""
-    marked = with_row_uid(docs, "__uid")
-    rows = marked.select(F.col(id_col).cast("long").alias("id"), F.col("__uid").alias("uid"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    small_batches(docs.sparkSession)
+    uid = fresh(docs, "__uid")
+    marked = with_row_uid(docs, uid)
+    rows = marked.select(F.col(id_col).cast("long").alias("id"), F.col(uid).alias("uid"), F.col(text_col).cast("string").cast("binary").alias("text"))
     found = factors(rows, window).select(F.col("id").alias("f_id"), F.col("uid").alias("f_uid"), "factors")
     both = rows.join(found, (rows["uid"] == found["f_uid"]) & (F.coalesce(rows["id"], F.lit(int(LAST))) == found["f_id"]), "left").select("id", "text", "factors")
 
+    names = ["id", "n_words", "n_removed", "kept", "factors"]
+
     def cut(batches):
-        for pdf in batches:
-            out = []
-            for text, blob in zip(pdf["text"], pdf["factors"], strict=True):
-                words = (text or b"").split()
-                if blob is not None:
-                    gone = covered(len(words), unpack_factors(blob))
-                    kept = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
-                    out.append((len(words), int(gone.sum()), kept))
-                else:
-                    out.append((len(words), 0, b" ".join(words)))
-            n, removed, kept = zip(*out, strict=True) if out else ((), (), ())
-            yield pd.DataFrame({"id": pdf["id"], "n_words": n, "n_removed": removed, "kept": kept, "factors": pdf["factors"]})
-
-    return both.mapInPandas(cut, "id long, n_words long, n_removed long, kept binary, factors binary")
+        for whole in batches:
+            for at in range(0, whole.num_rows, TEXTS_AT_ONCE):
+                batch = whole.slice(at, TEXTS_AT_ONCE)
+                out = []
+                for text, blob in zip(batch.column("text").to_pylist(), batch.column("factors").to_pylist(), strict=True):
+                    words, gone = (text or b"").split(), None
+                    if blob is not None:
+                        gone = covered(len(words), unpack_factors(blob))
+                        words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                    removed = 0 if gone is None else int(gone.sum())
+                    out.append((len(words) + removed, removed, b" ".join(words)))
+                made = [pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), *made, batch.column("factors")], names=names)
+        tidy()
+
+    return both.mapInArrow(cut, "id long, n_words long, n_removed long, kept binary, factors binary")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
