@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wirelake.functions.bytesx import be_bytes
 from wirelake.functions.fields import field
@@ -100,15 +101,13 @@ def first_matching(packets: DataFrame, predicate: Column, n: int) -> DataFrame:
 
 
 def places(ordered: DataFrame, name: str = "place") -> DataFrame:
-    """Number the rows of an ordered table from 1, as they would be written: by partition, and inside each.
+    """Number the rows of an ordered table from 1 in the order they would be written.
 
-    The table's partitions are counted first and their sums carried to the second pass.
+    An index over partitions needs their sizes first, which no DataFrame operation gives for one and
+    the same run of a sort; so the rows pass as an RDD. Keep only narrow columns before.
     """
-    marked = ordered.withColumn("__id", F.monotonically_increasing_id())
-    marked = marked.withColumns({"__part": F.shiftright("__id", 33), "__in": F.col("__id").bitwiseAND((1 << 33) - 1)})
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = marked.groupBy("__part").agg(F.count(F.lit(1)).alias("__n")).select(F.col("__part").alias("__p"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    return marked.join(F.broadcast(sizes), F.col("__part") == F.col("__p")).withColumn(name, F.col("__base") + F.col("__in") + 1).drop("__id", "__part", "__in", "__p", "__base")
+    schema = T.StructType([*ordered.schema.fields, T.StructField(name, T.LongType())])
+    return ordered.sparkSession.createDataFrame(ordered.rdd.zipWithIndex().map(lambda x: (*x[0], x[1] + 1)), schema)
 
 
 def in_range(packets: DataFrame, start: Column | int | str, end: Column | int | str | None = None, multiple: bool = False) -> DataFrame:

@@ -35,19 +35,41 @@ def merge_time(packets: DataFrame) -> DataFrame:
     return kept.orderBy("__t", "src_id", "pkt_no").drop("__t", "__m")
 
 
+def _by_rounds(rows: DataFrame) -> DataFrame:
+    """Order rows with ``round``: in a round each stream sends one packet of those due in turn, until none is left."""
+    w = Window.partitionBy("src_id", "round").orderBy("pkt_no")
+    return rows.withColumn("__sweep", F.row_number().over(w)).orderBy("round", "__sweep", "src_id").drop("__sweep")
+
+
 def merge_proportional(packets: DataFrame) -> DataFrame:
-    """As many packets of each stream as its share, spread evenly: by place over the stream's length."""
+    """Packets of each stream in proportion to its length. Adds round.
+
+    Every round gives each stream credits of its number of packets, and a packet costs as many as the
+    shortest stream has; a stream sends while it has that many. Rounds start with the first stream.
+    """
     counts = packets.groupBy("src_id").agg(F.count(F.lit(1)).alias("__n"))
+    counts = counts.withColumn("__cost", counts.agg(F.min("__n")).scalar())
     rows = numbered(packets).join(F.broadcast(counts), "src_id")
-    return rows.orderBy((F.col("rr") - 1) / F.col("__n"), "src_id").drop("__n")
+    return _by_rounds(rows.withColumn("round", F.expr("(rr * __cost + __n - 1) div __n")).drop("__n", "__cost", "rr"))
 
 
-def merge_by_bytes(packets: DataFrame, shares: dict[int, float] | None = None) -> DataFrame:
-    """Deficit round robin: a stream sends when its bytes so far, over its share, are the least."""
-    shares = shares or {}
-    share = F.coalesce(*[F.when(F.col("src_id") == k, F.lit(float(v))) for k, v in shares.items()], F.lit(1.0))
-    w = Window.partitionBy("src_id").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)
-    return packets.withColumn("sent", F.coalesce(F.sum(F.length("data")).over(w), F.lit(0)) / share).orderBy("sent", "src_id", "pkt_no")
+QUANTUM = 512
+
+
+def merge_by_bytes(packets: DataFrame) -> DataFrame:
+    """Bytes of each stream in proportion to all of its bytes: deficit round robin. Adds round.
+
+    A stream's share of ``QUANTUM`` bytes a stream, at least one, is what each round lets it send more;
+    a packet may start while the bytes sent before it are within that. Rounds start with the first stream.
+    """
+    size = F.length("data").cast("long")
+    sums = packets.groupBy("src_id").agg(F.sum(size).alias("__b"))
+    totals = sums.agg(F.struct(F.sum("__b").alias("b"), F.count(F.lit(1)).alias("n"))).scalar()
+    sums = sums.withColumn("__t", totals)
+    share = F.greatest(F.lit(1), F.floor(F.col("__b") / F.col("__t.b").cast("double") * (F.col("__t.n") * QUANTUM)).cast("long"))
+    before = Window.partitionBy("src_id").orderBy("pkt_no").rowsBetween(Window.unboundedPreceding, -1)
+    rows = packets.withColumn("__sent", F.coalesce(F.sum(size).over(before), F.lit(0))).join(F.broadcast(sums.select("src_id", share.alias("__share"))), "src_id")
+    return _by_rounds(rows.withColumn("round", F.expr("(__sent + __share - 1) div __share")).drop("__sent", "__share"))
 
 
 def merge_random(packets: DataFrame, seed: int = 1, shares: dict[int, float] | None = None) -> DataFrame:

@@ -114,10 +114,10 @@ def implicit_members(spark, sf):
     return whole(spark, sf).select("pkt_no", *names, implicit("ip", "index").alias("idx"), body.alias("payload"), implicit("tcp", "hlen").alias("tcp_hlen"))
 
 
-@query("SELECT pkt_no, 4::BIGINT AS vers, 5::BIGINT AS ihl, 0::BIGINT AS df, 0::BIGINT AS fragoff, CASE WHEN proto = 6 THEN 5 END::BIGINT AS doff, CASE WHEN proto = 6 THEN 1 END::BIGINT AS psh, CASE WHEN proto = 6 THEN 0 END::BIGINT AS syn FROM p WHERE event_id % 3 = 0")
+@query("SELECT pkt_no, 4::BIGINT AS vers, 5::BIGINT AS ihl, 0::BIGINT AS df, 0::BIGINT AS fragoff, CASE WHEN proto = 6 THEN 5 END::BIGINT AS doff, CASE WHEN proto = 6 THEN 1 END::BIGINT AS psh, CASE WHEN proto = 6 THEN 0 END::BIGINT AS syn FROM p")
 def bit_fields(spark, sf):
     names = ("ip.vers", "ip.ihl", "ip.df", "ip.fragoff", "tcp.doff", "tcp.psh", "tcp.syn")
-    rows = with_pdus(packets(spark, sf).where("pkt_no % 3 = 1"))
+    rows = with_pdus(packets(spark, sf))
     return rows.select("pkt_no", *[field(n).cast("long").alias(n.split(".")[1]) for n in names])
 
 
@@ -138,8 +138,27 @@ def tail(spark, sf):
 
 @query("SELECT pkt_no, row_number() OVER (ORDER BY pkt_no DESC) AS place FROM p")
 def reverse(spark, sf):
-    top = packets(spark, sf).agg(F.max("pkt_no").alias("top"))
-    return order.reverse(packets(spark, sf)).join(F.broadcast(top), F.lit(True)).select("pkt_no", (F.col("top") + 1 - F.col("pkt_no")).alias("place"))
+    return order.places(order.reverse(packets(spark, sf)).select("pkt_no"))
+
+
+def two(spark, sf) -> DataFrame:
+    """Two streams, each numbered from 1."""
+    return packets(spark, sf).withColumn("src_id", F.pmod(F.col("pkt_no"), F.lit(2)).cast("int")).withColumn("pkt_no", F.floor((F.col("pkt_no") + 1) / 2))
+
+
+@query("SELECT 1 - event_id % 2 AS src, event_id // 2 + 1 AS no, row_number() OVER (ORDER BY 1 - event_id % 2 DESC, event_id DESC) AS place FROM p")
+def reverse_two_streams(spark, sf):
+    return order.places(order.reverse(two(spark, sf)).select(F.col("src_id").cast("long").alias("src"), F.col("pkt_no").alias("no")))
+
+
+@query("SELECT 1 - event_id % 2 AS src, event_id // 2 + 1 AS no FROM p ORDER BY 1, 2 LIMIT 7")
+def head_two_streams(spark, sf):
+    return order.head(two(spark, sf), 7).select(F.col("src_id").cast("long").alias("src"), F.col("pkt_no").alias("no"))
+
+
+@query("SELECT 1 - event_id % 2 AS src, event_id // 2 + 1 AS no, row_number() OVER (ORDER BY 1 - event_id % 2, event_id)::BIGINT * 10 AS ms FROM p")
+def pace_two_streams(spark, sf):
+    return order.release_times(two(spark, sf), interval=0.01, delay=0.01).select(F.col("src_id").cast("long").alias("src"), F.col("pkt_no").alias("no"), F.round(F.col("release_at") * 1000).cast("long").alias("ms"))
 
 
 @query("SELECT pkt_no FROM p WHERE pkt_no BETWEEN 100 AND 250")
@@ -239,38 +258,63 @@ def three(spark, sf) -> DataFrame:
     return packets(spark, sf).withColumn("src_id", F.pmod(F.col("in_iface"), F.lit(3)))
 
 
-@query("SELECT pkt_no, (user_id % 4) % 3 AS src, row_number() OVER (PARTITION BY (user_id % 4) % 3 ORDER BY pkt_no) AS rr FROM p")
+STREAMS = ", s AS (SELECT *, (user_id % 4) % 3 AS src, row_number() OVER (PARTITION BY (user_id % 4) % 3 ORDER BY pkt_no) AS rr FROM p)"
+
+
+def merged(rows: DataFrame) -> DataFrame:
+    """Where each packet comes out of a merge."""
+    return order.places(rows.select("pkt_no", F.col("src_id").cast("long").alias("src")))
+
+
+@query(f"{STREAMS} SELECT pkt_no, src, row_number() OVER (ORDER BY rr, src) AS place FROM s")
 def merge_round_robin(spark, sf):
-    return streams.merge_round_robin(three(spark, sf)).select("pkt_no", F.col("src_id").cast("long").alias("src"), "rr")
+    return merged(streams.merge_round_robin(three(spark, sf)))
 
 
-@query("SELECT pkt_no, (user_id % 4) % 3 AS src FROM p")
+@query(f"{STREAMS}, t AS (SELECT *, us - (event_id % 5) * 86400000000 AS moved FROM s), k AS (SELECT *, max(moved) OVER (PARTITION BY src ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM t WHERE event_id % 7 <> 3) SELECT pkt_no, src, row_number() OVER (ORDER BY moved, src, pkt_no) AS place FROM k WHERE m IS NULL OR moved >= m")
 def merge_time(spark, sf):
-    return streams.merge_time(three(spark, sf)).select("pkt_no", F.col("src_id").cast("long").alias("src"))
+    """Some packets have no timestamp and some go back in time: both kinds are left out."""
+    back = F.col("ts_sec") - F.pmod(F.col("pkt_no") - 1, F.lit(5)) * 86400
+    rows = three(spark, sf).withColumn("ts_sec", F.when(F.pmod(F.col("pkt_no") - 1, F.lit(7)) != 3, back))
+    return merged(streams.merge_time(rows))
 
 
-@query(", s AS (SELECT *, (user_id % 4) % 3 AS src FROM p) SELECT pkt_no, src, coalesce(sum(len) OVER (PARTITION BY src ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent FROM s")
-def merge_by_bytes(spark, sf):
-    return streams.merge_by_bytes(three(spark, sf)).select("pkt_no", F.col("src_id").cast("long").alias("src"), F.col("sent").cast("long").alias("sent"))
+@query(f"{STREAMS}, n AS (SELECT *, count(*) OVER (PARTITION BY src) AS n FROM s), c AS (SELECT *, min(n) OVER () AS cost FROM n), r AS (SELECT *, (rr * cost + n - 1) // n AS round FROM c), w AS (SELECT *, row_number() OVER (PARTITION BY src, round ORDER BY pkt_no) AS sweep FROM r) SELECT pkt_no, src, row_number() OVER (ORDER BY round, sweep, src) AS place FROM w")
+def merge_proportional(spark, sf):
+    return merged(streams.merge_proportional(three(spark, sf)))
 
 
-@query(", s AS (SELECT *, (user_id % 4) % 3 AS src FROM p) SELECT pkt_no, src, (row_number() OVER (PARTITION BY src ORDER BY pkt_no) - 1) * 1000000 // count(*) OVER (PARTITION BY src) AS share FROM s")
-def merge_proportional(spark, sf):
-    n = three(spark, sf).groupBy("src_id").count()
-    rows = streams.merge_proportional(three(spark, sf)).join(F.broadcast(n), "src_id")
-    return rows.select("pkt_no", F.col("src_id").cast("long").alias("src"), F.floor((F.col("rr") - 1) * 1000000 / F.col("count")).cast("long").alias("share"))
+@query(f"{STREAMS}, b AS (SELECT *, coalesce(sum(len) OVER (PARTITION BY src ORDER BY pkt_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS sent, sum(len) OVER (PARTITION BY src) AS own, sum(len) OVER () AS total FROM s), q AS (SELECT *, greatest(1, floor(own / total::DOUBLE * 1536)::BIGINT) AS share FROM b), r AS (SELECT *, (sent + share - 1) // share AS round FROM q), w AS (SELECT *, row_number() OVER (PARTITION BY src, round ORDER BY pkt_no) AS sweep FROM r) SELECT pkt_no, src, row_number() OVER (ORDER BY round, sweep, src) AS place FROM w")
+def merge_by_bytes(spark, sf):
+    return merged(streams.merge_by_bytes(three(spark, sf)))
 
 
-@query("SELECT (user_id % 4) % 3 AS src, count(*) AS packets FROM p GROUP BY 1")
-def merge_random_counts(spark, sf):
-    return streams.merge_random(three(spark, sf)).groupBy(F.col("src_id").cast("long").alias("src")).agg(F.count(F.lit(1)).alias("packets"))
+@query(f"{STREAMS} SELECT pkt_no, src, rr FROM s")
+def merge_random(spark, sf):
+    """Random, but every packet comes out, and each stream keeps its order."""
+    from pyspark.sql import Window
+
+    out = merged(streams.merge_random(three(spark, sf)))
+    return out.select("pkt_no", "src", F.row_number().over(Window.partitionBy("src").orderBy("place")).cast("long").alias("rr"))
 
 
-@query("SELECT event_id % 2 AS iface, count(*) AS packets FROM p GROUP BY 1")
+@query("SELECT pkt_no, event_id % 2 AS iface, row_number() OVER (ORDER BY us, event_id % 2, pkt_no) AS place FROM p")
 def mux_streams(spark, sf):
     base = packets(spark, sf)
     out = streams.mux(base.where("pkt_no % 2 = 1"), base.where("pkt_no % 2 = 0"))
-    return out.groupBy(F.col("in_iface").cast("long").alias("iface")).agg(F.count(F.lit(1)).alias("packets"))
+    return order.places(out.select("pkt_no", F.col("in_iface").cast("long").alias("iface")))
+
+
+@query("SELECT k AS src, event_id + 1 AS pkt_no FROM p, (VALUES (0), (1)) v(k) WHERE k = 0 OR event_id % 2 = 1")
+def concat_streams(spark, sf):
+    base = packets(spark, sf)
+    return streams.concat(base, base.where("pkt_no % 2 = 0")).select(F.col("src_id").alias("src"), "pkt_no")
+
+
+@query("SELECT pkt_no, k AS round, k * (SELECT count(*) FROM p) + pkt_no AS place FROM p, range(3) v(k) WHERE k * (SELECT count(*) FROM p) + pkt_no <= 2500")
+def merge_repeated(spark, sf):
+    """A stream played three times, 2,500 packets at most."""
+    return order.places(streams.repeated(packets(spark, sf), 3, 2500).select("pkt_no", F.col("round").cast("long").alias("round")))
 
 
 @query("SELECT CASE WHEN user_id % 4 < 2 THEN (user_id % 4)::VARCHAR ELSE 'rest' END AS port, count(*) AS packets FROM p WHERE user_id % 4 <> 2 GROUP BY 1")
@@ -416,16 +460,26 @@ def carve_streams(spark, sf):
     return out.groupBy(user.alias("user_id"), code.alias("code")).agg(F.count(F.lit(1)).alias("files"), *ways.values(), text.alias("text"))
 
 
-@query("SELECT 'PASS' AS op, count(*) AS n FROM p WHERE pkt_no <= 400")
+@query("SELECT 'PASS' AS op, pkt_no AS before_no, pkt_no AS after_no, 0.0::DOUBLE AS cost FROM p")
 def diff_self(spark, sf):
-    rows = packets(spark, sf).where("pkt_no <= 400")
-    return diffs.diff(rows, rows, window=50).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+    rows = packets(spark, sf)
+    return diffs.diff(rows, rows).select("op", "before_no", "after_no", "cost")
 
 
-@query("SELECT op, count(*) AS n FROM (SELECT CASE WHEN pkt_no % 10 = 3 THEN 'DROP' WHEN pkt_no % 10 = 7 THEN 'INSERT' ELSE 'PASS' END AS op FROM p WHERE pkt_no <= 400) GROUP BY 1")
+@query("SELECT CASE WHEN pkt_no % 10 = 3 THEN 'DROP' WHEN pkt_no % 9 = 7 THEN 'INSERT' ELSE 'PASS' END AS op, CASE WHEN pkt_no % 10 = 3 OR pkt_no % 9 <> 7 THEN pkt_no END AS before_no, CASE WHEN pkt_no % 10 <> 3 THEN pkt_no END AS after_no FROM p WHERE NOT (pkt_no % 10 = 3 AND pkt_no % 9 = 7)")
 def diff_insert_drop(spark, sf):
-    rows = packets(spark, sf).where("pkt_no <= 400")
-    return diffs.diff(rows.where("pkt_no % 10 <> 7"), rows.where("pkt_no % 10 <> 3"), window=45, modify=False).groupBy("op").agg(F.count(F.lit(1)).alias("n"))
+    """More packets come in than go: windows stay in step all the same."""
+    rows = packets(spark, sf).where("not (pkt_no % 10 = 3 and pkt_no % 9 = 7)")
+    return diffs.diff(rows.where("pkt_no % 9 <> 7"), rows.where("pkt_no % 10 <> 3"), window=45, modify=False).select("op", "before_no", "after_no")
+
+
+@query("SELECT CASE WHEN event_id % 11 = 4 AND proto = 6 THEN 'MODIFY' ELSE 'PASS' END AS op, pkt_no AS before_no, pkt_no AS after_no, CASE WHEN event_id % 11 = 4 AND proto = 6 THEN round(7.0 / (8 * len) * 3, 9) ELSE 0.0 END::DOUBLE AS cost FROM p")
+def diff_modified(spark, sf):
+    """Three bits of some packets change: their places stay, at the price of three bits."""
+    rows = packets(spark, sf)
+    changed = B.splice(F.col("data"), 22, F.lit(b"\x47"), 1)
+    after = rows.withColumn("data", F.when((F.pmod(F.col("pkt_no") - 1, F.lit(11)) == 4) & (F.substring("data", 24, 1) == F.lit(b"\x06")), changed).otherwise(F.col("data")))
+    return diffs.diff(rows, after).select("op", "before_no", "after_no", F.round("cost", 9).alias("cost"))
 
 
 @query("SELECT pkt_no, CASE WHEN back = 0 THEN '10.0.' || (user_id // 256) || '.' || (user_id % 256) ELSE '192.168.0.' || code END AS ip, CASE WHEN back = 0 THEN '02:00:00:00:' || printf('%02x', user_id // 256) || ':' || printf('%02x', user_id % 256) ELSE '02:01:00:00:00:' || printf('%02x', code) END AS eth, upper(printf('%04x', event_id % 65536)) AS hex FROM p")
@@ -442,10 +496,10 @@ def window_tumbling(spark, sf):
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "packets", "bytes")
 
 
-@query("SELECT user_id % 4 AS iface, count(*) AS packets, sum((value * 100)::BIGINT * 0)::BIGINT AS zero, count(DISTINCT user_id) AS users FROM p GROUP BY 1")
+@query("SELECT user_id % 4 AS iface, count(*) AS packets, sum(floor(value * 100))::BIGINT AS class, sum(us // 1000000)::BIGINT AS seconds, sum(us % 1000000)::BIGINT AS micros FROM p GROUP BY 1")
 def meta_tags(spark, sf):
-    user = F.conv(F.hex(F.when(F.col("pkt_no") % 2 == 1, B.cut(F.col("data"), 8, 4)).otherwise(B.cut(F.col("data"), 2, 4))), 16, 10).cast("long")
-    return packets(spark, sf).groupBy(F.col("in_iface").cast("long").alias("iface")).agg(F.count(F.lit(1)).alias("packets"), F.sum(F.col("class") * 0).alias("zero"), F.countDistinct(user).alias("users"))
+    rows = packets(spark, sf).groupBy(F.col("in_iface").cast("long").alias("iface"))
+    return rows.agg(F.count(F.lit(1)).alias("packets"), F.sum("class").alias("class"), F.sum("ts_sec").alias("seconds"), F.sum((F.col("ts_nsec") / 1000).cast("long")).alias("micros"))
 
 
 @query("SELECT pkt_no FROM p WHERE proto = 6 AND port IN (80, 8080) AND back = 0 AND user_id < 128")
