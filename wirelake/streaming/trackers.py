@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import pickle
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from wirelake.operators.edit import frame_of
 from wirelake.operators.flows import TIMEOUT
+from wirelake.plans.pml.interpret import TICK, Machine, seconds
+from wirelake.plans.pml.parse import parse
+from wirelake.schema import PACKET
 
 KEY = ["family", "proto", "lo", "hi"]
 FLOW = T.StructType([
@@ -68,3 +74,55 @@ def sessions(keyed: DataFrame, gap: str = "60 seconds", late: str = "10 seconds"
     """Packets of sessions of each pair of endpoints, by Spark's own session windows."""
     timed = keyed.where("a is not null").withColumns({"at": F.timestamp_seconds("ts_sec"), "lo": F.least("a", "b"), "hi": F.greatest("a", "b")}).withWatermark("at", late)
     return timed.groupBy("family", "proto", "lo", "hi", F.session_window("at", gap)).agg(F.count(F.lit(1)).alias("packets"))
+
+
+#: The columns a program sees of a packet in a stream, tags as text so that they stay exact beside nulls.
+TAGGED = [f for f in PACKET if f.name not in ("parseinfo", "appinfo")]
+PRINTED = T.StructType([*TAGGED, T.StructField("sub_no", T.LongType()), T.StructField("printed", T.StringType())])
+
+
+def programs(packets: DataFrame, text: str, key: str, load=None, on_error: str = "abort", tick: float = TICK, idle: str | None = None, late: str = "0 seconds") -> DataFrame:
+    """What a program of the pattern language sends and prints over a stream, with state for each key.
+
+    Variables, lists and the clock of a key's program are kept from batch to batch; BEGIN runs with the
+    key's first packet. With ``idle``, END runs when the watermark is that far past the key's last packet,
+    and its state goes. Packets of a batch are taken in (src_id, pkt_no) order. sub_no counts in a batch.
+    """
+    program = parse(text, load)
+    numbers = [f.name for f in TAGGED if f.dataType in (T.LongType(), T.IntegerType())]
+    rows = packets.select(*[F.col(f.name).cast("string").alias(f.name) if f.name in numbers else F.col(f.name) for f in TAGGED], F.col(key).cast("string").alias("__key"), F.timestamp_seconds("ts_sec").alias("__at"))
+    wait = pd.Timedelta(idle).total_seconds() if idle else None
+    if idle:
+        rows = rows.withWatermark("__at", late)
+
+    def step(key: tuple, batches, state: GroupState):
+        m, out, last = Machine(program, on_error), [], 0.0
+        if state.exists:
+            m.vars, m.lists, m.next_tick, last = pickle.loads(state.get[0])  # noqa: S301
+        else:
+            m.entry("BEGIN")
+
+        def drain():
+            out.extend({f.name: r.get(f.name) for f in TAGGED} | {"sub_no": len(out), "printed": None} for r in m.out)
+            out.extend(dict.fromkeys(f.name for f in TAGGED) | {"sub_no": len(out), "printed": line} for line in m.text)
+            m.out, m.text = [], []
+
+        if state.hasTimedOut:
+            m.entry("END")
+            state.remove()
+        else:
+            own = [r for pdf in batches for r in pdf.to_dict("records")]
+            own = [{f.name: None if r[f.name] is None else int(r[f.name]) if f.name in numbers else r[f.name] for f in TAGGED} for r in own]
+            for row in sorted(own, key=lambda r: (r["src_id"] or 0, r["pkt_no"])):
+                last = max(last, seconds(row) or 0.0)
+                if not m.tick_until(seconds(row), tick) or not m.feed(row):
+                    break
+                drain()
+            state.update((pickle.dumps((m.vars, m.lists, m.next_tick, last)),))
+            if wait is not None:
+                state.setTimeoutTimestamp(max(int((last + wait) * 1000), state.getCurrentWatermarkMs() + 1))
+        drain()
+        yield frame_of(out, PRINTED)
+
+    timeout = GroupStateTimeout.EventTimeTimeout if idle else GroupStateTimeout.NoTimeout
+    return rows.groupBy("__key").applyInPandasWithState(step, PRINTED, "machine binary", "append", timeout)
