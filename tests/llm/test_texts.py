@@ -333,3 +333,40 @@ def test_secrets(spark, stored):
     assert got[7].is_secret and got[7].token == token and got[7].pos == 1
     assert not got[8].is_secret and not got[9].is_secret
     assert secrets_scan.scan(docs.where("doc_id < 0")).count() == 0
+
+
+def test_candidates_against_brute_force(stored):
+    """Every place of every token, with what stands before and after it."""
+    import re
+
+    rng = random.Random(8)
+    some = ["ab12cd34ef56ab12cd34", "key=", '"', "a,b", "x", "ghp_0123456789abcdefg", ":", "word", "0123456789012345", ";;"]
+    docs = [(k, " ".join("".join(rng.choices(some, k=rng.randrange(1, 6))) for _ in range(rng.randrange(8))), 0.0, "") for k in range(60)]
+    docs += [(70, "ab12cd34ef56ab12cd34,ab12cd34ef56ab12cd34", 0.0, ""), (71, None, 0.0, ""), (None, "ab12cd34ef56ab12cd34", 0.0, "")]
+    want = []
+    for d, text, *_ in docs:
+        parts = re.split(r"\s+", text or "")
+        for p, part in enumerate(parts):
+            for m in re.finditer(secrets_scan.CANDIDATE, part):
+                left = " ".join([*parts[max(p - 2, 0) : p], ""])
+                right = " ".join(["", *parts[p + 1 : p + 2]])
+                want.append((str(d), p, m[0], left + part[: m.start()], part[m.end() :] + right))
+    got = [(str(r.id), r.pos, r.token, r.before, r.after) for r in secrets_scan.candidates(stored(docs, SCHEMA)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_findings_of_other_templates(spark, stored):
+    """Precision and recall on kinds of findings that the training rows don't have."""
+    rng = random.Random(5)
+    pick = lambda alphabet, n: "".join(rng.choice(alphabet) for _ in range(n))
+    letters, digits, hexes = "abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
+    rows = []
+    for _ in range(60):
+        rows += [
+            (f"export AUTH_SECRET={pick(letters + digits, 30)}1 ; run", 1), (f"client token: {pick(hexes, 36)}9a here", 1), (f"curl -H 'Bearer {pick(letters + digits, 44)}7' -X", 1),
+            (f"the file is /usr/share/{pick('abcdefgh', 9)}/lib{pick(digits, 3)}/{pick('abcdefgh', 8)} in it", 0), (f"call me on {pick(digits, 15)} please", 0), (f"md5 checksum {pick(hexes, 31)}0 of the archive", 0), (f"see chapter_{pick(digits, 2)}_of_the_longer_book now", 0),
+        ]
+    docs = stored([(k, t, float(y), "") for k, (t, y) in enumerate(rows)], SCHEMA)
+    found = {r.id for r in secrets_scan.scan(docs).collect() if r.is_secret}
+    real = {k for k, (_, y) in enumerate(rows) if y}
+    assert len(found & real) >= 0.85 * len(real) and len(found - real) <= 0.2 * len(found)

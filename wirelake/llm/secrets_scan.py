@@ -64,18 +64,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(id, before, token, after, pos) of each candidate; pos counts the text's blank-separated parts."""
     hit = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(F.col("text").rlike(CANDIDATE))
     parts = hit.select("id", F.split("text", r"\s+").alias("parts"))
-    placed = parts.select("id", "parts", F.posexplode("parts").alias("pos", "part")).where(F.col("part").rlike(CANDIDATE))
-    near = placed.select(
-        "id", "pos", "part",
-        F.concat_ws(" ", F.get("parts", F.col("pos") - 2), F.get("parts", F.col("pos") - 1), F.lit("")).alias("left"),
-        F.concat_ws(" ", F.lit(""), F.get("parts", F.col("pos") + 1)).alias("right"),
-    )
-    found = near.withColumn("token", F.explode(F.regexp_extract_all("part", F.lit(CANDIDATE), F.lit(0))))
-    return found.select(
-        "id", "pos", "token",
-        F.concat("left", F.expr("substring(part, 1, instr(part, token) - 1)")).alias("before"),
-        F.concat(F.expr("substring(part, instr(part, token) + length(token))"), F.col("right")).alias("after"),
-    )
+
+    def near(i: Column) -> Column:
+        at = lambda k: F.get(F.col("parts"), i + k)
+        return F.struct(i.alias("pos"), at(0).alias("part"), F.concat_ws(" ", at(-2), at(-1), F.lit("")).alias("left"), F.concat_ws(" ", F.lit(""), at(1)).alias("right"))
+
+    held = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: F.get(F.col("parts"), i).rlike(CANDIDATE))
+    placed = parts.select("id", F.explode(F.transform(held, near)).alias("p")).select("id", "p.*")
+    cut = placed.withColumns({"tokens": F.regexp_extract_all("part", F.lit(CANDIDATE), F.lit(0)), "between": F.split("part", CANDIDATE, -1)})
+
+    def joined(first: Column, last: Column) -> Column:
+        """What lies between two places of a part, tokens and what is between them in turn."""
+        return F.array_join(F.transform(F.filter(F.sequence(F.lit(0), F.size("tokens")), lambda i: (i >= first) & (i <= last)), lambda i: F.concat(F.get(F.col("between"), i), F.when(i < last, F.get(F.col("tokens"), i)).otherwise(F.lit("")))), "")
+
+    found = cut.select("*", F.posexplode("tokens").alias("k", "token"))
+    k, end = F.col("k"), F.size("tokens")
+    return found.select("id", "pos", "token", F.concat("left", joined(F.lit(0), k)).alias("before"), F.concat(joined(k + 1, end), F.col("right")).alias("after"))
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY) -> list[str]:
