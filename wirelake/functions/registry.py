@@ -4,6 +4,9 @@
 the unit (its start, or the place of an option, absent when the option is); ``var BASE+OFF END`` runs
 to another offset; ``const``, ``mask`` and ``group`` hold no packet bytes. New protocols are added with
 ``register``.
+
+LAYOUT and CONSTANTS are fixed values: the names are the query interface, the places are those of the
+wire formats.
 """
 
 from __future__ import annotations
