@@ -109,7 +109,7 @@ def test_loops_functions_and_recursion():
 
 
 STD = [
-    ("fix", 'import "std.pml"; { ip.ttl = 3; tcp.cksum = 0; fix(); print tcp.error, ip.error; }', ["00"]),
+    ("fix", 'import "std"; { ip.ttl = 3; tcp.cksum = 0; fix(); print tcp.error, ip.error; }', ["00"]),
     ("host", "{ print host(10.0.0.1), host(10.0.0.9), host(02:00:00:00:00:02), host(fe80::1), host_pn(0, 10.0.0.2); }", ["10101"]),
     ("vlan", "{ print vlan_present(); vlan_push(7); print vlan_present(), %hex% eth.vlan0.vid, str_len(pkt); vlan_pop(); print vlan_present(), str_len(pkt); }", ["0", "1" + "00000007" + "63", "059"]),
     ("etype", "{ print etype_is_vlan(ETYPE_S_VLAN), etype_is_vlan(0x800), VXLAN_PORT, MAC_TYPE_MULTICAST; }", ["1047893"]),

@@ -587,7 +587,7 @@ printed_by(
 )
 printed_by(
     "std_tests",
-    'import "std.pml"; { print ip.id + 0, " ", host(10.0.0.5), host(192.168.0.0), host(02:01:00:00:00:03), host_pn(0, ::1), " ", etype_is_vlan(ETYPE_S_VLAN), vlan_present(), pkt_headroom(), pkt_tailroom_pn(0), pkt_headroom_pn(0), pkt_tailroom(), flowid(), " ", VXLAN_PORT, MAC_TYPE_ANY, MAC_TYPE_UNICAST; }',
+    'import "std"; { print ip.id + 0, " ", host(10.0.0.5), host(192.168.0.0), host(02:01:00:00:00:03), host_pn(0, ::1), " ", etype_is_vlan(ETYPE_S_VLAN), vlan_present(), pkt_headroom(), pkt_tailroom_pn(0), pkt_headroom_pn(0), pkt_tailroom(), flowid(), " ", VXLAN_PORT, MAC_TYPE_ANY, MAC_TYPE_UNICAST; }',
     f"SELECT {ID} || ' ' || (user_id = 5)::INTEGER || (code = 0)::INTEGER || (code = 3)::INTEGER || '0 100000-1 478901' AS printed FROM p",
 )
 printed_by(

@@ -272,7 +272,7 @@ class Parser:
             if self.maybe("import"):
                 name = self.take()
                 self.take(";")
-                if name in (b"std.pml", b"std"):
+                if bytes(name if isinstance(name, bytes) else name.encode()).split(b".")[0] == b"std":
                     continue
                 if self.load is None:
                     raise PmlError("no library folder is given")
