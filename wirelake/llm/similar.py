@@ -185,15 +185,33 @@ def exact_links(roots: np.ndarray, fps: np.ndarray, sets: list[np.ndarray], simi
     return spanning(roots, linked)
 
 
+def stars(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places the smallest place that links (i, j) connect it with."""
+    low = np.arange(n)
+    while len(i):
+        least = np.minimum(low[i], low[j])
+        was = low.copy()
+        np.minimum.at(low, i, least)
+        np.minimum.at(low, j, least)
+        low = low[low]
+        if (low == was).all():
+            break
+    return low
+
+
 def _by_bucket(rows: DataFrame, found: Callable[[pd.DataFrame], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
-    """Distinct links (u, v) that found gives, as places, for whole buckets in order of bucket and node."""
+    """Distinct links (u, v) of what found connects, as places, in whole buckets in order of bucket and node.
+
+    Every row is linked to the smallest node it is connected with in its bucket, so buckets that hold
+    the same rows give the same links.
+    """
     rows = rows.repartition("bucket").sortWithinPartitions("bucket", "node")
 
     def ready(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = found(pdf)
         nodes = pdf["node"].to_numpy()
-        a, b = nodes[np.asarray(i, dtype=np.int64)], nodes[np.asarray(j, dtype=np.int64)]
-        return pd.DataFrame({"u": np.maximum(a, b), "v": np.minimum(a, b)}).drop_duplicates()
+        low = stars(len(nodes), *found(pdf))
+        own = np.flatnonzero(low != np.arange(len(nodes)))
+        return pd.DataFrame({"u": nodes[own], "v": nodes[low[own]]}).drop_duplicates()
 
     def fit(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = []
@@ -244,7 +262,8 @@ def settle(groups: DataFrame, payload: DataFrame, found: Callable[[pd.DataFrame]
     """Links (u, v) that connect, in every group, the rows that found would link if it saw all of the group.
 
     groups is a written table (group, node, weight); payload has node and what found reads. A group with
-    more than PART rows or SHINGLES weight is large.
+    more than PART rows or SHINGLES weight is large. Nodes are hashes: the smallest ones, about LEADERS
+    of a group, are its rows that go into every part, and links lead to the smallest node.
     """
     sizes = groups.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.sum("weight").alias("w")).where("n > 1")
     parts = F.ceil(F.greatest(F.col("n") * 2.0 / PART, F.col("w") * 2.0 / SHINGLES)).cast("int")
@@ -252,7 +271,7 @@ def settle(groups: DataFrame, payload: DataFrame, found: Callable[[pd.DataFrame]
     large = small_side(sizes.where("p > 1").select("group", "p", "n"))
     inside = groups.join(large, "group")
     own = inside.select("node", F.xxhash64("group", F.pmod(F.xxhash64("node"), F.col("p"))).alias("bucket"))
-    leads = inside.where(F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < LEADERS)
+    leads = inside.where((F.col("node") / float(1 << 64) + 0.5) * F.col("n") < LEADERS)
     leads = leads.select("node", "group", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p").cast("long") - 1)).alias("k")).select("node", F.xxhash64("group", "k").alias("bucket"))
     small = groups.join(large, "group", "left_anti").join(sizes.where("p = 1").select("group"), "group", "left_semi").select("node", F.xxhash64("group").alias("bucket"))
     dealt = small.unionByName(own.unionByName(leads).distinct())
