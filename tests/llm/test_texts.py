@@ -76,7 +76,7 @@ def test_ids_stay_exact_beside_nulls(spark, stored, tmp_path):
     assert {r.id for r in language_id.predict(docs, language_id.ByteNetwork(["xx", "yy"])).collect()} == own
     assert {r.id for r in toxicity.score(docs, toxicity.Lexicon()).collect()} == own
     assert {r.doc_id for r in toxicity.clean_rows(docs, toxicity.Lexicon()).collect()} == own
-    words = pseudo_likelihood.Vocabulary({}, np.ones(64), np.ones((257, 257)))
+    words = pseudo_likelihood.Vocabulary({}, np.ones(64), np.ones((256, 256)))
     assert {r.id for r in pseudo_likelihood.score(docs, words, pseudo_likelihood.WindowNetwork(np.ones(64))).collect()} == own
 
 
@@ -282,7 +282,7 @@ def brute_log_prob(text, words, net):
         for z, at in ((h @ net.p["c"] + net.p["cb"], y % n), (h @ net.p["o"][y % n] + net.p["ob"][y % n], y // n)):
             total += z[at] - np.log(np.exp(z).sum())
         if y == pseudo_likelihood.UNKNOWN:
-            raw = [256, *text.lower().split()[k].encode(), 256]
+            raw = [255, *text.lower().split()[k].encode(), 255]
             total += sum(words.spelling[a, b] for a, b in zip(raw, raw[1:], strict=False))
     return total
 
@@ -298,15 +298,16 @@ def test_scores_against_brute_force_and_beyond_single_words(spark):
         if len((texts[d] or "").split()) < 600:
             assert got[d].log_prob == pytest.approx(brute_log_prob(texts[d] or "", words, net), rel=1e-3, abs=1e-2)
     share = np.log(words.counts / words.counts.sum())
-    single = sum(float(share[words.encode(pseudo_likelihood.words_of(t))].sum()) + sum(words.spelled(w) for w in pseudo_likelihood.words_of(t) if w not in words.ids) for t in texts.values())
+    single = sum(float(share[words.encode(pseudo_likelihood.words_of(t))].sum()) + float(words.spelled([w for w in pseudo_likelihood.words_of(t) if w not in words.ids]).sum()) for t in texts.values())
     assert sum(r.log_prob for r in got.values()) > single + 0.1 * sum(r.n_words for r in got.values())
 
 
 def test_spelling_is_a_distribution():
     rng = np.random.default_rng(4)
-    words = pseudo_likelihood.Vocabulary({}, np.ones(64), rng.integers(0, 9, (257, 257)).astype(float))
-    assert np.exp(words.spelling).sum(axis=1) == pytest.approx(np.ones(257))
-    assert words.spelled("ab") == pytest.approx(words.spelling[256, 97] + words.spelling[97, 98] + words.spelling[98, 256])
+    words = pseudo_likelihood.Vocabulary({}, np.ones(64), rng.integers(0, 9, (256, 256)).astype(float))
+    p = words.spelling
+    assert np.exp(p).sum(axis=1) == pytest.approx(np.ones(256))
+    assert words.spelled(["ab", "b"]) == pytest.approx([p[255, 97] + p[97, 98] + p[98, 255], p[255, 98] + p[98, 255]]) and len(words.spelled([])) == 0
 
 
 @pytest.mark.parametrize("words", [1, 2, 7, 8, 101])

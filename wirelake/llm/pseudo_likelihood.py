@@ -43,8 +43,8 @@ FAN_IN = 32
 UNKNOWN, EDGE = 0, 1
 STEP = 8192
 CHUNK = 8192
-SPELLED = 100_000
-END = 256
+END = 255  # no byte of a text in UTF-8
+MARK = bytes([END])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -56,6 +56,14 @@ def classes_for(words: int) -> int:
     return max(8, int(GROWTH * words**0.25))
 
 
+def byte_pairs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each byte of words and the one after it, with END around every word; where each word's pairs start."""
+    raw = [w.encode() for w in words]
+    codes = np.frombuffer(MARK + MARK.join(raw) + MARK, dtype=np.uint8)
+    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
+    return codes[:-1], codes[1:], np.cumsum(sizes) - sizes
+
+
 class Vocabulary:
     """Word ids from 2 on, their counts by id, and the spelling of all other words."""
 
@@ -64,24 +72,13 @@ class Vocabulary:
         self.classes = int(round(len(counts) ** 0.5))
         by = pairs + 0.01
         self.spelling = np.log(by / by.sum(axis=1, keepdims=True))
-        self._known: dict[str, float] = {}
 
-    def __getstate__(self):
-        return self.__dict__ | {"_known": {}}
-
-    def spelled(self, word: str) -> float:
-        """Log-probability of a word's bytes and its end."""
-        got = self._known.get(word)
-        if got is None:
-            raw = np.frombuffer(word.encode(), dtype=np.uint8).astype(np.int64)
-            got = float(self.spelling[np.r_[END, raw], np.r_[raw, END]].sum())
-            if len(self._known) >= SPELLED:
-                self._known.clear()
-            self._known[word] = got
-        return got
-
-    def forget(self) -> None:
-        self._known.clear()
+    def spelled(self, words: list[str]) -> np.ndarray:
+        """Log-probability of each word's bytes and its end."""
+        if not words:
+            return np.zeros(0)
+        a, b, starts = byte_pairs(words)
+        return np.add.reduceat(self.spelling[a, b], starts)
 
     def encode(self, words: list[str]) -> np.ndarray:
         get = self.ids.get
@@ -113,18 +110,20 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     counts[UNKNOWN] = max(1, total - sum(r["n"] for r in top))
 
     def spell(batches):
-        pairs = np.zeros((257, 257))
+        pairs = np.zeros(1 << 16)
         for pdf in batches:
-            for w, n in zip(pdf["w"], pdf["n"], strict=True):
-                if w not in ids:
-                    raw = np.frombuffer(w.encode(), dtype=np.uint8).astype(np.int64)
-                    np.add.at(pairs, (np.r_[END, raw], np.r_[raw, END]), n)
-        a, b = np.nonzero(pairs)
-        yield pd.DataFrame({"a": a, "b": b, "n": pairs[a, b]})
-
-    pairs = np.zeros((257, 257))
-    for r in counted.mapInPandas(spell, "a int, b int, n double").groupBy("a", "b").agg(F.sum("n").alias("n")).collect():
-        pairs[r["a"], r["b"]] = r["n"]
+            rest = pdf[~pdf["w"].isin(ids)]
+            if len(rest):
+                x, y, starts = byte_pairs(list(rest["w"]))
+                sizes = np.diff(np.r_[starts, len(x)])
+                pairs += np.bincount(x.astype(np.int64) << 8 | y, weights=np.repeat(rest["n"].to_numpy(float), sizes), minlength=1 << 16)
+        at = np.flatnonzero(pairs)
+        yield pd.DataFrame({"p": at, "n": pairs[at]})
+
+    pairs = np.zeros(1 << 16)
+    for r in counted.mapInPandas(spell, "p int, n double").groupBy("p").agg(F.sum("n").alias("n")).collect():
+        pairs[r["p"]] = r["n"]
+    pairs = pairs.reshape(256, 256)
     return Vocabulary(ids, counts, pairs)
 
 
@@ -331,16 +330,15 @@ def score(docs: DataFrame, words: Vocabulary, network: WindowNetwork, id_col: st
             y, x = np.concatenate(own), np.concatenate([contexts(t) for t in own])
             cuts = np.cumsum([0, *map(len, own)])
             each = network.log_probs(x, y)
-            for k, t in enumerate(own):
-                for at in np.flatnonzero(t == UNKNOWN).tolist():
-                    each[cuts[k] + at] += words.spelled(split[k][at])
+            strange = [w for s, t in zip(split, own, strict=True) for w, u in zip(s, (t == UNKNOWN).tolist(), strict=True) if u]
+            each[y == UNKNOWN] += words.spelled(strange)
             total = np.concatenate([[0.0], np.cumsum(each)])
             sums += list(total[cuts[1:]] - total[cuts[:-1]])
             sizes += [len(t) for t in own]
             unknown += [int((t == UNKNOWN).sum()) for t in own]
         return {"n_words": sizes, "n_unknown": unknown, "log_prob": sums}
 
-    got = map_texts(rows, made, done=words.forget, n_words="long", n_unknown="long", log_prob="double")
+    got = map_texts(rows, made, n_words="long", n_unknown="long", log_prob="double")
     return got.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
