@@ -41,6 +41,15 @@ def test_exact_dedup_splits_texts_that_share_a_digest(spark, stored, monkeypatch
     assert {(r.id, r.keep_id, r.group_size, r.kept) for r in got} == {(1, 3, 2, False), (2, 2, 1, True), (3, 3, 2, True)}
 
 
+def test_exact_dedup_splits_a_shared_digest_beside_null_and_repeated_ids(spark, stored, monkeypatch):
+    rows = [(None, "b b", 0, ""), (None, "bb", 0, ""), (4, " bb", 0, ""), (4, "bb ", 0, ""), (7, None, 0, ""), (2, "", 0, ""), (9, "b", 0, "")]
+    monkeypatch.setattr(exact_dedup.F, "sha2", lambda col, bits: exact_dedup.F.lit("00"))
+    got = exact_dedup.exact_dedup(stored(rows, SCHEMA)).collect()
+    monkeypatch.undo()
+    assert sorted((r.id or 0, r.keep_id, r.group_size) for r in got) == [(0, 4, 4), (0, 4, 4), (2, 2, 2), (4, 4, 4), (4, 4, 4), (7, 2, 2), (9, 9, 1)]
+    assert sorted(r.id for r in got if r.kept) == [2, 4, 9]
+
+
 def test_exact_dedup_keeps_columns_and_takes_empty_tables(stored):
     docs = stored(ODD, SCHEMA)
     kept = exact_dedup.kept_rows(docs)

@@ -123,10 +123,8 @@ def _split_again(found: DataFrame, texts: DataFrame, met: DataFrame) -> DataFram
     """Groups whose digest stands for more than one text, grouped by the text itself."""
     odd = found.join(met, "digest", "left_semi")
     full = odd.join(texts.select("id", "uid", "norm"), (odd["uid"] == texts["uid"]) & odd["id"].eqNullSafe(texts["id"])).select(odd["*"], "norm")
-    best = full.groupBy("digest", "norm").agg(
-        F.count(F.lit(1)).alias("n"), best(),
-    )
-    again = full.join(best, ["digest", "norm"]).select(
+    by_text = full.groupBy("digest", "norm").agg(F.count(F.lit(1)).alias("n"), best())
+    again = full.join(by_text, ["digest", "norm"]).select(
         "digest", "id", "uid", "n_cp", "locator", F.col("n").alias("group_size"), (-F.col("best.neg_id")).alias("keep_id"),
         F.col("best.uid").alias("keep_uid"), F.col("best.locator").alias("keep_locator"), (F.col("uid") == F.col("best.uid")).alias("kept"),
     )
