@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import duckdb
@@ -272,6 +273,75 @@ def test_gradients_against_differences():
             assert (up - down) / (2 * h) == pytest.approx(grad.reshape(-1)[at], abs=1e-5), name
 
 
+def plain_log_probs(net, x, y):
+    """Two softmaxes as they are written: a pass for the bias, one for the largest output of each row, and so on."""
+    p, n, got = net.p, net.classes, np.zeros(len(y))
+    h = np.tanh(p["e"][x].reshape(len(y), -1) @ p["w"] + p["b"])
+
+    def log_at(z, at):
+        z -= z.max(axis=1, keepdims=True)
+        picked = z[np.arange(len(z)), at]
+        return picked - np.log(np.exp(z, out=z).sum(axis=1))
+
+    for c in range(n):
+        own = np.flatnonzero(y % n == c)
+        got[own] = log_at(h[own] @ p["c"] + p["cb"], y[own] % n) + log_at(h[own] @ p["o"][c] + p["ob"][c], y[own] // n)
+    return got
+
+
+def random_network(classes, scale):
+    rng = np.random.default_rng(5)
+    net = pseudo_likelihood.WindowNetwork(rng.integers(1, 50, classes**2).astype(float))
+    for k in "co":
+        net.p[k] = rng.normal(0, scale, net.p[k].shape).astype(np.float32)
+    ids = rng.integers(0, classes**2, 60_000).astype(np.int32)
+    return net, pseudo_likelihood.contexts(ids), ids
+
+
+@pytest.mark.parametrize("scale", [0.1, 1, 60])
+def test_log_probs_and_gradients_at_small_and_large_weights(scale):
+    net, x, y = random_network(9, scale)
+    exact = pseudo_likelihood.WindowNetwork(np.ones(81))
+    exact.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    assert net.log_probs(x, y) == pytest.approx(plain_log_probs(exact, x, y), rel=1e-3, abs=1e-2)
+    loss, g = net.gradients(x[:500], y[:500])
+    assert loss == pytest.approx(-net.log_probs(x[:500], y[:500]).mean(), rel=1e-3)
+    assert all(np.isfinite(v).all() for v in [*(v for k, v in g.items() if k != "e"), g["e"][1]])
+
+
+def test_scoring_takes_less_time_than_plain_softmaxes():
+    net, x, y = random_network(75, 0.1)
+    took = {net.log_probs: [], lambda x, y: plain_log_probs(net, x, y): []}
+    for _ in range(5):
+        for run, times in took.items():
+            began = time.process_time()
+            run(x, y)
+            times.append(time.process_time() - began)
+    fast, plain = (min(t) for t in took.values())
+    assert fast < 0.7 * plain
+
+
+def test_texts_are_encoded_once_with_wide_ids_and_spellings(stored):
+    size = 257**2
+    words = pseudo_likelihood.Vocabulary({"x": size - 1, "é": 70}, np.ones(size), np.random.default_rng(1).integers(0, 9, (256, 256)).astype(float))
+    docs = stored([(1, "X odd É naïve x", 0.0, ""), (2, None, 0.0, ""), (3, " ", 0.0, ""), (BIG, "odd", 0.0, "")], SCHEMA)
+    got = {r.id: r for r in pseudo_likelihood.encoded(docs, words).collect()}
+    assert np.frombuffer(got[1].words, dtype=np.uint32).tolist() == [size - 1, 0, 70, 0, size - 1]
+    assert [len(got[k].words) for k in (2, 3, BIG)] == [0, 0, 4]
+
+    def spelled(word):
+        raw = [255, *word.encode(), 255]
+        return sum(words.spelling[a, b] for a, b in zip(raw, raw[1:], strict=False))
+
+    assert [got[k].spelled for k in (1, 2, 3, BIG)] == pytest.approx([spelled("odd") + spelled("naïve"), 0, 0, spelled("odd")])
+
+
+def test_empty_table_is_fitted_and_scored(stored):
+    docs = stored([], SCHEMA)
+    words, net = pseudo_likelihood.fit(docs)
+    assert pseudo_likelihood.score(docs, words, net).count() == 0
+
+
 def brute_log_prob(text, words, net):
     """Each word's probability from the weights, one word at a time."""
     own, total = words.encode(text.lower().split()), 0.0

@@ -13,7 +13,8 @@ Training is by rounds of local gradient descent: each task starts from the same
 own documents (every ``STRIDE``-th word is a target, from a place that differs by document and moves by
 one each round, so over the rounds every word is a target once), and returns its weights; these are
 averaged by their numbers of targets along a tree, so no task and not the driver gets more than
-``FAN_IN`` of them. The result thus depends on how the input is dealt over tasks.
+``FAN_IN`` of them. The result thus depends on how the input is dealt over tasks. Texts are split and
+spelled once: their words' ids are written to the shared folder, for the rounds and the scores.
 
 Cases: a null or empty text has no words, a sum of 0 and no mean. Rows that repeat an id are scored
 each. An empty table gives an empty result.
@@ -23,7 +24,8 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import islice
+from collections.abc import Iterable, Iterator
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -31,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelake.llm.common import map_texts, materialize, small_batches
+from wirelake.llm.common import free, map_texts, materialize, small_batches
 
 SIDE = 2
 GROWTH = 0.7
@@ -39,12 +41,14 @@ DIM = 16
 HIDDEN = 32
 ROUNDS = 2
 STRIDE = ROUNDS
+RATE = 0.05
 FAN_IN = 32
 UNKNOWN, EDGE = 0, 1
 STEP = 8192
-CHUNK = 8192
+CHUNK = 65536
+ROWS = 2048  # of softmax input at once, so that it stays in a core's cache
+SAFE = 80.0  # exp(-SAFE) is an ordinary 32-bit number
 END = 255  # no byte of a text in UTF-8
-MARK = bytes([END])
 
 
 def words_of(text: str | None) -> list[str]:
@@ -57,11 +61,11 @@ def classes_for(words: int) -> int:
 
 
 def byte_pairs(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each byte of words and the one after it, with END around every word; where each word's pairs start."""
-    raw = [w.encode() for w in words]
-    codes = np.frombuffer(MARK + MARK.join(raw) + MARK, dtype=np.uint8)
-    sizes = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw)) + 1
-    return codes[:-1], codes[1:], np.cumsum(sizes) - sizes
+    """Each byte of words (that hold no space) and the one after it, with END around every word; where each word's pairs start."""
+    codes = np.frombuffer(f" {' '.join(words)} ".encode(), dtype=np.uint8).copy()
+    ends = np.flatnonzero(codes == ord(" "))
+    codes[ends] = END
+    return codes[:-1], codes[1:], ends[:-1]
 
 
 class Vocabulary:
@@ -78,11 +82,10 @@ class Vocabulary:
         if not words:
             return np.zeros(0)
         a, b, starts = byte_pairs(words)
-        return np.add.reduceat(self.spelling[a, b], starts)
+        return np.add.reduceat(self.spelling.ravel().take(a.astype(np.intp) << 8 | b), starts)
 
     def encode(self, words: list[str]) -> np.ndarray:
-        get = self.ids.get
-        return np.array([get(w, UNKNOWN) for w in words], dtype=np.int32)
+        return np.fromiter(map(self.ids.get, words, repeat(UNKNOWN)), dtype=np.int32, count=len(words))
 
 
 def vocabulary(docs: DataFrame) -> Vocabulary:
@@ -127,11 +130,33 @@ def vocabulary(docs: DataFrame) -> Vocabulary:
     return Vocabulary(ids, counts, pairs)
 
 
+def id_type(size: int) -> type:
+    """The narrowest type of stored word ids of a vocabulary."""
+    return np.uint16 if size <= 1 << 16 else np.uint32
+
+
+def by_words(texts: Iterable) -> Iterator[list]:
+    """Texts, as their words or ids, in lists of about CHUNK words."""
+    part, held = [], 0
+    for t in texts:
+        part.append(t)
+        held += len(t)
+        if held >= CHUNK:
+            yield part
+            part, held = [], 0
+    if part:
+        yield part
+
+
 def contexts(ids: np.ndarray, side: int = SIDE) -> np.ndarray:
     """The neighbours of each place, EDGE beyond the text's ends."""
     padded = np.full(len(ids) + 2 * side, EDGE, dtype=np.int32)
     padded[side : side + len(ids)] = ids
-    return np.stack([padded[k : k + len(ids)] for k in range(2 * side + 1) if k != side], axis=1)
+    out = np.empty((len(ids), 2 * side), dtype=np.int32)
+    for k in range(2 * side):
+        at = k + (k >= side)
+        out[:, k] = padded[at : at + len(ids)]
+    return out
 
 
 def targets(ids: np.ndarray, stride: int, seed: int) -> slice:
@@ -139,6 +164,15 @@ def targets(ids: np.ndarray, stride: int, seed: int) -> slice:
     return slice((zlib.crc32(ids.tobytes()) + seed) % stride, None, stride)
 
 
+def summed_products(a: np.ndarray, b: np.ndarray, rows: int = 128) -> np.ndarray:
+    """a.T @ b by batches of rows; small products are faster here than one long one."""
+    n = len(a) // rows * rows
+    if not n:
+        return a.T @ b
+    out = np.matmul(a[:n].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1), b[:n].reshape(-1, rows, b.shape[1])).sum(axis=0)
+    return out + a[n:].T @ b[n:] if n < len(a) else out
+
+
 class WindowNetwork:
     """Weights and steps; word id w belongs to class w % classes at place w // classes."""
 
@@ -157,25 +191,49 @@ class WindowNetwork:
             "ob": np.log(by / by.sum(axis=1, keepdims=True)).astype(f),
         }
         self._tables = None
+        self._ones, self._steps = np.ones(n, f), np.arange(ROWS) * n
 
     def __getstate__(self):
         return self.__dict__ | {"_tables": None}
 
-    def hidden(self, x: np.ndarray) -> np.ndarray:
-        """The hidden layer, from a table of each neighbour's share by word and place."""
-        if self._tables is None:
-            self._tables = [self.p["e"] @ self.p["w"][k * DIM : (k + 1) * DIM] for k in range(2 * SIDE)]
-        a = self._tables[0][x[:, 0]] + self.p["b"]
-        for k in range(1, 2 * SIDE):
-            a += self._tables[k][x[:, k]]
-        return np.tanh(a, out=a)
+    def hidden(self, x: np.ndarray, tables: list[np.ndarray]) -> np.ndarray:
+        """The hidden layer and a one, from a table of each neighbour's share by word and place."""
+        out = np.ones((len(x), HIDDEN + 1), dtype=tables[0].dtype)
+        for at in range(0, len(x), ROWS):
+            near = x[at : at + ROWS]
+            a = tables[0].take(near[:, 0], axis=0)
+            for k in range(1, 2 * SIDE):
+                a += tables[k].take(near[:, k], axis=0)
+            np.tanh(a, out=out[at : at + ROWS, :HIDDEN])
+        return out
 
     @staticmethod
-    def _log_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _with_bias(w: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights with the bias as a last row, less a shift that keeps exp from overflowing; where it can't underflow to no sum either.
+
+        The hidden layer lies within -1 and 1, so an output is at most the sum of its weights' sizes from its bias.
+        """
+        reach = np.abs(w).sum(axis=-2)
+        top, low = (b + reach).max(axis=-1, keepdims=True), (b - reach).max(axis=-1, keepdims=True)
+        return np.concatenate([w, (b - top)[..., None, :]], axis=-2), (top - low)[..., 0] < SAFE
+
+    def _spread(self, h: np.ndarray, w: np.ndarray, safe: bool, at: np.ndarray, got: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Softmax of each row before division and the flat place of ``at`` in it; got takes the output there and the divisors."""
+        z = h @ w
+        if not safe:
+            z -= z.max(axis=1, keepdims=True)
+        at = self._steps[: len(z)] + at
+        got[0] = z.reshape(-1).take(at)
+        np.exp(z, out=z)
+        np.matmul(z, self._ones, out=got[1])
+        return z, at
+
+    def _log_at(self, h: np.ndarray, w: np.ndarray, safe: bool, at: np.ndarray) -> np.ndarray:
         """Log-softmax of each row at one place."""
-        z -= z.max(axis=1, keepdims=True)
-        got = z[np.arange(len(z)), at]
-        return got - np.log(np.exp(z, out=z).sum(axis=1))
+        got = np.empty((2, len(h)), dtype=h.dtype)
+        for k in range(0, len(h), ROWS):
+            self._spread(h[k : k + ROWS], w, safe, at[k : k + ROWS], got[:, k : k + ROWS])
+        return got[0] - np.log(got[1])
 
     def _by_class(self, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Order by class, and the bounds of each class in it."""
@@ -186,53 +244,57 @@ class WindowNetwork:
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Log-probability of each target y given its neighbours x."""
         p, out = self.p, np.empty(len(y), dtype=np.float64)
+        if self._tables is None:
+            tables = [p["e"] @ p["w"][k * DIM : (k + 1) * DIM] for k in range(2 * SIDE)]
+            tables[0] += p["b"]
+            self._tables = tables, self._with_bias(p["c"], p["cb"]), self._with_bias(p["o"], p["ob"])
+        tables, (wc, safe), (wo, each_safe) = self._tables
         for at in range(0, len(y), CHUNK):
             order, bounds = self._by_class(y[at : at + CHUNK])
-            t, h = y[at : at + CHUNK][order], self.hidden(x[at : at + CHUNK][order])
-            got = self._log_at(h @ p["c"] + p["cb"], t % self.classes)
+            t, h = y[at : at + CHUNK][order], self.hidden(x[at : at + CHUNK][order], tables)
+            got = self._log_at(h, wc, safe, t % self.classes)
             place = t // self.classes
             for c in np.flatnonzero(np.diff(bounds)):
                 a, b = bounds[c], bounds[c + 1]
-                got[a:b] += self._log_at(h[a:b] @ p["o"][c] + p["ob"][c], place[a:b])
+                got[a:b] += self._log_at(h[a:b], wo[c], each_safe[c], place[a:b])
             out[at + order] = got
         return out
 
-    @staticmethod
-    def _error(z: np.ndarray, at: np.ndarray, n: int) -> tuple[float, np.ndarray]:
-        """Summed negative log-probability at one place of each row, and its gradient over n."""
-        rows = np.arange(len(z))
-        z -= z.max(axis=1, keepdims=True)
-        picked = z[rows, at].sum(dtype=np.float64)
-        np.exp(z, out=z)
-        total = z.sum(axis=1, keepdims=True)
-        z /= total
-        z[rows, at] -= 1
-        z *= np.float32(1 / n)
-        return float(np.log(total).sum(dtype=np.float64) - picked), z
+    def _error(self, h: np.ndarray, w: np.ndarray, safe: bool, at: np.ndarray, got: np.ndarray, g: np.ndarray, dh: np.ndarray, n: int) -> None:
+        """What _spread finds in got; gradients of the mean over n of the negative log-probability at one place of each row are added to g (by w) and dh."""
+        inner = w[:HIDDEN].T
+        for k in range(0, len(h), ROWS):
+            part, own = h[k : k + ROWS], got[:, k : k + ROWS]
+            z, flat = self._spread(part, w, safe, at[k : k + ROWS], own)
+            z.reshape(-1)[flat] -= own[1]
+            share = (1 / (n * own[1]))[:, None]
+            g += summed_products(part * share, z)
+            dh[k : k + ROWS] += (z @ inner) * share
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-probability and its gradients; ``e`` as (ids, rows), each id once."""
         p, n = self.p, len(y)
         order, bounds = self._by_class(y)
         x, y = x[order], y[order]
-        e = p["e"][x].reshape(n, -1)
-        h = np.tanh(e @ p["w"] + p["b"])
-        loss, d = self._error(h @ p["c"] + p["cb"], y % self.classes, n)
-        g = {"c": h.T @ d, "cb": d.sum(axis=0), "o": np.zeros_like(p["o"]), "ob": np.zeros_like(p["ob"])}
-        dh, place = d @ p["c"].T, y // self.classes
-        for c in np.flatnonzero(np.diff(bounds)):
-            a, b = bounds[c], bounds[c + 1]
-            more, d = self._error(h[a:b] @ p["o"][c] + p["ob"][c], place[a:b], n)
-            loss += more
-            g["o"][c], g["ob"][c] = h[a:b].T @ d, d.sum(axis=0)
-            dh[a:b] += d @ p["o"][c].T
+        e = p["e"].take(x, axis=0).reshape(n, -1)
+        h = np.ones((n, HIDDEN + 1), dtype=e.dtype)
+        np.tanh(e @ p["w"] + p["b"], out=h[:, :HIDDEN])
+        (wc, safe), (wo, each_safe) = self._with_bias(p["c"], p["cb"]), self._with_bias(p["o"], p["ob"])
+        gc, go, dh = np.zeros_like(wc), np.zeros_like(wo), np.zeros((n, HIDDEN), dtype=e.dtype)
+        first, second = np.empty((2, n), dtype=e.dtype), np.empty((2, n), dtype=e.dtype)
+        self._error(h, wc, safe, y % self.classes, first, gc, dh, n)
+        place, bounds = y // self.classes, bounds.tolist()
+        for c, (a, b) in enumerate(zip(bounds, bounds[1:], strict=False)):
+            if a < b:
+                self._error(h[a:b], wo[c], each_safe[c], place[a:b], second[:, a:b], go[c], dh[a:b], n)
+        loss = sum(float((np.log(total) - picked).sum(dtype=np.float64)) for picked, total in (first, second))
+        g = {"c": gc[:-1], "cb": gc[-1], "o": go[:, :-1], "ob": go[:, -1]}
+        h = h[:, :HIDDEN]
         da = dh * (1 - h * h)
-        g["w"], g["b"] = e.T @ da, da.sum(axis=0)
-        ids, rows = x.ravel(), (da @ p["w"].T).reshape(-1, DIM)
-        order = np.argsort(ids.astype(np.uint16) if len(p["e"]) <= 1 << 16 else ids, kind="stable")
-        ids = ids[order]
-        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        g["e"] = (ids[starts], np.add.reduceat(rows[order], starts, axis=0))
+        g["w"], g["b"] = summed_products(e, da), da.sum(axis=0)
+        ids, rows = x.T.ravel().astype(np.intp), (p["w"] @ da.T).reshape(2 * SIDE, DIM, n)
+        met = np.flatnonzero(np.bincount(ids))
+        g["e"] = (met, np.stack([np.bincount(ids, rows[:, k].ravel())[met] for k in range(DIM)], axis=1).astype(e.dtype))
         return loss / n, g
 
     def descend(self, x: np.ndarray, y: np.ndarray, state: dict, rate: float) -> float:
@@ -245,8 +307,11 @@ class WindowNetwork:
         self.p["e"][ids] -= np.float32(rate) * rows / np.sqrt(s[ids])
         for k, v in g.items():
             s = state.setdefault(k, np.full_like(self.p[k], 1e-8))
-            s += v * v
-            self.p[k] -= np.float32(rate) * v / np.sqrt(s)
+            t = v * v
+            s += t
+            np.divide(v, np.sqrt(s, out=t), out=t)
+            t *= np.float32(rate)
+            self.p[k] -= t
         return loss
 
     def packed(self) -> bytes:
@@ -268,8 +333,9 @@ def _average(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": [int(pdf["node"].iloc[0]) // FAN_IN], "n": [int(n.sum())], "weights": [total.astype(np.float32).tobytes()]})
 
 
-def _round(docs: DataFrame, words: Vocabulary, start: WindowNetwork, rate: float, stride: int, seed: int) -> WindowNetwork:
-    """Every task descends on its own documents; the weights come back averaged."""
+def _round(rows: DataFrame, start: WindowNetwork, rate: float, stride: int, seed: int) -> WindowNetwork:
+    """Every task descends on its own documents (words, as encoded gives them); the weights come back averaged."""
+    kind = id_type(len(start.p["e"]))
 
     def local(batches):
         own, state, seen = start.unpacked(np.frombuffer(start.packed(), dtype=np.float32)), {}, 0
@@ -283,8 +349,8 @@ def _round(docs: DataFrame, words: Vocabulary, start: WindowNetwork, rate: float
                 own.descend(x[part], y[part], state, rate)
 
         for pdf in batches:
-            for text in pdf["text"]:
-                t = words.encode(words_of(text))
+            for blob in pdf["words"]:
+                t = np.frombuffer(blob, dtype=kind).astype(np.int32)
                 if len(t):
                     at = targets(t, stride, seed)
                     xs.append(contexts(t)[at])
@@ -300,7 +366,7 @@ def _round(docs: DataFrame, words: Vocabulary, start: WindowNetwork, rate: float
             yield pd.DataFrame({"node": [TaskContext.get().partitionId()], "n": [seen], "weights": [own.packed()]})
 
     schema = "node long, n long, weights binary"
-    got = materialize(docs.select("text").mapInPandas(local, schema), "weights")
+    got = materialize(rows.select("words").mapInPandas(local, schema), "weights")
     while (left := got.count()) > 1:
         got = materialize(got.withColumn("__g", F.floor(F.col("node") / FAN_IN)).groupBy("__g").applyInPandas(lambda pdf: _average(pdf[["node", "n", "weights"]]), schema), "weights")
         if left <= FAN_IN and got.count() > 1:
@@ -309,40 +375,68 @@ def _round(docs: DataFrame, words: Vocabulary, start: WindowNetwork, rate: float
     return start if last is None else start.unpacked(np.frombuffer(last["weights"], dtype=np.float32))
 
 
-def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = 0.05, stride: int = STRIDE) -> tuple[Vocabulary, WindowNetwork]:
-    """Vocabulary and network of docs (text)."""
+def encoded(docs: DataFrame, words: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, words (the ids of every whole text's words) and spelled (the log-probability of its unknown words' bytes)."""
+    rows, kind = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), id_type(len(words.counts))
+
+    def made(texts: list[str | None]) -> dict:
+        blobs, sums = [], []
+        for split in by_words(map(words_of, texts)):
+            flat = list(chain.from_iterable(split))
+            own, cuts = words.encode(flat), np.cumsum([0, *map(len, split)])
+            odd, each = own == UNKNOWN, np.zeros(len(own) + 1)
+            each[1:][odd] = words.spelled(list(compress(flat, odd.tolist())))
+            sums += np.diff(np.cumsum(each)[cuts]).tolist()
+            own = own.astype(kind)
+            blobs += [own[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
+        return {"words": blobs, "spelled": sums}
+
+    return map_texts(rows, made, words="binary", spelled="double")
+
+
+def _fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, stride: int = STRIDE) -> tuple[Vocabulary, WindowNetwork, DataFrame]:
+    """Vocabulary, network and encoded rows of docs (doc_id, text)."""
     words = vocabulary(docs)
-    network = WindowNetwork(words.counts)
+    rows, network = materialize(encoded(docs, words), "encoded"), WindowNetwork(words.counts)
     for k in range(rounds):
-        network = _round(docs, words, network, rate / (1 + k), stride, k)
+        network = _round(rows, network, rate / (1 + k), stride, k)
+    return words, network, rows
+
+
+def fit(docs: DataFrame, rounds: int = ROUNDS, rate: float = RATE, stride: int = STRIDE) -> tuple[Vocabulary, WindowNetwork]:
+    """Vocabulary and network of docs (text)."""
+    words, network, rows = _fit(docs.select("text", F.lit(0).alias("doc_id")), rounds, rate, stride)
+    free(rows)
     return words, network
 
 
-def score(docs: DataFrame, words: Vocabulary, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_words, n_unknown, log_prob (sum) and mean_log_prob of every whole text."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _scored(rows: DataFrame, network: WindowNetwork) -> DataFrame:
+    """Scores of encoded texts."""
+    kind = id_type(len(network.p["e"]))
 
-    def made(texts: list[str | None]) -> dict:
-        rest, sums, sizes, unknown = iter(texts), [], [], []
-        while part := list(islice(rest, 32)):
-            split = [words_of(t) for t in part]
-            own = [words.encode(t) for t in split]
+    def made(blobs: list[bytes]) -> dict:
+        sums, sizes, unknown = [], [], []
+        for own in by_words(np.frombuffer(b, dtype=kind).astype(np.int32) for b in blobs):
             y, x = np.concatenate(own), np.concatenate([contexts(t) for t in own])
             cuts = np.cumsum([0, *map(len, own)])
-            each = network.log_probs(x, y)
-            strange = [w for s, t in zip(split, own, strict=True) for w, u in zip(s, (t == UNKNOWN).tolist(), strict=True) if u]
-            each[y == UNKNOWN] += words.spelled(strange)
-            total = np.concatenate([[0.0], np.cumsum(each)])
-            sums += list(total[cuts[1:]] - total[cuts[:-1]])
-            sizes += [len(t) for t in own]
-            unknown += [int((t == UNKNOWN).sum()) for t in own]
+            total = np.concatenate([[0.0], np.cumsum(network.log_probs(x, y))])
+            strange = np.concatenate([[0], np.cumsum(y == UNKNOWN)])
+            sums += np.diff(total[cuts]).tolist()
+            sizes += np.diff(cuts).tolist()
+            unknown += np.diff(strange[cuts]).tolist()
         return {"n_words": sizes, "n_unknown": unknown, "log_prob": sums}
 
-    got = map_texts(rows, made, n_words="long", n_unknown="long", log_prob="double")
+    got = map_texts(rows, made, "words", n_words="long", n_unknown="long", log_prob="double")
+    got = got.withColumn("log_prob", F.col("log_prob") + F.col("spelled")).drop("spelled")
     return got.withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")))
 
 
+def score(docs: DataFrame, words: Vocabulary, network: WindowNetwork, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_words, n_unknown, log_prob (sum) and mean_log_prob of every whole text."""
+    return _scored(encoded(docs, words, id_col, text_col), network)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    words, network = fit(docs)
-    return score(docs, words, network).withColumnRenamed("id", "doc_id")
+    _, network, rows = _fit(docs)
+    return _scored(rows, network).withColumnRenamed("id", "doc_id")
