@@ -280,3 +280,16 @@ def test_near_copies_of_odd_rows(stored):
     kept = similar.kept_rows(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r["__uid"]) for r in kept.collect()) == [(7, 3), (9, None), (10, 1), (2**60 + 1, 2)]
+
+
+def test_sets_of_rows_in_no_loose_class_stay_where_they_are(stored, monkeypatch):
+    """Whole sets are gone before rows are linked; only those of rows that are near another are compared."""
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(60)) for _ in range(40)]
+    texts += [f"{t} more" for t in texts[:6]]
+    seen, settle = [], similar.settle
+    monkeypatch.setattr(similar, "settle", lambda g, payload, found, name: seen.append((payload.columns, payload.count())) or settle(g, payload, found, name))
+    docs = stored([(k, t, 0, "") for k, t in enumerate(texts)], SCHEMA)
+    assert sorted(r.doc_id for r in similar.kept_rows(docs).collect()) == list(range(40))
+    assert "hashes" not in seen[0][0] and seen[0][1] == 46
+    assert "hashes" in seen[1][0] and seen[1][1] == 12

@@ -322,7 +322,11 @@ def keyed(sets: DataFrame, heavy: np.ndarray, similarity: float) -> DataFrame:
 
 
 def similar_classes(docs: DataFrame, text_col: str = "text", uid_col: str = "__uid", size: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the rows that have a near duplicate; node is the row's uid."""
+    """(node, root) of the rows that have a near duplicate; node is the row's uid.
+
+    Whole shingle sets are on disk only until the keys are taken. Those of rows in loose classes are
+    made again from the texts, so comparing them moves these rows and no others.
+    """
     rows = docs.select(F.col(uid_col).alias("node"), F.col(text_col).alias("text"))
     every = materialize(shingle_sets(rows, size), "sets")
     equal = materialize(every.groupBy("same").agg(F.min("node").alias("v"), F.count(F.lit(1)).alias("c")).where("c > 1").select("same", "v"), "equal")
@@ -334,12 +338,16 @@ def similar_classes(docs: DataFrame, text_col: str = "text", uid_col: str = "__u
     if len(often):
         free(keys)
         keys = materialize(keyed(sets, np.sort(often["group"].to_numpy().view(np.uint64)), similarity), "keys")
-    near = components(settle(keys, sets.select("node", *_PRINT), loose, "loose"))
+    prints = materialize(sets.select("node", "n", *_PRINT), "prints")
+    free(every)
+    near = components(settle(keys, prints.select("node", *_PRINT), loose, "loose"))
     free(keys)
-    groups = materialize(sets.select("node", "n").join(near, "node").select(F.col("root").alias("group"), "node", F.col("n").alias("weight")), "near")
-    links = settle(groups, sets.select("node", "hashes", *_PRINT), exact(similarity), "exact")
+    groups = materialize(prints.select("node", "n").join(near, "node").select(F.col("root").alias("group"), "node", F.col("n").alias("weight")), "near")
+    again = rows.join(small_side(groups.select("node")), "node", "left_semi")
+    whole = materialize(shingle_sets(again, size).select("node", "hashes", *_PRINT), "compared")
+    links = settle(groups, whole, exact(similarity), "exact")
     classes = components(links.unionByName(copies))
-    free(every, groups)
+    free(prints, groups, whole)
     return classes
 
 
