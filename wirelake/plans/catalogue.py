@@ -46,8 +46,13 @@ def heads(spark, sf) -> DataFrame:
     return with_headers(packets(spark, sf))
 
 
+def dealt(spark, sf, checksums=False) -> DataFrame:
+    """Packets for Python, dealt over all tasks."""
+    return packets(spark, sf, checksums, even=True)
+
+
 def whole(spark, sf, checksums=False) -> DataFrame:
-    return with_pdus(packets(spark, sf, checksums))
+    return with_pdus(dealt(spark, sf, checksums))
 
 
 SPORT = "CASE WHEN port IS NULL THEN NULL WHEN back = 0 THEN cport ELSE port END"
@@ -117,7 +122,7 @@ def implicit_members(spark, sf):
 @query("SELECT pkt_no, 4::BIGINT AS vers, 5::BIGINT AS ihl, 0::BIGINT AS df, 0::BIGINT AS fragoff, CASE WHEN proto = 6 THEN 5 END::BIGINT AS doff, CASE WHEN proto = 6 THEN 1 END::BIGINT AS psh, CASE WHEN proto = 6 THEN 0 END::BIGINT AS syn FROM p")
 def bit_fields(spark, sf):
     names = ("ip.vers", "ip.ihl", "ip.df", "ip.fragoff", "tcp.doff", "tcp.psh", "tcp.syn")
-    rows = with_pdus(packets(spark, sf))
+    rows = with_pdus(dealt(spark, sf))
     return rows.select("pkt_no", *[field(n).cast("long").alias(n.split(".")[1]) for n in names])
 
 
@@ -202,13 +207,13 @@ def ranked(rows: DataFrame, key, descending=False) -> DataFrame:
 
 @query("SELECT pkt_no, row_number() OVER (ORDER BY CASE WHEN back = 0 THEN cport ELSE port END, pkt_no) AS place FROM p WHERE proto = 6")
 def sort_key_multi(spark, sf):
-    rows = with_pdus(packets(spark, sf)).where(present("tcp") > 0)
+    rows = with_pdus(dealt(spark, sf)).where(present("tcp") > 0)
     return ranked(rows.withColumn("k", order.sort_key(["tcp.sport", "ip.ttl"])), "k")
 
 
 @query("SELECT pkt_no, row_number() OVER (ORDER BY CASE WHEN proto = 6 THEN printf('%08x', event_id) ELSE '' END DESC, pkt_no) AS place FROM p")
 def sort_missing_key_reverse(spark, sf):
-    rows = with_pdus(packets(spark, sf))
+    rows = with_pdus(dealt(spark, sf))
     return ranked(rows.withColumn("k", order.sort_key(["tcp.seqn"])), "k", descending=True)
 
 
@@ -367,7 +372,7 @@ def checksum_fix(spark, sf):
     def change(p, row):
         p.fix_csums()
 
-    out = with_pdus(edit.edit(packets(spark, sf), change))
+    out = with_pdus(edit.edit(dealt(spark, sf), change))
     errors = F.aggregate("pdus", F.lit(0).cast("long"), lambda a, u: a + u["error"].cast("long"))
     return out.select("pkt_no", (errors == 0).alias("ok"), errors.alias("errors"))
 
@@ -392,7 +397,7 @@ def encap_decap_gre(spark, sf):
     def back(p, row):
         return edit.gre_decap(p)
 
-    base = packets(spark, sf)
+    base = dealt(spark, sf)
     out = edit.edit(base, there)
     size = out.select("pkt_no", F.length("data").cast("long").alias("wrapped"), "data", "dltype", *[c for c in base.columns if c not in ("pkt_no", "data", "dltype")])
     again = edit.edit(size, back)
@@ -405,7 +410,7 @@ def encap_decap_vxlan(spark, sf):
         edit.vxlan_encap(p, 42)
         return edit.vxlan_decap(p)
 
-    base = packets(spark, sf)
+    base = dealt(spark, sf)
     again = edit.edit(base, both)
     return again.join(base.select(F.col("pkt_no").alias("n"), F.col("data").alias("d")), F.col("pkt_no") == F.col("n")).select("pkt_no", (F.col("d") == F.col("data")).alias("same"))
 
@@ -421,19 +426,19 @@ def mpls_vlan_push_pop(spark, sf):
         p.mpls_pop()
         row["seq"] = int(bytes(p.data) == was)
 
-    return edit.edit(packets(spark, sf), change).select("pkt_no", F.col("class").alias("label"), (F.col("seq") == 1).alias("same"))
+    return edit.edit(dealt(spark, sf), change).select("pkt_no", F.col("class").alias("label"), (F.col("seq") == 1).alias("same"))
 
 
 @query("SELECT pkt_no, ceil((len - 34) / 16)::BIGINT AS fragments FROM p")
 def fragment_counts(spark, sf):
-    out = fragments.fragment(packets(spark, sf), mtu=36, df="fragment")
+    out = fragments.fragment(dealt(spark, sf), mtu=36, df="fragment")
     return out.groupBy("pkt_no").agg(F.count(F.lit(1)).alias("fragments"))
 
 
 @query("SELECT pkt_no, len, true AS same, (len - 34) % 16 = 0 AS even FROM p WHERE event_id % 65536 > 0")
 def fragment_reassemble(spark, sf):
     """Fragments in reverse order, put together again: every byte is as before."""
-    base = packets(spark, sf, checksums=True).where(F.substring("data", 19, 2) != F.lit(b"\0\0"))
+    base = dealt(spark, sf, checksums=True).where(F.substring("data", 19, 2) != F.lit(b"\0\0"))
     cut = fragments.fragment(base, mtu=36, df="fragment")
     one = cut.withColumn("at", -F.col("sub_no"))
     out = fragments.reassemble(with_pdus(one), order=("pkt_no", "at"))
@@ -517,7 +522,7 @@ def pml_filter_regex_arithmetic(spark, sf):
 @query("SELECT user_id % 4 AS iface, count(*) FILTER (proto = 6) AS sent, 7 AS ttl FROM p GROUP BY 1 HAVING count(*) FILTER (proto = 6) > 0")
 def pml_program_by_key(spark, sf):
     text = "int n; ?- tcp -? { n = n + 1; ip.ttl = 7; send; } ?- not (tcp) -? { drop; }"
-    out = pml.run(packets(spark, sf), text, key="in_iface").where("printed is null")
+    out = pml.run(dealt(spark, sf), text, key="in_iface").where("printed is null")
     rows = with_pdus(out.drop("sub_no", "printed"))
     return rows.groupBy(F.col("in_iface").cast("long").alias("iface")).agg(F.count(F.lit(1)).alias("sent"), F.max(number("ip.ttl")).cast("int").alias("ttl"))
 
@@ -533,7 +538,7 @@ def printed_by(name: str, text: str, sql: str) -> None:
     """A query of what a program prints, a stream for each interface."""
 
     def run(spark, sf):
-        return pml.run(packets(spark, sf), text, key="in_iface").where("printed is not null").select("printed")
+        return pml.run(dealt(spark, sf), text, key="in_iface").where("printed is not null").select("printed")
 
     run.__name__ = name
     query(sql)(run)
@@ -629,7 +634,7 @@ def std_host_filter(spark, sf):
 @query("SELECT pkt_no, CASE WHEN event_id % 4 = 0 THEN 'any' WHEN event_id % 4 = 1 THEN 'broadcast' WHEN event_id % 4 = 2 THEN 'localhost' ELSE 'localnet' END AS kind FROM p")
 def address_constants(spark, sf):
     made = F.when(F.col("pkt_no") % 4 == 1, F.lit(bytes(4))).when(F.col("pkt_no") % 4 == 2, F.lit(bytes([255] * 4))).when(F.col("pkt_no") % 4 == 3, F.lit(bytes([127, 0, 0, 1]))).otherwise(F.lit(bytes([127, 9, 8, 7])))
-    rows = with_pdus(packets(spark, sf).withColumn("data", B.splice(F.col("data"), 30, made, 4)))
+    rows = with_pdus(dealt(spark, sf).withColumn("data", B.splice(F.col("data"), 30, made, 4)))
     kind = F.lit(None)
     for name in ("localnet", "localhost", "any", "broadcast"):
         op = "=~" if name == "localnet" else "=="
@@ -670,7 +675,7 @@ def round_trip(spark, sf, kind: str) -> DataFrame:
             rows = [next(iter(cut(r))) | {"pkt_no": n} for n, r in zip(batch.column("pkt_no").to_pylist(), batch.column("record").to_pylist(), strict=True)]
             yield from table_of(rows, PACKET).to_batches()
 
-    return readers.encoded(packets(spark, sf), kind).mapInArrow(fit, PACKET)
+    return readers.encoded(dealt(spark, sf), kind).mapInArrow(fit, PACKET)
 
 
 @query("SELECT pkt_no, len, us, (user_id % 4)::INTEGER AS iface FROM p")

@@ -16,10 +16,16 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/events.parquet")
 
 
-def packets(spark: SparkSession, sf_dir: str, checksums: bool = False) -> DataFrame:
+def spread(rows: DataFrame, by: str) -> DataFrame:
+    """Rows dealt over as many tasks as can run, however few parts their files have: for work that costs more than a shuffle."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), by)
+
+
+def packets(spark: SparkSession, sf_dir: str, checksums: bool = False, even: bool = False) -> DataFrame:
     """One packet per event: TCP for click, view, purchase; UDP for signup; ICMP echo for error.
 
-    Odd events travel from server to client.
+    Odd events travel from server to client. ``even`` spreads the events over all tasks first.
     """
     kind = F.col("event_type")
     code = F.coalesce(*[F.when(kind == k, F.lit(v)) for k, v in CODES.items()])
@@ -49,4 +55,6 @@ def packets(spark: SparkSession, sf_dir: str, checksums: bool = False) -> DataFr
         "in_iface": F.pmod(F.col("user_id"), F.lit(4)), "class": (F.col("value") * 100).cast("long"), "data": data,
     }
     rows = events(spark, sf_dir)
+    if even:
+        rows = spread(rows, "event_id")
     return rows.select(*[made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in PACKET])
