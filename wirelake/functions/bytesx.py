@@ -79,9 +79,7 @@ def ones_sum(data: Column) -> Column:
     even = F.when(F.length(data) % 2 == 1, F.concat(data, F.lit(b"\0"))).otherwise(data)
     words = F.when(F.length(even) > 0, F.transform(F.sequence(F.lit(0), F.length(even) - 2, F.lit(2)), lambda i: F.conv(F.hex(F.substring(even, i + 1, F.lit(2))), 16, 10).cast("long")))
     total = F.aggregate(F.coalesce(words, F.array().cast("array<bigint>")), F.lit(0).cast("long"), lambda a, x: a + x)
-    for _ in range(2):
-        total = total.bitwiseAND(0xFFFF) + F.shiftright(total, 16)
-    return total
+    return (total - 1) % 0xFFFF + 1
 
 
 def fmt_ip(value: Column) -> Column:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import struct
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from wirelake.functions.bytesx import be_uint, bits, cut
-from wirelake.functions.dissect import ones_complement
+from wirelake.functions.dissect import fixed, ones_complement
 from wirelake.functions.fields import field, number, unit
 from wirelake.operators.edit import Packet, rows_of, table_of
 from wirelake.operators.order import running
@@ -124,29 +127,35 @@ def reassemble(packets: DataFrame, v4: bool = True, v6: bool = True, order: tupl
     Datagrams that stay incomplete are left out, other packets pass. Needs ``pdus``. Fragments meet by
     addresses and identifier; the first bytes to arrive win.
     """
-    ip, ip6 = unit("ip"), unit("ip6")
-    is4 = ip.isNotNull() & ((number("ip.mf") == 1) | (number("ip.fragoff") > 0)) if v4 else F.lit(False)
-    at6 = ip6["xoffs"]["fragh"]
+    rows = fixed(packets, __ip=unit("ip"), __ip6=unit("ip6"))
+    ip, ip6, d = F.col("__ip"), F.col("__ip6"), F.col("data")
+    rows = fixed(rows, __mf=bits(d, ip["soff"] + 6, 2, 1), __at4=bits(d, ip["soff"] + 6, 3, 13), __at6=ip6["xoffs"]["fragh"])
+    at6 = F.col("__at6")
+    is4 = ip.isNotNull() & ((F.col("__mf") == 1) | (F.col("__at4") > 0)) if v4 else F.lit(False)
     is6 = at6.isNotNull() if v6 else F.lit(False)
-    key = F.when(is4, F.concat(field("ip.saddr"), field("ip.daddr"), field("ip.id"))).when(is6, F.concat(field("ip6.saddr"), field("ip6.daddr"), cut(F.col("data"), at6 + 4, 4)))
-    d = F.col("data")
-    marked = packets.withColumns({
-        "__key": key,
+    key4 = F.when(ip["soff"] + 20 <= ip["eoff"], F.concat(cut(d, ip["soff"] + 12, 8), cut(d, ip["soff"] + 4, 2)))
+    key6 = F.when(ip6["soff"] + 40 <= ip6["eoff"], F.concat(cut(d, ip6["soff"] + 8, 32), cut(d, at6 + 4, 4)))
+    marked = fixed(rows, **{
+        "__key": F.when(is4, key4).when(is6, key6),
         "__net": F.when(is4, ip["soff"]).when(is6, ip6["soff"]),
         "__poff": F.when(is4, ip["poff"]).when(is6, at6 + 8),
         "__toff": F.when(is4, ip["toff"]).when(is6, ip6["toff"]),
-        "__off": F.when(is4, number("ip.fragoff") * 8).when(is6, bits(d, at6 + 2, 0, 13) * 8),
-        "__more": F.when(is4, number("ip.mf")).when(is6, bits(d, at6 + 3, 7, 1)),
+        "__off": F.when(is4, F.col("__at4") * 8).when(is6, bits(d, at6 + 2, 0, 13) * 8),
+        "__more": F.when(is4, F.col("__mf")).when(is6, bits(d, at6 + 3, 7, 1)),
         "__fragh": F.when(is6, at6), "__next": F.when(is6, be_uint(d, at6, 1)),
     })
     names = [c for c in packets.columns if c != "pdus"]
-    plain = marked.where("__key is null").select(*names)
     inner = ["__key", "__net", "__poff", "__toff", "__off", "__more", "__fragh", "__next"]
     out_schema = packets.select(*names).schema
+    kinds = to_arrow_schema(out_schema)
 
     def fit(batches):
         key, held, end, start = None, [], None, None
         for batch in batches:
+            alone = batch.column("__key").is_null()
+            if alone.true_count:
+                yield from pa.Table.from_batches([batch.filter(alone).select(names)]).cast(kinds).to_batches()
+                batch = batch.filter(pc.invert(alone))
             out = []
             for row in rows_of(batch):
                 if row["__key"] != key:
@@ -167,8 +176,9 @@ def reassemble(packets: DataFrame, v4: bool = True, v6: bool = True, order: tupl
                 held, end, start = [], None, None
             yield from table_of(out, out_schema).to_batches()
 
-    rows = marked.where("__key is not null").select(*names, *inner).repartition("__key").sortWithinPartitions("__key", *order)
-    return plain.unionByName(rows.mapInArrow(fit, out_schema))
+    # packets that aren't fragments go along, dealt by what they are
+    meet = F.coalesce("__key", F.unhex(F.hex(F.xxhash64("data", *order))))
+    return marked.select(*names, *inner).repartition(meet).sortWithinPartitions("__key", *order).mapInArrow(fit, out_schema)
 
 
 def filled(held: list[tuple[int, bytes]], end: int) -> bytearray | None:

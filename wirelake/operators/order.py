@@ -14,7 +14,8 @@ from wirelake.functions.bytesx import be_bytes
 from wirelake.functions.fields import field
 from wirelake.functions.registry import FIELDS
 
-BLOCK = 1 << 16
+#: Consecutive packets of a block; a task may get one, so small enough for many tasks.
+BLOCK = 1 << 13
 
 
 def keep(packets: DataFrame, predicate: Column) -> DataFrame:
