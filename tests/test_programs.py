@@ -62,3 +62,15 @@ def test_a_stream_passes_in_parts(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert sorted(r.printed for r in got) == sorted([f"{n} {2 * n - k}" for n in range(1, 301) for k in (0, 1)] + ["end 300"] * 2)
     assert [r.printed for r in got][-2:] == ["end 300"] * 2
+
+
+def test_events_are_dealt_before_python_gets_them(spark):
+    """A file of one part no longer means one task for tunnels, hex text and dissection."""
+    from wirelake.plans import catalogue
+
+    sf = "/root/testdata/sf0.001"
+    for name in ("encap_decap_gre", "encap_decap_vxlan", "hex_round_trip", "pml_strings"):
+        plan = catalogue.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        below = plan[plan.rindex("MapInArrow") :]
+        assert "RepartitionByExpression" in below, name
+    assert catalogue.dealt(spark, sf).rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
